@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalspan.llm import packing
+from tidalspan.llm import packing, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op8_harmonic_packing": packing.op8,
+        "op9_toxicity_machine": toxicity.op9,
+        "op10_secret_scan": secret_scan.op10,
     }
 
 
