@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalspan.llm import packing, secret_scan, toxicity
+from tidalspan.llm import lz_fingerprint, packing, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lz_fingerprint": lz_fingerprint.op1,
         "op8_harmonic_packing": packing.op8,
         "op9_toxicity_machine": toxicity.op9,
         "op10_secret_scan": secret_scan.op10,
