@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalspan.llm import lz_fingerprint, packing, secret_scan, toxicity, warc
+from tidalspan.llm import lz_fingerprint, packing, secret_scan, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_lz_fingerprint": lz_fingerprint.op1,
+        "op5_substring_index": substring.op5,
         "op7_warc_shards": warc.op7,
         "op8_harmonic_packing": packing.op8,
         "op9_toxicity_machine": toxicity.op9,
