@@ -78,31 +78,38 @@ class Machine:
         return v, total, self.bias + linear + pairs
 
     @staticmethod
-    def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _flat(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(r) + 1 for r in rows])
-        flat = np.fromiter((p for r in rows for p in (0, *r)), np.int64, int(sizes.sum()))
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        flat = np.zeros(int(sizes.sum()), np.int64)
+        rest = np.ones(len(flat), bool)
+        rest[starts] = False
+        flat[rest] = np.concatenate([np.asarray(r, np.int64) for r in rows])
         return flat, starts, sizes
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
+    def score(self, rows: list) -> np.ndarray:
         if not rows:
             return np.zeros(0)
         flat, starts, _ = self._flat(rows)
         z = self._forward(flat, starts)[2]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, rows: list[list[int]], labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.08, decay: float = 2e-4) -> Machine:
+    def fit(self, rows: list, labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.08, decay: float = 2e-4) -> Machine:
         if not rows:
             return self
         rng = np.random.default_rng(self.seed)
-        seen = np.bincount(np.fromiter((p for r in rows for p in r), np.int64), minlength=BUCKETS) if any(rows) else np.zeros(BUCKETS, int)
+        rows = [np.asarray(r, np.int32) for r in rows]
+        seen, ones = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for row, one in zip(rows, labels, strict=True):  # a row's places are distinct
+            seen[row] += 1
+            if one:
+                ones[row] += 1
         y = np.array(labels, np.float32)
         rate_of_ones = min(max(float(y.mean()), 1e-3), 0.999)
         self.bias = float(np.log(rate_of_ones / (1 - rate_of_ones)))
-        ones = np.bincount(np.fromiter((p for r, one in zip(rows, labels, strict=True) if one for p in r), np.int64), minlength=BUCKETS)
         z = (ones - seen * rate_of_ones) / np.sqrt(np.maximum(seen, 1) * rate_of_ones * (1 - rate_of_ones))
         kept = (seen >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-        rows = [[p for p in r if kept[p]] for r in rows]
+        rows = [r[kept[r]] for r in rows]
         known = np.flatnonzero(kept)
         self.v[known] = rng.normal(0, 0.02, (len(known), self.v.shape[1]))
         gw, gv, gb = np.full(BUCKETS, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
@@ -152,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
         .mapInArrow(places_of, "doc_id long, toxic int, places binary").collect()
     )
     rows.sort(key=lambda r: (r.doc_id, r.places))  # whatever the partitions were
-    return Machine().fit([np.frombuffer(r.places, np.int32).tolist() for r in rows], [int(r.toxic > 0) for r in rows])
+    return Machine().fit([np.frombuffer(r.places, np.int32) for r in rows], [int(r.toxic > 0) for r in rows])
 
 
 def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
