@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalspan.llm import lz_fingerprint, packing, secret_scan, simhash, substring, toxicity, warc
+from tidalspan.llm import lz_fingerprint, mixing, packing, secret_scan, simhash, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_lz_fingerprint": lz_fingerprint.op1,
+        "op2_mixing_tree": mixing.op2,
         "op5_substring_index": substring.op5,
         "op6_simhash_tiles": simhash.op6,
         "op7_warc_shards": warc.op7,
