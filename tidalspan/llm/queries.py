@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalspan.llm import lz_fingerprint, mixing, packing, secret_scan, simhash, substring, toxicity, url_filter, warc
+from tidalspan.llm import lz_fingerprint, mixing, mtree, packing, secret_scan, simhash, substring, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_lz_fingerprint": lz_fingerprint.op1,
         "op2_mixing_tree": mixing.op2,
         "op3_url_filter": url_filter.op3,
+        "op4_mtree_search": mtree.op4,
         "op5_substring_index": substring.op5,
         "op6_simhash_tiles": simhash.op6,
         "op7_warc_shards": warc.op7,
