@@ -198,17 +198,24 @@ def draws(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: columns of docs, then shard, position, turn and words; a row for each time
+    """The mix itself: columns of docs, then size, turn, shard, position and words; a row for each time
     that a document is taken, in its shard's shuffled order. A document at a target has the
     number of its leading words that are taken in words; others have all."""
     made, _ = plan(docs, weights, share, shards)
     sized = docs.withColumn("size", words.word_count(F.col("text")))
     return (
-        draws(sized, made).select(*docs.columns, F.inline("draws").alias("turn", "shard", "position", "words"))
+        draws(sized, made).select(*docs.columns, "size", F.inline("draws").alias("turn", "shard", "position", "words"))
         .repartition("shard").sortWithinPartitions("shard", "position", "doc_id", "turn")
     )
 
 
+def mixed(docs: DataFrame, shards: int) -> DataFrame:
+    """docs as the mix takes them, a row each time, in shards; a document at a target is taken
+    whole if at least half of its words are wanted, else not."""
+    whole = mix(docs, shards=shards).where(2 * F.col("words") >= F.col("size"))
+    return whole.select(*docs.columns)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     made, sizes = plan(docs)

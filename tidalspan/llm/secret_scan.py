@@ -141,6 +141,18 @@ def redact(text: Column, found: Column, by: str = "[SECRET]") -> Column:
     return F.aggregate(found, start, step, lambda done: F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"))))
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, source, n_chars and more) with every span replaced in the text, and
+    n_chars counted anew where that changed something."""
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    found = find_secrets(keyed, columns=("doc_id", "_h")).where(F.size("spans") > 0)
+    found = storage.stored(found.groupBy("doc_id", "_h").agg(F.first("spans").alias("spans")).select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_hash"), "spans"), "secrets-spans")
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_h"] == found["_hash"]), "left")
+    text = F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    n = F.when(F.col("spans").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
+    return joined.select(*((text if c == "text" else n if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = find_secrets(docs)

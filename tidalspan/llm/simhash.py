@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidalspan.llm import storage, words
 from tidalspan.llm.components import components
@@ -201,17 +202,47 @@ def edges(nodes: DataFrame, radius: int, masks: list[int], least: float = 0.0, t
     return work.groupBy("k", "key", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def near_groups(prints: DataFrame, radius: int, masks: list[int] | None = None, least: float = 0.0) -> DataFrame:
-    """(node, fp, sketch, component): component is the least doc_id of the node's component.
-    prints: doc_id, fp, sketch, node; a stored table."""
+def near_groups(prints: DataFrame, radius: int, masks_for=None, least: float = 0.0) -> DataFrame:
+    """(node, root, component): root names the node's component, component is its least doc_id.
+    prints: doc_id, fp, sketch, node; a stored table. masks_for: number of nodes -> masks, by
+    default those of blocks_for."""
     nodes = storage.stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep")), "simhash-nodes")
-    if masks is None:
-        masks = blocks_for(radius, nodes.count())
+    count = nodes.count()
+    masks = masks_for(count) if masks_for else blocks_for(radius, count)
     roots = components(edges(nodes, radius, masks, least))
     rooted = nodes.select("node", "rep").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     rooted = storage.stored(rooted.select("node", "rep", F.coalesce("root", "node").alias("root")), "simhash-roots")
     named = storage.stored(rooted.groupBy("root").agg(F.min("rep").alias("component")), "simhash-components")
-    return storage.stored(rooted.join(named, "root").select("node", "component"), "simhash-groups")
+    return storage.stored(rooted.join(named, "root").select("node", "root", "component"), "simhash-groups")
+
+
+# What documents are near-duplicates in a pipeline: shingles of five words, similarity of 0.8.
+NEAR_SHINGLE, NEAR_LEAST = 5, 0.8
+#: Fingerprints of texts alike to 0.8 differ in 10 bits on average, hardly ever in more than these.
+NEAR_RADIUS = 16
+NEAR_BLOCKS = 8
+
+
+def near_masks(nodes: int) -> list[int]:
+    """One mask for each of NEAR_BLOCKS blocks: complete for differences in fewer bits than blocks,
+    and hit by over nine tenths of the pairs at ten bits."""
+    need = max(0, math.ceil(math.log2(max(nodes, 1) / TILE)))
+    return masks_of(NEAR_BLOCKS, 1, min(need, 64 // NEAR_BLOCKS)) if need else [0]
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and more) without near-duplicates: of each group the row with the least
+    doc_id stays (a null one first, then the least hash of the text), and of repeated rows one."""
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    prints = fingerprints(keyed, NEAR_SHINGLE, True, keep=("doc_id", "_h"))
+    prints = storage.stored(prints.withColumn("node", F.xxhash64("fp", "sketch")), "near-prints")
+    groups = near_groups(prints, NEAR_RADIUS, near_masks, NEAR_LEAST)
+    rows = prints.select("doc_id", "_h", "node").join(groups, "node").select("root", "doc_id", "_h")
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_h")).alias("f")).select(F.col("f.doc_id").alias("_doc"), F.col("f._h").alias("_hash"))
+    first = storage.stored(first, "near-first")
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_doc"]) & (keyed["_h"] == first["_hash"]), "left_semi")
+    turn = F.row_number().over(W.partitionBy("doc_id", "_h").orderBy(F.lit(0)))
+    return kept.withColumn("_n", turn).where("_n = 1").select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
