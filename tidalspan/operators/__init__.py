@@ -1 +1 @@
-
+"""Transforms and joins."""

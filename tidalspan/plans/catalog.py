@@ -1,11 +1,17 @@
-"""Registered queries of the library's own operators and the SQL they equal."""
+"""Registered queries of the library's operators, by family, and the SQL they equal."""
 
 from __future__ import annotations
 
+from tidalspan.plans import analysis, models, relational, series
+
+
+def _families() -> tuple:
+    return relational, series, analysis, models
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for family in _families() for k, v in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for family in _families() for k, v in family.SQL.items()}

@@ -1 +1 @@
-
+"""Readers, environments and sinks."""

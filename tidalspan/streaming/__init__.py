@@ -1 +1 @@
-
+"""Learning and prediction over streams."""
