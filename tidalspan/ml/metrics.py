@@ -206,7 +206,7 @@ def threshold_scores(df: DataFrame, label: str, probability: str, thresholds: Se
 
 def tune_threshold(df: DataFrame, label: str, probability: str, beta: float = 1.0, thresholds: Sequence[float] | None = None) -> tuple[float, float]:
     """The lowest of the thresholds with the best F-beta score, and that score."""
-    steps = list(thresholds) if thresholds is not None else [0.05 + 0.05 * k for k in range(19)]
+    steps = list(thresholds) if thresholds is not None else [round(0.05 * k, 2) for k in range(1, 20)]
     best = (steps[0], -1.0)
     for r in sorted(threshold_scores(df, label, probability, steps).collect(), key=lambda r: r["threshold"]):
         b = beta**2

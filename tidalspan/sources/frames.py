@@ -150,14 +150,32 @@ class Chained(Incremental):
         return reduce(lambda a, b: a.unionByName(b), (e.observe() for e in self.environments))
 
 
+#: Rows whose order columns are sampled to find the ranges of with_row_number.
+SAMPLE = 10_000
+
+
 def with_row_number(df: DataFrame, order_by: str | list[str], name: str = "_row") -> DataFrame:
-    """Numbers from 1 in order, over the whole frame, without one task for all rows: rows are range
-    partitioned, and the partitions' counts (one number each) give the offsets."""
+    """Numbers from 1 in order, over the whole frame, without one task for all rows.
+
+    Rows go to ranges of the order, whose bounds come from the SAMPLE rows with the smallest hashes;
+    they are numbered within ranges, and the ranges' counts (one number each) give the offsets.
+    Bounds are values, not a shuffle's own, so evaluating the frame again gives the same numbers.
+    """
     names = [order_by] if isinstance(order_by, str) else list(order_by)
-    parts = df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"))
-    before = counts.select("_part", "low", (F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("offset"))
-    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") - F.col("low") + F.col("offset") + 1).drop("_part", "_at", "low", "offset")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*(F.col(f"`{c}`") for c in names))
+    found = df.select(*names).orderBy(F.xxhash64(*names)).limit(SAMPLE).orderBy(*names).collect()
+    cuts = [found[k * len(found) // parts] for k in range(1, parts)] if len(found) >= parts else []
+    kinds = [df.schema[c].dataType for c in names]
+    bounds = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(cut, kinds, names, strict=True))) for cut in dict.fromkeys(cuts)]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b < key)) if bounds else F.lit(0)
+    cut_up = df.withColumn("_part", part)
+    counts = sorted((r["_part"], r["count"]) for r in cut_up.groupBy("_part").count().collect())
+    offset, before = F.lit(0).cast("long"), 0
+    for number, n in counts:
+        offset = F.when(F.col("_part") == number, F.lit(before).cast("long")).otherwise(offset)
+        before += n
+    return cut_up.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*names)) + offset).drop("_part")
 
 
 class Batches(Incremental):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tidalspan.errors import StopLearning
 from tidalspan.ml.learners import Model
@@ -60,28 +61,19 @@ def select_modes(df: DataFrame, key: str, order: str, features: Sequence[str], h
     rows before it together with the modes selected for them. The first rows of a trace take theirs
     from the column bootstrap. decide: (samples with the present one last, modes before) -> mode.
     Sequential within a trace, parallel over traces; a trace is held row by row."""
-    names = df.columns
-    schema = df.schema.add("selected_mode", "long") if "selected_mode" not in names else df.schema
-
-    def run(_, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        samples: list[list[float]] = []
-        modes: list[int] = []
-        whole = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for row in whole.itertuples(index=False):
-            samples.append([getattr(row, f) for f in features])
-            if len(samples) <= history:
-                modes.append(int(getattr(row, bootstrap)))
+    schema = T.StructType([*df.schema.fields, T.StructField("selected_mode", T.LongType())])
+
+    def run(trace: pd.DataFrame) -> pd.DataFrame:
+        trace = trace.sort_values(order)
+        samples, modes = trace[list(features)].to_numpy(), []
+        for k, given in enumerate(trace[bootstrap]):
+            if k < history:
+                modes.append(int(given))
             else:
-                modes.append(int(decide(samples[-history - 1 :], modes[-history:] if history else [])))
-            samples, modes = samples[-history - 1 :], modes
-            out.append(modes[-1])
-        yield whole.assign(selected_mode=out)
+                modes.append(int(decide(samples[k - history : k + 1], modes[k - history : k])))
+        return trace.assign(selected_mode=modes)
 
-    def per_trace(k, frame: pd.DataFrame) -> pd.DataFrame:
-        return next(run(k, iter([frame])))
-
-    return df.groupBy(key).applyInPandas(per_trace, schema)
+    return df.groupBy(key).applyInPandas(run, schema)
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
