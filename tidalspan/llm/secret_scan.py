@@ -36,6 +36,7 @@ KINDS = ("assign", "access", "hex", "token")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 TOKEN_VARIETY = 12
 MAX_OWNERS = 2
+CHUNK = 512
 
 _MARK, _OTHER = "﷐", "﷑"
 SPAN = "struct<start:bigint,kind:int,end:bigint,h:bigint>"
@@ -48,10 +49,20 @@ def _long_runs(pattern: str, least: int) -> str:
     return f"{head}{{{least - fixed},}}"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: str, kind: int, keep=None, value=None) -> Column:
-    """array<SPAN> of the pattern's leftmost non-overlapping matches for which keep holds."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+    """array<SPAN> of the pattern's leftmost non-overlapping matches for which keep holds.
+
+    Parts between marks are taken CHUNK at a time: an array grows by copying, which for a text of
+    very many matches would take their number squared.
+    """
     value = value or (lambda m: m)
+    zero, none = F.lit(0).cast("bigint"), F.array().cast(f"array<{SPAN}>")
+    total = lambda sums: F.aggregate(sums, zero, lambda s, n: s + n)
 
     def step(done: Column, part: Column) -> Column:
         at, end = done["at"], done["at"] + F.char_length(part)
@@ -62,9 +73,18 @@ def spans(text: Column, pattern: str, kind: int, keep=None, value=None) -> Colum
             F.when(hit, F.concat(done["found"], F.array(span))).otherwise(done["found"]).alias("found"),
         )
 
-    none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), none.alias("found"))
-    return F.aggregate(parts, start, step, lambda done: done["found"])
+    def of_chunk(chunk: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), F.lit(False).alias("inside"), none.alias("found"))  # CHUNK is even
+        return F.aggregate(chunk, start, step, lambda done: done["found"])
+
+    def of_parts(parts: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)))
+        return _let(chunks, lambda cs: _let(
+            F.transform(cs, lambda c: F.aggregate(c, zero, lambda s, p: s + F.char_length(p))),
+            lambda sums: F.flatten(F.transform(cs, lambda c, k: of_chunk(c, total(F.slice(sums, F.lit(1), k))))),
+        ))
+
+    return _let(F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK), of_parts)
 
 
 def scan(text: Column) -> dict[str, Column]:
@@ -148,9 +168,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = find_secrets(keyed, columns=("doc_id", "_h")).where(F.size("spans") > 0)
     found = storage.stored(found.groupBy("doc_id", "_h").agg(F.first("spans").alias("spans")).select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_hash"), "spans"), "secrets-spans")
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_h"] == found["_hash"]), "left")
-    text = F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    n = F.when(F.col("spans").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
-    return joined.select(*((text if c == "text" else n if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
+    # a column of its own first: in one select, names inside lambdas would mean the new text
+    done = joined.withColumn("_redacted", F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    n = F.when(F.col("spans").isNotNull(), F.char_length("_redacted").cast("long")).otherwise(F.col("n_chars"))
+    return done.select(*((F.col("_redacted") if c == "text" else n if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
