@@ -45,3 +45,36 @@ def test_mealy():
     say = lambda w: [sum(w[: k + 1]) % 2 for k in range(len(w))]
     machine = learn_mealy((w, say(w)) for w in words)
     assert len(machine.delta) == 2 and machine.run([1, 0, 1, 1, 0, 1, 1, 1]) == say([1, 0, 1, 1, 0, 1, 1, 1])
+
+
+def test_selector_inspection(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidalspan.sim import selector
+
+    df = spark.range(40).select(F.col("id").cast("double").alias("a"), (F.col("id") > 20).cast("double").alias("y"))
+    model = DecisionTreeClassifier(maxDepth=1, featuresCol="f", labelCol="y").fit(VectorAssembler(inputCols=["a"], outputCol="f").transform(df))
+    found = selector.nodes(model.toDebugString, ["a"])
+    assert [n["condition"] is None for n in found] == [False, True, True] and "a <= 20" in found[0]["condition"]
+    assert "If (a <= 20" in selector.as_text(model.toDebugString, ["a"]) and selector.as_dot(model.toDebugString, ["a"]).count("->") == 2
+
+
+def test_selector_accuracies(spark):
+    from tidalspan.sim import selector
+
+    df = spark.createDataFrame([(g, k, float(k), k % 2) for g in range(3) for k in range(10)], "g long, k long, v double, m long")
+    flip = lambda samples, before: 1 - before[-1]
+    got = {r["kind"]: r["accuracy"] for r in selector.accuracies(df, "g", "k", ["v"], "m", 1, flip).collect()}
+    assert got == {"oracle": 1.0, "autoregressive": 1.0}
+
+
+def test_stream_recorder(spark, tmp_path):
+    from tidalspan.streaming.retention import SCHEMA, record
+
+    rows = [(1, 0.0, 1.0, False), (1, 5.0, 1.0, False), (1, 6.0, 1.0, True), (1, 9.0, 1.0, False), (2, 1.0, 1.0, False)]
+    for k, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = record(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), 2.0)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["t"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [5.0, 6.0, 9.0]

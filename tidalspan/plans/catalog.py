@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidalspan.plans import analysis, models, relational, series
+from tidalspan.plans import analysis, models, more, relational, series
 
 
 def _families() -> tuple:
-    return relational, series, analysis, models
+    return relational, series, analysis, models, more
 
 
 def queries() -> dict:

@@ -170,3 +170,8 @@ def tree_tests(df: DataFrame, features: Sequence[str], target: str, n: int, dept
             domains = [Continuous(c, i.low, i.high) for c, i in zip(features, box, strict=True)]
             parts.append(stochastic(spark, m, seed * 101 + number, *domains).withColumn("class", F.lit(number)))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def save_csv(df: DataFrame, path: str) -> None:
+    """Test cases as CSV files with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
