@@ -259,12 +259,15 @@ class Index:
         own = self._run(placed.withColumn("threshold", F.lit(None).cast("long")).select("unit", "qblock", "query_id", "qkey", "q", "threshold"), blocks)
         first = storage.stored(own, "mtree-first")
         kth = _best(first, self.k).groupBy("qkey").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select("qkey", F.when(F.col("n") >= self.k, F.col("s")).alias("threshold"))
-        # all other units of vectors of the query's length
-        lengths: dict[int, list[int]] = {}
+        # all other units of vectors of the query's length: units of one length have consecutive numbers
+        spans: dict[int, tuple[int, int]] = {}
         for cell, (start, n) in self.units.items():
-            lengths.setdefault(cell // (MAX_PIVOTS + 1), []).extend(range(start, start + n))
-        choices = F.create_map(*(x for n, us in lengths.items() for x in (F.lit(n), F.array(*(F.lit(u) for u in us))))) if lengths else F.create_map().cast("map<int,array<int>>")
-        others = F.filter(F.try_element_at(choices, F.size("q")), lambda u: u != F.col("unit"))
+            low, high = spans.get(cell // (MAX_PIVOTS + 1), (start, start))
+            spans[cell // (MAX_PIVOTS + 1)] = min(low, start), max(high, start + n - 1)
+        table = F.create_map(*(F.lit(x) for n, (low, high) in spans.items() for x in (n, (low << 32) | high))) if spans else F.create_map().cast("map<int,bigint>")
+        packed = F.try_element_at(table, F.size("q"))
+        every = F.sequence(F.shiftright(packed, 32), packed.bitwiseAND(F.lit((1 << 32) - 1)))
+        others = F.transform(F.filter(every, lambda u: u != F.col("unit")), lambda u: u.cast("int"))
         rest = placed.join(kth, "qkey", "left").select(F.explode(others).alias("unit"), "qblock", "query_id", "qkey", "q", "threshold")
         found = first.unionByName(self._run(rest, blocks))
         return _best(found, self.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
