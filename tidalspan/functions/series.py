@@ -29,16 +29,14 @@ def mean(series: Column | str) -> Column:
 def median(series: Column | str) -> Column:
     s = F.array_sort(values(series))
     n = F.size(s)
-    lower, upper = F.get(s, F.expr("0") + F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
+    lower, upper = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
     return F.when(n > 0, (lower.cast("double") + upper.cast("double")) / 2)
 
 
 def mode(series: Column | str) -> Column:
     """The most frequent value; of several the greatest."""
     v = values(series)
-    # equal values are neighbours once sorted: one fold keeps the best run
-    s = F.array_sort(v)
-    ranked = F.transform(F.array_distinct(s), lambda d: F.struct(F.size(F.filter(s, lambda y: y == d)).alias("n"), d.alias("v")))
+    ranked = F.transform(F.array_distinct(v), lambda d: F.struct(F.size(F.filter(v, lambda y: y == d)).alias("n"), d.alias("v")))
     return F.array_max(ranked)["v"]
 
 

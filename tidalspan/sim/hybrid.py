@@ -104,8 +104,7 @@ def simulate(system: HybridSystem, span: tuple[float, float], x0: np.ndarray, lo
             events.append(Event(t, jump.source, jump.target, x))
             here = jump.target
             # what the reset has already carried across a threshold is taken at once
-            past = [tr for tr in system.leaving(here) if tr.direction and tr.guard(t, x) * tr.direction > 0 and tr is not jump and tr.guard(t, events[-1].state) * tr.direction > AFTER]
-            jump = past[0] if past and past[0].source != past[0].target else None
+            jump = next((tr for tr in system.leaving(here) if tr is not jump and tr.source != tr.target and tr.direction and tr.guard(t, x) * tr.direction > AFTER), None)
         t = min(t + AFTER, span[1]) if events and events[-1].time == t else t
     return Trace(np.array(times), np.array(states), places, events)
 
