@@ -126,4 +126,6 @@ def generate_traces(system: Callable[[], HybridSystem], starts: DataFrame, span:
                 trace = simulate(own, span, np.asarray(row.x0, float), sample_dt=dt)
                 yield pd.DataFrame({"trace_id": row.trace_id, "step": np.arange(len(trace.t), dtype=np.int32), "t": trace.t, "location": trace.location, **{f"x{j}": trace.x[:, j] for j in range(states)}})
 
-    return starts.select("trace_id", "x0").mapInPandas(run, trace_schema(states, ("location",)))
+    # starts are small and their traces are not: a file of them must not be one task
+    spread = max(int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")), starts.sparkSession.sparkContext.defaultParallelism)
+    return starts.select("trace_id", "x0").repartition(spread, "trace_id").mapInPandas(run, trace_schema(states, ("location",)))

@@ -109,4 +109,6 @@ def simulate_frame(starts: DataFrame, flow: Flow, span: tuple[float, float], dt:
                         k += 1
                 yield pd.DataFrame({"trace_id": row.trace_id, "step": np.arange(len(out), dtype=np.int32), "t": at[: len(out)], **{f"x{j}": [x[j] for x in out] for j in range(states)}})
 
-    return starts.select("trace_id", "x0").mapInPandas(run, trace_schema(states))
+    # starts are small and their traces are not: a file of them must not be one task
+    spread = max(int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")), starts.sparkSession.sparkContext.defaultParallelism)
+    return starts.select("trace_id", "x0").repartition(spread, "trace_id").mapInPandas(run, trace_schema(states))
