@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidalspan.llm import storage, words
+from tidalspan.llm import jaccard, storage, words
 from tidalspan.llm.components import components
 
 SEED = 42
@@ -218,6 +218,8 @@ def near_groups(prints: DataFrame, radius: int, masks_for=None, least: float = 0
 
 # What documents are near-duplicates in a pipeline: shingles of five words, similarity of 0.8.
 NEAR_SHINGLE, NEAR_LEAST = 5, 0.8
+#: What the sketches must show before the sets of a pair are compared.
+NEAR_LOOSE = 0.65
 #: Fingerprints of texts alike to 0.8 differ in 10 bits on average, hardly ever in more than these.
 NEAR_RADIUS = 16
 #: (blocks, chosen): of so many blocks of bits, so many must be free of differences for two
@@ -235,14 +237,20 @@ def near_masks(nodes: int) -> list[int]:
     return masks_of(blocks, chosen, need)
 
 
+def near_shingles(text: str | None) -> np.ndarray:
+    return shingle_hashes(text, NEAR_SHINGLE)
+
+
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) without near-duplicates: of each group the row with the least
     doc_id stays (a null one first, then the least hash of the text), and of repeated rows one."""
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    prints = fingerprints(keyed, NEAR_SHINGLE, True, keep=("doc_id", "_h"))
-    prints = storage.stored(prints.withColumn("node", F.xxhash64("fp", "sketch")), "near-prints")
-    groups = near_groups(prints, NEAR_RADIUS, near_masks, NEAR_LEAST)
-    rows = prints.select("doc_id", "_h", "node").join(groups, "node").select("root", "doc_id", "_h")
+    prints = storage.stored(jaccard.named(keyed, near_shingles, ("doc_id", "_h")), "near-prints")
+    texts = storage.stored(prints.groupBy("node").agg(F.min("_h").alias("_h")), "near-texts")
+    marks = fingerprints(keyed, NEAR_SHINGLE, True, keep=("_h",)).dropDuplicates(["_h"])
+    nodes = storage.stored(marks.join(texts, "_h").select("node", "fp", "sketch"), "near-nodes")
+    roots = jaccard.exact_roots(keyed, near_shingles, texts, edges(nodes, NEAR_RADIUS, near_masks(nodes.count()), NEAR_LOOSE), NEAR_LEAST)
+    rows = prints.join(roots, prints["node"] == roots["u"], "left").select(F.coalesce("v", "node").alias("root"), "doc_id", "_h")
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_h")).alias("f")).select(F.col("f.doc_id").alias("_doc"), F.col("f._h").alias("_hash"))
     first = storage.stored(first, "near-first")
     kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_doc"]) & (keyed["_h"] == first["_hash"]), "left_semi")
