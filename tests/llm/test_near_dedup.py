@@ -37,3 +37,41 @@ def test_comparison_over_tiles(spark):
     for tile in (10**9, 900):
         found = jaccard.edges(frame, frame["size"], tile, 0.8, jaccard.by_sets).collect()
         assert {(r["u"], r["v"]) for r in found} == {(k + 1, k) for k in range(0, 60, 2)}
+
+
+def test_near_dedup_misses_no_pair_of_many_nodes(spark, monkeypatch):
+    """Above a tile of nodes too, every pair at the similarity is found: against brute force."""
+    monkeypatch.setattr(simhash, "TILE", 8)  # fingerprints were dealt to buckets by tiles of nodes
+    monkeypatch.setattr(jaccard, "BUCKET_TILE", 8)
+    common = " ".join(H.texts()[3][1].split()[20:75])
+    texts = [t for p in near_pairs(600, 10, 5) for t in p] + [f"{common} {a} {common}" for p in near_pairs(20, 14, 6) for a in p]
+    sets = [set(simhash.near_shingles(t).tolist()) for t in texts]
+    holders, root = {}, list(range(len(texts)))
+    for k, s in enumerate(sets):
+        for h in s:
+            holders.setdefault(h, []).append(k)
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in {(a, b) for g in holders.values() for b in g for a in g if a < b}:
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert kept_of(spark, texts) == {k for k in range(len(texts)) if find(k) == k}
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(1)
+    levels = rng.integers(0, 9, 1 << jaccard.SLOT_BITS).astype(np.uint8)
+    for n in (1, 4, 5, 9, 45, 90, 1000):
+        for _ in range(50):
+            m = int(n / 9) if n % 9 == 0 else int(n * 0.11)
+            h = np.unique(rng.integers(0, 2**64 - 1, n + m, dtype=np.uint64))
+            a, b = h[rng.permutation(len(h))[: len(h) - m]], h
+            b = np.sort(np.concatenate([np.setdiff1d(h, a), rng.permutation(a)[: len(a) - m]])) if m else np.sort(a)
+            a = np.sort(a)
+            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9:
+                assert len(np.intersect1d(jaccard.prefix(a, levels, 0.8), jaccard.prefix(b, levels, 0.8)))

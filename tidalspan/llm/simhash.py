@@ -218,23 +218,6 @@ def near_groups(prints: DataFrame, radius: int, masks_for=None, least: float = 0
 
 # What documents are near-duplicates in a pipeline: shingles of five words, similarity of 0.8.
 NEAR_SHINGLE, NEAR_LEAST = 5, 0.8
-#: What the sketches must show before the sets of a pair are compared.
-NEAR_LOOSE = 0.65
-#: Fingerprints of texts alike to 0.8 differ in 10 bits on average, hardly ever in more than these.
-NEAR_RADIUS = 16
-#: (blocks, chosen): of so many blocks of bits, so many must be free of differences for two
-#: fingerprints to meet. The first that gives bucket keys enough bits for the number of nodes is
-#: taken; at ten differing bits they meet for about 97, 87 and 95 in 100 pairs.
-NEAR_BLOCKS = ((8, 1), (10, 2), (12, 3))
-
-
-def near_masks(nodes: int) -> list[int]:
-    """Masks under which buckets hold about a tile, from the first of NEAR_BLOCKS that suffices."""
-    need = max(0, math.ceil(math.log2(max(nodes, 1) / TILE)))
-    if not need:
-        return [0]
-    blocks, chosen = next((x for x in NEAR_BLOCKS if 64 * x[1] // x[0] >= need), NEAR_BLOCKS[-1])
-    return masks_of(blocks, chosen, need)
 
 
 def near_shingles(text: str | None) -> np.ndarray:
@@ -247,9 +230,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     prints = storage.stored(jaccard.named(keyed, near_shingles, ("doc_id", "_h")), "near-prints")
     texts = storage.stored(prints.groupBy("node").agg(F.min("_h").alias("_h")), "near-texts")
-    marks = fingerprints(keyed, NEAR_SHINGLE, True, keep=("_h",)).dropDuplicates(["_h"])
-    nodes = storage.stored(marks.join(texts, "_h").select("node", "fp", "sketch"), "near-nodes")
-    roots = jaccard.exact_roots(keyed, near_shingles, texts, edges(nodes, NEAR_RADIUS, near_masks(nodes.count()), NEAR_LOOSE), NEAR_LEAST)
+    roots = jaccard.exact_roots(keyed, near_shingles, texts, NEAR_LEAST)
     rows = prints.join(roots, prints["node"] == roots["u"], "left").select(F.coalesce("v", "node").alias("root"), "doc_id", "_h")
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_h")).alias("f")).select(F.col("f.doc_id").alias("_doc"), F.col("f._h").alias("_hash"))
     first = storage.stored(first, "near-first")
