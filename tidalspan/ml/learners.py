@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,36 +271,62 @@ class Perceptron:
 
 
 class MlpLearner(Learner):
-    """Perceptron fitted by Adam with a cosine rate and early stopping, on a sample of at most
-    max_rows rows (the ones with the smallest hash) that the driver holds."""
+    """Perceptron fitted by Adam with a cosine rate and early stopping, on all rows. The driver takes
+    the steps and holds about held rows at a time, and a partition; more rows are streamed to it in
+    each epoch, ordered by a hash that differs between epochs, and are shuffled among those held."""
 
-    def __init__(self, hidden: Sequence[int] = (10, 10), epochs: int = 100, rate: float = 1e-2, batch: int = 32, patience: int = 10, max_rows: int = 100_000, seed: int = 1, callbacks: Sequence[Callbacks] = ()) -> None:
-        self.hidden, self.epochs, self.rate, self.batch, self.patience, self.max_rows, self.seed, self.callbacks = hidden, epochs, rate, batch, patience, max_rows, seed, callbacks
+    def __init__(self, hidden: Sequence[int] = (10, 10), epochs: int = 100, rate: float = 1e-2, batch: int = 32, patience: int = 10, held: int = 100_000, seed: int = 1, callbacks: Sequence[Callbacks] = ()) -> None:
+        self.hidden, self.epochs, self.rate, self.batch, self.patience, self.held, self.seed, self.callbacks = hidden, epochs, rate, batch, patience, held, seed, callbacks
 
     def learn(self, df, inputs, outputs):
         return told(self.callbacks, self, lambda: self._learn(df, list(inputs), list(outputs)))
 
+    def _chunks(self, rows: DataFrame, epoch: int) -> Iterator[np.ndarray]:
+        """All rows as matrices of about held rows."""
+        names = rows.columns
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))])
+                yield pa.record_batch([pa.array([block.tobytes()])], names=["block"])
+
+        ordered = rows.orderBy(F.xxhash64(*names, *([F.lit(epoch)] if epoch else [])), *names)
+        blocks, n = [], 0
+        for r in ordered.mapInArrow(pack, "block binary").toLocalIterator():
+            block = np.frombuffer(r["block"], np.float64).reshape(-1, len(names))
+            while n + len(block) > self.held:
+                yield np.concatenate([*blocks, block[: self.held - n]])
+                blocks, n, block = [], 0, block[self.held - n :]
+            blocks.append(block)
+            n += len(block)
+        if n:
+            yield np.concatenate(blocks)
+
     def _learn(self, df, inputs, outputs):
-        rows = df.select(*inputs, *outputs).dropna().orderBy(F.xxhash64(*inputs, *outputs)).limit(self.max_rows).toPandas()
-        x, y = rows[inputs].to_numpy(float), rows[outputs].to_numpy(float)
+        names = [f"_c{k}" for k in range(len(inputs) + len(outputs))]
+        rows = df.select(*(F.col(f"`{c}`").cast("double").alias(n) for c, n in zip([*inputs, *outputs], names, strict=True))).dropna()
         net, rng = Perceptron([len(inputs), *self.hidden, len(outputs)], self.seed), np.random.default_rng(self.seed)
         params = [*net.w, *net.b]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        best, waited, t = np.inf, 0, 0
+        best, waited, t, whole = np.inf, 0, 0, None
         for epoch in range(self.epochs):
             rate = self.rate * 0.5 * (1 + np.cos(np.pi * epoch / self.epochs))
-            losses = []
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), self.batch):
-                part = order[at : at + self.batch]
-                gw, gb, loss = net.gradient(x[part], y[part])
-                losses.append(loss)
-                t += 1
-                for k, g in enumerate([*gw, *gb]):
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    params[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-            loss = float(np.mean(losses)) if losses else 0.0
+            total, steps, chunks = 0.0, 0, 0
+            for chunk in self._chunks(rows, epoch) if whole is None else [whole]:
+                chunks += 1
+                x, y = chunk[:, : len(inputs)], chunk[:, len(inputs) :]
+                order = rng.permutation(len(x))
+                for at in range(0, len(x), self.batch):
+                    part = order[at : at + self.batch]
+                    gw, gb, loss = net.gradient(x[part], y[part])
+                    total, steps, t = total + loss, steps + 1, t + 1
+                    for k, g in enumerate([*gw, *gb]):
+                        m[k] = 0.9 * m[k] + 0.1 * g
+                        v[k] = 0.999 * v[k] + 0.001 * g * g
+                        params[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            if chunks == 1:
+                whole = chunk  # all rows: they stay
+            loss = total / steps if steps else 0.0
             for c in self.callbacks:
                 c.on_progress(self, (epoch + 1) / self.epochs, {"train_loss": loss})
             best, waited = (loss, 0) if loss < best - 1e-9 else (best, waited + 1)

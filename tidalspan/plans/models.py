@@ -48,7 +48,7 @@ _tree("L02_regression_tree", lambda: L.regression_tree(4))
 _tree("L03_random_forest", lambda: L.random_forest(5, 3))
 _tree("L06_boosted_classifier", lambda: L.boosted_classifier(3, 2))
 _tree("L06_boosted_regressor", lambda: L.boosted_regressor(3, 2))
-_tree("L07_perceptron", lambda: L.MlpLearner((8,), epochs=2, max_rows=2000))
+_tree("L07_perceptron", lambda: L.MlpLearner((8,), epochs=2))
 
 
 @query("L12_ensemble", "WITH a AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem) SELECT l_orderkey, l_linenumber, round(s * l_quantity + i, 2) AS predicted FROM lineitem, a")
