@@ -1,6 +1,6 @@
 """Exact top-k by inner product: best-first search in paged M-trees.
 
-Vectors are quantised to integers. Equal vectors are one entry with the KEEP smallest ids it can
+Vectors are quantised to integers. Equal vectors are one entry with the smallest ids it can
 ever need. Entries are dealt to units: by the nearest of a few sampled pivots, and by a hash
 where a pivot has more than UNIT entries. Each unit holds an M-tree: its nodes are pages, each
 with a routing object, a covering radius and its distance to the parent's routing object; leaves
@@ -55,12 +55,14 @@ def quantised(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def entries(vectors: DataFrame, keep: int) -> DataFrame:
-    """q, ids: a row for each distinct vector with its keep smallest ids (each as often as it occurs)."""
-    # two steps, so that many copies of one vector are first thinned where they are
-    some = W.partitionBy("q", "_salt").orderBy("vec_id")
+    """q, ids: a row for each distinct vector with its keep smallest distinct ids, each as often as
+    it occurs, keep times at most."""
+    # in two steps, so that many copies of one vector are first counted and thinned where they are
     every = W.partitionBy("q").orderBy("vec_id")
-    thin = vectors.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= keep).drop("_n", "_salt")
-    return thin.withColumn("_n", F.row_number().over(every)).where(F.col("_n") <= keep).groupBy("q").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    counted = vectors.groupBy("q", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(keep)).cast("int").alias("_times"))
+    thin = counted.withColumn("_n", F.row_number().over(every)).where(F.col("_n") <= keep)
+    listed = F.array_sort(F.collect_list(F.struct("vec_id", "_times")))
+    return thin.groupBy("q").agg(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["vec_id"], x["_times"]))).alias("ids"))
 
 
 def pivots_of(found: DataFrame, count: int) -> dict[int, np.ndarray]:
