@@ -232,7 +232,7 @@ def dedupe(docs: DataFrame, blocks: int, length: int = WINDOW, folder: str | Non
     answers = pieces.groupBy("_shard").applyInArrow(ask, "_block int, _shard int, data binary, is_run boolean")
     if folder:
         answers = storage.stored(answers, "substring-answers")
-        _keep_runs(answers.where("is_run"), folder)
+        _keep_runs(answers.where("is_run"), folder, bits)
         answers = answers.where("not is_run")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return blocked.groupBy("_block").cogroup(answers.select("_block", "_shard", "data").groupBy("_block")).applyInArrow(remove, schema)
@@ -261,11 +261,10 @@ def _runs(spark, folder: str) -> DataFrame:
     return rows.select(F.lit(-1).cast("int").alias("_block"), "_shard", "data")
 
 
-def _keep_runs(new: DataFrame, folder: str) -> None:
-    """Adds a run to each shard; with FANOUT tables there, they are merged into one."""
+def _keep_runs(new: DataFrame, folder: str, bits: int) -> None:
+    """Adds a run to each shard, of which there are 2**bits; with FANOUT tables there, they are merged into one."""
     spark = new.sparkSession
     names = _tables(spark, folder)
-    bits = int(names[0].split("-")[2]) if names else _bits_of(new)
     number = int(names[-1].split("-")[1]) + 1 if names else 0
     new.select("_shard", "data").write.parquet(f"{folder}/run-{number:08d}-{bits}")
     names.append(f"run-{number:08d}-{bits}")
@@ -281,11 +280,6 @@ def _keep_runs(new: DataFrame, folder: str) -> None:
             storage.delete(spark, f"{folder}/{n}")
 
 
-def _bits_of(new: DataFrame) -> int:
-    top = new.agg(F.max("_shard")).first()[0]
-    return max(1, int(top or 0).bit_length())
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     # two blocks a partition: a task holds one at a time, and hashing deals them more evenly
