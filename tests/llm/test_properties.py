@@ -12,13 +12,17 @@ from tidalspan.llm import lz_fingerprint, mixing, packing, simhash, substring, w
 any_text = st.text(max_size=300)
 
 
-@given(st.integers(0, 10**5), st.sampled_from([1, 64, 2048]))
-def test_pieces_cover_without_overlap(n, capacity):
-    at = 0
-    for start, length in packing.pieces_of(n, capacity):
-        assert start == at and length <= capacity and length & (length - 1) == 0
-        at += length
-    assert at == n
+@given(st.lists(st.integers(1, 300), max_size=80), st.sampled_from([1, 16, 64]))
+@settings(deadline=None)
+def test_packed_ids_lie_in_one_piece_each(lengths, capacity):
+    packer, at = packing.Packer(capacity), 0
+    for k, n in enumerate(lengths):
+        packer.add(k, np.arange(n, dtype=np.int32))
+    packer.finish()
+    assert all(sum(map(len, s)).bit_count() == 1 for s in packer.out)
+    for k, n in enumerate(lengths):
+        mine = sorted((p for s in packer.out for p in s if p.doc_id == k), key=lambda p: p.start)
+        assert [i for p in mine for i in p.ids.tolist()] == list(range(n)) and all(p.ids[0] == p.start for p in mine)
 
 
 @given(any_text, any_text)

@@ -201,12 +201,12 @@ def test_near_dedup_keeps_one_of_each_group(spark):
 
 
 def test_packing(spark):
-    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(paths[0])
+    whole = Tokenizer.from_file(path)
     rows = H.texts()
-    got = packing.pack(H.docs(spark, rows).repartition(3), *paths).collect()
+    got = packing.pack(H.docs(spark, rows).repartition(3), path).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -222,14 +222,65 @@ def test_packing(spark):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 2048 and at & (at - 1) == 0  # whole, or a power of two: nothing is padded
-    assert packing.pack(H.empty(spark), *paths).count() == 0
+    assert packing.pack(H.empty(spark), path).count() == 0
+
+
+def packed(lengths, capacity=2048):
+    """Sequences of (document, start, length) of one packer."""
+    packer = packing.Packer(capacity)
+    for k, n in enumerate(lengths):
+        packer.add(k, np.full(n, k, np.int32))
+    packer.finish()
+    return [[(p.doc_id, p.start, len(p)) for p in s] for s in packer.out]
+
+
+@pytest.mark.parametrize("kind", ["mixed", "large", "halves", "short", "long"])
+def test_packer_keeps_documents_whole(kind):
+    rng = np.random.default_rng(3)
+    lengths = {
+        "mixed": np.exp(rng.normal(5.5, 1.2, 4000)), "large": rng.uniform(1030, 2048, 3000), "halves": rng.uniform(690, 1020, 3000), "short": rng.uniform(1, 100, 4000), "long": rng.uniform(1, 9000, 2000),
+    }[kind].astype(int).clip(1)
+    got = packed(lengths.tolist())
+    pieces = sorted(p for s in got for p in s)
+    at = 0
+    for k, n in enumerate(lengths.tolist()):  # each id is in exactly one piece
+        mine = pieces[at : (at := next((i for i in range(at, len(pieces)) if pieces[i][0] != k), len(pieces)))]
+        assert [p[1] for p in mine] == np.cumsum([0, *(p[2] for p in mine)])[:-1].tolist() and sum(p[2] for p in mine) == n
+    sizes = [sum(p[2] for p in s) for s in got]
+    assert all(n & (n - 1) == 0 for n in sizes) and sum(n < 2048 for n in sizes) <= 11
+    fitting = {k for k, n in enumerate(lengths.tolist()) if n <= 2048}
+    cut = {p[0] for p in pieces if p[0] in fitting and p[2] < lengths[p[0]]}
+    if kind in ("mixed", "long", "short"):
+        assert len(cut) < 0.12 * len(fitting) + 11
+    assert len([p for p in pieces if p[0] in fitting]) <= len(fitting) + len(got) + 11  # a bin cuts about one
+
+
+def test_packer_classes():
+    """Documents of one class share bins of a fixed number, whole."""
+    assert packed([512] * 8) == [[(k, 0, 512) for k in range(a, a + 4)] for a in (0, 4)]
+    assert packed([5000])[:2] == [[(0, 0, 2048)], [(0, 2048, 2048)]]
+    assert packed([]) == [] and packed([1]) == [[(0, 0, 1)]]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, own = Tokenizer.from_file(path), packing.encoder(path)
+    odd = ["", "  a  b\n\n c\u3000 x  ", "don't I'LL we've", "½ ² ٣", " \n ", "a" * 5000, "\u00a0\u2003x \t", "ǅ\u0301", "a<|endoftext|> b <|endoftext|><|endoftext|>", "\x00 \ud7ff\ufffe 🙂🙂", "x\n\n\n y"]
+    for t in [r[1] or "" for r in H.texts()] + odd:
+        assert own.ids(t, 1).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
-def test_both_tokenizers_agree():
-    fast = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    slow = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), None)
-    for t in [r[1] or "" for r in H.texts()] + ["  a  b\n\n c\u3000 x  ", "don't I'LL we've", "½ ² ٣", " \n ", "a" * 5000, "\u00a0\u2003x \t", "ǅ\u0301"]:
-        assert fast(t) == slow(t)
+def test_ids_of_very_long_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_LONG", 50)
+    monkeypatch.setattr(packing, "_CACHE_PIECES", 20)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, own = Tokenizer.from_file(path), packing.Encoder(path)
+    for t in [r[1] or "" for r in H.texts()] + ["x" * 300 + " \n  y' s " * 99]:
+        assert own.ids(t, 1).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
 # --- op 9

@@ -1,34 +1,55 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-The capacity C is split into reciprocal classes k = 1, 2, 4, ..., C whose pieces hold exactly
-C/k ids, so k pieces fill a bin of class k without a gap. A document is cut into whole
-sequences and, for what remains, one piece for each bit of its length; a cut is free, and no
-other set of classes leaves so little padding. Every Spark task fills the bins of its classes
-on its own, with a fixed number of pieces in each: there is no shuffle and no state beyond at
-most C open pieces a task. When a task ends, the open bin of a class is closed as shorter
-sequences with a power of two of pieces each, whose lengths are powers of two as well.
+The capacity C is split into reciprocal classes: class k holds the documents of more than C/(k+1)
+and at most C/k ids, and a bin of class k takes exactly k of them, whole. What such a bin leaves
+free is filled from a stock: the remainders of documents longer than C (which give whole
+sequences first) and the documents shorter than those of class CLASSES. The largest that fits
+goes in whole; only when none fits is one cut, a remainder before a whole document. A bin waits
+for stock, and the stock for bins, up to WAITING bins and STOCK capacities; then a bin is filled
+as it is, or one of the shortest documents' bins is dissolved into the stock. So nothing is padded,
+nearly every document that fits a sequence stays whole, and each bin cuts about one at most.
+
+Every Spark task fills its own bins: there is no shuffle and no state beyond these bounds. When a
+task ends, its last, short sequence is cut at powers of two, which need no padding either.
+
+Ids are those of the `tokenizers` library. A text is first cut where the vocabulary's own pattern
+cuts it; the ids of each piece are asked of the library once and kept for later texts.
 
 Cases: a null text counts as empty (it holds the end id alone); a null doc_id stays null;
-repeated rows are packed each; an empty table gives no rows; further columns are ignored.
+repeated rows are packed each; special strings in a text become their ids, as the library has it;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 CAPACITY = 2048
 END_ID = 1
-#: Special strings of the vocabulary: texts that hold one go through the slower tokenizer.
-SPECIAL = "<|endoftext|>"
+CLASSES = 16
+WAITING = 64
+STOCK = 16
 #: Sequence ids of a task start at its partition's number times this.
 TASK_SPAN = 1 << 36
 
+# Fixed value: how the byte-level vocabulary cuts a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_CACHE_PIECES = 200_000
+_LONG = 1 << 20
+#: Ids in a batch of output.
+_BATCH = 1 << 19
+
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("start", T.LongType()),
@@ -40,131 +61,216 @@ SCHEMA = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
 ])
 
-_encoders: dict[tuple[str, str], object] = {}
 
+class Encoder(dict):
+    """text -> ids of a byte-level tokenizer; as a dictionary, the ids of pieces seen before."""
 
-def encoder(tokenizer_path: str, ranks_path: str | None):
-    """text -> ids. The two libraries give the same ids for one vocabulary; the one that reads
-    ranks is over four times as fast and takes all texts without special strings."""
-    key = (tokenizer_path, ranks_path or "")
-    if key not in _encoders:
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(tokenizer_path)
-        fast = None
-        if ranks_path:
-            import base64
-
-            import tiktoken
-
-            ranks = {}
-            with open(ranks_path, "rb") as lines:
-                for line in lines:
-                    piece, rank = line.split()
-                    ranks[base64.b64decode(piece)] = int(rank)
-            fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-
-        def encode(text: str) -> list[int]:
-            if fast is None or SPECIAL in text:
-                return whole.encode(text, add_special_tokens=False).ids
-            return fast.encode_ordinary(text)
-
-        _encoders[key] = encode
-    return _encoders[key]
-
-
-# Fixed value: how a byte-level vocabulary of this kind cuts text, with possessive repeats.
-PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-
-
-def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: whole sequences, then one a bit, longest first."""
-    start = 0
-    while n - start >= capacity:
-        yield start, capacity
-        start += capacity
-    bit = capacity >> 1
-    while start < n:
-        if (n - start) & bit:
-            yield start, bit
-            start += bit
-        bit >>= 1
-
-
-class Bins:
-    """Open bins of one task, one for each class."""
-
-    def __init__(self, capacity: int, first: int) -> None:
-        self.capacity, self.next = capacity, first
-        self.open: dict[int, list[tuple]] = {}
-
-    def add(self, length: int, piece: tuple, out: list[tuple]) -> None:
-        """Puts a piece into its class's bin; a full bin goes to out."""
-        bin_ = self.open.setdefault(length, [])
-        bin_.append(piece)
-        if len(bin_) * length == self.capacity:
-            self._close(length, bin_, out)
-            self.open[length] = []
-
-    def _close(self, length: int, bin_: list[tuple], out: list[tuple]) -> None:
-        for k, piece in enumerate(bin_):
-            out.append((*piece, self.next, k * length))
-        self.next += 1
-
-    def finish(self, out: list[tuple]) -> None:
-        """Closes what is open as sequences of a power of two of pieces each."""
-        for length, bin_ in sorted(self.open.items(), reverse=True):
-            while bin_:
-                n = 1 << (len(bin_).bit_length() - 1)
-                self._close(length, bin_[:n], out)
-                bin_ = bin_[n:]
+        self.whole = Tokenizer.from_file(path)
+        self.pieces = regex.compile(PIECES)
+        self.between = regex.compile(r"(?<=\S) (?=\S)")  # a piece always starts here
+        self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= _CACHE_PIECES:
+            self.clear()
+        found = self[piece] = tuple(self.whole.encode(piece, add_special_tokens=False).ids)
+        return found
+
+    def _plain(self, text: str) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(text):  # very long texts a stretch at a time
+            cut = self.between.search(text, at + _LONG) if len(text) - at > _LONG else None
+            end = cut.start() if cut else len(text)
+            yield np.fromiter(chain.from_iterable(map(self.__getitem__, self.pieces.findall(text, at, end))), np.int32)
+            at = end
+
+    def ids(self, text: str, end_id: int) -> np.ndarray:
+        """Ids of the text, then end_id."""
+        if self.parts and any(s in text for s in self.special):
+            found = [np.array([self.special[p]], np.int32) if p in self.special else n for p in self.parts.split(text) for n in ([None] if p in self.special else self._plain(p))]
+        else:
+            found = list(self._plain(text))
+        return np.concatenate([*found, np.array([end_id], np.int32)])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+class Piece:
+    """Consecutive ids of one document."""
+
+    __slots__ = ("doc_id", "ids", "start", "tokens")
+
+    def __init__(self, doc_id: int | None, start: int, tokens: int, ids: np.ndarray) -> None:
+        self.doc_id, self.start, self.tokens, self.ids = doc_id, start, tokens, ids
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        return Piece(self.doc_id, self.start, self.tokens, self.ids[:n]), Piece(self.doc_id, self.start + n, self.tokens, self.ids[n:])
+
+
+class Bin:
+    """Pieces that share a sequence."""
+
+    def __init__(self, capacity: int) -> None:
+        self.pieces: list[Piece] = []
+        self.gap = capacity
+
+    def put(self, piece: Piece) -> None:
+        self.pieces.append(piece)
+        self.gap -= len(piece)
+
+
+class Packer:
+    """The bins of one task; finished sequences go to out, as lists of pieces."""
+
+    def __init__(self, capacity: int = CAPACITY) -> None:
+        self.capacity = capacity
+        self.open: dict[int, Bin] = {}  # by class
+        self.waiting: list[Bin] = []  # full by count; the fullest first
+        self.short: list[Piece] = []  # whole documents of the stock, by length
+        self.rests: list[Piece] = []  # what is left of cut ones
+        self.stock = 0
+        self.out: list[list[Piece]] = []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        piece = Piece(doc_id, 0, len(ids), ids)
+        while len(piece) > self.capacity:
+            whole, piece = piece.cut(self.capacity)
+            self.out.append([whole])
+        if piece.start:
+            self._store(piece)
+        else:
+            k = self.capacity // len(piece)
+            if k > CLASSES:
+                self._store(piece)
+            else:
+                bin_ = self.open.setdefault(k, Bin(self.capacity))
+                bin_.put(piece)
+                if len(bin_.pieces) == k:
+                    del self.open[k]
+                    self._wait(bin_)
+        while len(self.waiting) > WAITING or self.stock > STOCK * self.capacity:
+            self._fill(self.waiting.pop(0) if self.waiting else Bin(self.capacity))
+
+    def _store(self, piece: Piece) -> None:
+        self.stock += len(piece)
+        if piece.start:
+            self.rests.append(piece)
+        else:
+            insort(self.short, piece, key=len)
+
+    def _wait(self, bin_: Bin) -> None:
+        if bin_.gap:
+            insort(self.waiting, bin_, key=lambda b: b.gap)
+        else:
+            self.out.append(bin_.pieces)
+
+    def _taken(self, gap: int) -> Piece | None:
+        """Out of the stock: the longest whole document that fits, else one to cut."""
+        at = bisect_right(self.short, gap, key=len)
+        if at:
+            piece = self.short.pop(at - 1)
+        elif self.rests or self.short:
+            piece = (self.rests or self.short).pop()
+        else:
+            return None
+        self.stock -= len(piece)
+        return piece
+
+    def _fill(self, bin_: Bin) -> None:
+        """Fills the bin to the last id; without stock, waiting bins are dissolved for it, and what
+        is then still short goes back to the stock."""
+        while bin_.gap:
+            piece = self._taken(bin_.gap)
+            if piece is None:
+                if not self.waiting:
+                    for p in bin_.pieces:
+                        self._store(p)
+                    return
+                # the bin with the most, and so the shortest, documents
+                for p in self.waiting.pop(max(range(len(self.waiting)), key=lambda i: len(self.waiting[i].pieces))).pieces:
+                    self._store(p)
+                continue
+            if len(piece) > bin_.gap:
+                piece, rest = piece.cut(bin_.gap)
+                self._store(rest)
+            bin_.put(piece)
+        self.out.append(bin_.pieces)
+
+    def finish(self) -> None:
+        """Packs all that is left; the last ids go to sequences as long as powers of two."""
+        for bin_ in self.open.values():
+            self._wait(bin_)
         self.open = {}
-
-
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
-    with keep_ids, the ids. docs: doc_id, text. capacity must be a power of two."""
+        while self.waiting:
+            self._fill(self.waiting.pop(0))
+        while self.stock >= self.capacity:
+            self._fill(Bin(self.capacity))
+        while self.stock:
+            bin_ = Bin(1 << (self.stock.bit_length() - 1))
+            self._fill(bin_)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the
+    ids. docs: doc_id, text. capacity must be a power of two."""
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
-    fields = SCHEMA.fields if keep_ids else SCHEMA.fields[:-1]
-    types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * keep_ids
-    schema = pa.schema([pa.field(f.name, t) for f, t in zip(fields, types, strict=True)])
+    names = [f.name for f in SCHEMA.fields]
+
+    def rows(sequences: list[list[Piece]], first: int) -> pa.RecordBatch:
+        pieces = [p for s in sequences for p in s]
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        sizes = np.array([len(s) for s in sequences], np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        of = np.repeat(np.arange(len(sequences)), sizes)
+        opening = starts[np.cumsum(sizes) - sizes] if len(sequences) else starts
+        ids = np.concatenate([p.ids for p in pieces]) if pieces else np.zeros(0, np.int32)
+        crc = [zlib.crc32(p.ids.astype("<u4", copy=False)) for p in pieces]
+        columns = [
+            pa.array([p.doc_id for p in pieces], pa.int64()), pa.array([p.start for p in pieces], pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()),
+            pa.array([p.tokens for p in pieces], pa.int64()), pa.array(first + of, pa.int64()), pa.array(starts - opening[of] if len(pieces) else starts, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids)),
+        ]
+        return pa.record_batch(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path, ranks_path)
-        bins = Bins(capacity, TaskContext.get().partitionId() * TASK_SPAN)
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * (7 + keep_ids)
-            if keep_ids:  # pieces carry their ids in the sixth place
-                columns = [*columns[:5], columns[6], columns[7], columns[5]]
-            batch = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema=schema)
-            out.clear()
-            return batch
-
+        encode, packer = encoder(tokenizer_path), Packer(capacity)
+        next_id = TaskContext.get().partitionId() * TASK_SPAN
         for batch in batches:
-            ids_column, texts = batch.column(0).to_pylist(), batch.column(1)
-            for doc_id, text in zip(ids_column, texts, strict=True):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                array = np.array(ids, dtype="<u4")
-                for start, length in pieces_of(len(ids), capacity):
-                    part = array[start : start + length]
-                    piece = (doc_id, start, length, zlib.crc32(part), len(ids))
-                    bins.add(length, (*piece, part.astype(np.int32)) if keep_ids else piece, out)
-                if len(out) >= 8192:
-                    yield flush()
-        bins.finish(out)
-        yield flush()
-
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packer.add(doc_id, encode.ids(text.as_py() or "", end_id))
+                if len(packer.out) * capacity >= _BATCH:
+                    done, packer.out = packer.out, []
+                    for at in range(0, len(done), _BATCH // capacity or 1):
+                        part = done[at : at + (_BATCH // capacity or 1)]
+                        yield rows(part, next_id)
+                        next_id += len(part)
+        packer.finish()
+        yield rows(packer.out, next_id)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
