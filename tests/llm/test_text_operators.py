@@ -319,6 +319,50 @@ def test_toxicity_learns_interactions(spark):
     assert {r["doc_id"]: r["score"] for r in again} == pytest.approx({r["doc_id"]: r["score"] for r in got})
 
 
+def test_toxicity_learns_pairs_that_do_not_tell_alone(spark):
+    """Label 1 where exactly one of two terms stands: neither says anything by itself."""
+    import random
+
+    rng = random.Random(4)
+    plain = [f"{a}{b}" for a in ("ka", "mo", "ti", "ru", "sel") for b in ("nor", "dan", "lim", "pas", "vek", "zur")]
+    rows, labels = [], []
+    for k in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = rng.choices(plain, k=rng.randint(5, 40)) + ["alpha"] * a + ["omega"] * b
+        rng.shuffle(w)
+        rows.append((k, " ".join(w), None, None, None))
+        labels.append((k, 0, int(a != b)))
+    docs, known = spark.createDataFrame(rows, H.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, known)).collect()}
+    held = [k for k in range(len(rows)) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert np.mean([(got[k] >= 0.5) == bool(labels[k][2]) for k in held]) > 0.95
+
+
+def test_toxicity_scores_by_hand(spark):
+    """op9's scores are those of the weights, term by term and pair by pair."""
+    rows, labels = toxic_docs(1200)
+    docs = spark.createDataFrame(rows, H.SCHEMA)
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    places = toxicity.Places()
+    for r in toxicity.score(docs.limit(100), machine).collect():
+        found = toxicity.terms(rows[r["doc_id"]][1], places)
+        z = machine.bias + sum(float(machine.w[p]) for p in found)
+        z += sum(float(machine.v[p] @ machine.v[q]) for k, p in enumerate(found) for q in found[:k])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Rows that repeat a labelled id are one training row, and are scored each."""
+    rows, labels = toxic_docs(1200)
+    docs, known = spark.createDataFrame(rows, H.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    again = docs.unionAll(docs.where("doc_id % 2 = 0")).unionAll(docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" further words here"))))
+    a, b = toxicity.train(docs, known), toxicity.train(again, known)
+    assert a.bias == b.bias and (a.w == b.w).all() and (a.v == b.v).all()
+    assert toxicity.score(again, a).count() == again.count()
+    long = spark.createDataFrame([(1, " ".join(f"w{k} x{k % 9}" for k in range(30000)))], "doc_id long, text string")
+    assert 0 <= toxicity.score(long, a).first()["score"] <= 1
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     odd = H.docs(spark)

@@ -4,18 +4,25 @@ A text's terms are its distinct lower-cased words without ASCII punctuation and
 stems (first STEM letters) of the longer ones, so that unseen forms of a word count too. Each is
 hashed to one of BUCKETS places; a place has a linear weight and FACTORS interaction weights,
 so that a pair of terms (an insult and the group it is aimed at) can weigh more, or less, than
-the sum of both. Only terms that stand in at least LEAST_DOCS training texts, and with label 1
-more or less often than chance allows (LEAST_Z standard deviations), get weights; with all
-terms the pairs of a long text's many rare words outweigh everything else.
+the sum of both.
 
-Training reads at most TRAIN_DOCS labelled rows, the ones with the smallest hash of doc_id, and
-runs on the driver over their hashed terms, whose number that bound limits. Scoring is one map
-over all rows with the finished weights (8 MB at the defaults, whatever the input).
+Which terms get weights is decided by evidence, as the pairs of a long text's many rare words
+would outweigh everything else. A term counts that stands in at least LEAST_DOCS training texts,
+and with label 1 more or less often than chance allows (LEAST_Z standard deviations). A pair
+counts, whatever its terms tell alone, if label 1 is more or less frequent beside both than the
+two add up to (LEAST_PAIR_Z deviations, in LEAST_PAIR_DOCS texts with both and with each alone);
+all pairs of the PAIR_TERMS most frequent terms are tried, and both terms of such a pair get
+weights. Their interaction weights start from the leading eigenvectors of that evidence.
+
+Training reads at most TRAIN_DOCS labelled ids, the ones with the smallest hash, one row each. The
+driver fits the machine on the terms that may count: at most TRAIN_DOCS rows of places below
+BUCKETS. Scoring is one map over all rows with the finished weights (5 MB, whatever the input).
 
 Cases: null and empty texts have no terms and get the bias's score; null labels are not learnt
-from; of several labels of one document the highest holds; a null doc_id counts as not held
-out and is never learnt from; without any usable label every score is 0.5's prior of the bias
-start, LOW_PRIOR; repeated rows are scored each; further columns are ignored.
+from; of several labels of one document the highest holds, and of several rows of one labelled
+id the one with the least terms; a null doc_id counts as not held out and is never learnt from;
+without any usable label every score is LOW_PRIOR; very long texts count each term once, like
+others; repeated rows are scored each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalspan.llm import storage
+
 BUCKETS = 1 << 18
 FACTORS = 4
 LEAST_DOCS = 5
-LEAST_Z = 4.5
+LEAST_Z = 3.5
+PAIR_TERMS = 1024
+LEAST_PAIR_DOCS = 30
+LEAST_PAIR_Z = 6.0
+#: Steps that a fit takes at least, whatever the number of rows.
+LEAST_STEPS = 400
 STEM = 4
 TRAIN_DOCS = 20_000
 THRESHOLD = 0.3
@@ -60,6 +74,39 @@ def terms(text: str | None, places: Places) -> list[int]:
     return sorted({places[w] for w in words} | {places[b"\0" + w[:STEM]] for w in words if len(w) > STEM})
 
 
+def pair_evidence(rows: list[np.ndarray], y: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of known that tell in a pair, and how much each two of them do (0: not enough)."""
+    n = len(known)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[known] = np.arange(n)
+    both, ones = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for at in range(0, len(rows), 1024):
+        part = [number[r] for r in rows[at : at + 1024]]
+        x = np.zeros((len(part), n), np.float32)
+        for line, found in zip(x, part, strict=True):
+            line[found[found >= 0]] = 1
+        both += x.T @ x
+        toxic = x[y[at : at + 1024] > 0]
+        ones += toxic.T @ toxic
+    seen, told = both.diagonal().copy(), ones.diagonal().copy()
+    shape, total, all_told = both.shape, np.float32(len(rows)), np.float32(y.sum())
+    contrast, variance, enough = np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.ones(shape, bool)
+    one, other = np.broadcast_to(seen[:, None], shape), np.broadcast_to(told[:, None], shape)
+    cells = (  # texts with both, with either alone, with none: how many, and how many of label 1
+        (1, both, ones), (-1, one - both, other - ones), (-1, one.T - both, other.T - ones),
+        (1, total - one - one.T + both, all_told - other - other.T + ones),
+    )
+    for sign, count, label in cells:
+        enough &= count >= LEAST_PAIR_DOCS
+        rate = (label + 1) / (count + 2)
+        contrast += sign * label / np.maximum(count, 1)
+        variance += rate * (1 - rate) / np.maximum(count, 1)
+    strong = enough & (np.abs(contrast) >= LEAST_PAIR_Z * np.sqrt(variance))
+    np.fill_diagonal(strong, False)
+    telling = np.flatnonzero(strong.any(axis=1))
+    return known[telling], np.where(strong, contrast, 0)[np.ix_(telling, telling)]
+
+
 class Machine:
     """Factorization machine with logistic loss, fitted by Adagrad over shuffled batches."""
 
@@ -94,26 +141,37 @@ class Machine:
         z = self._forward(flat, starts)[2]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, rows: list, labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.08, decay: float = 2e-4) -> Machine:
-        if not rows:
-            return self
-        rng = np.random.default_rng(self.seed)
-        rows = [np.asarray(r, np.int32) for r in rows]
+    def _start(self, rows: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Sets the first weights; which places may have any."""
         seen, ones = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for row, one in zip(rows, labels, strict=True):  # a row's places are distinct
+        for row, one in zip(rows, y, strict=True):  # a row's places are distinct
             seen[row] += 1
             if one:
                 ones[row] += 1
-        y = np.array(labels, np.float32)
-        rate_of_ones = min(max(float(y.mean()), 1e-3), 0.999)
-        self.bias = float(np.log(rate_of_ones / (1 - rate_of_ones)))
-        z = (ones - seen * rate_of_ones) / np.sqrt(np.maximum(seen, 1) * rate_of_ones * (1 - rate_of_ones))
+        rate = min(max(float(y.mean()), 1e-3), 0.999)
+        self.bias = float(np.log(rate / (1 - rate)))
+        z = (ones - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
         kept = (seen >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-        rows = [r[kept[r]] for r in rows]
+        frequent = np.argsort(-seen, kind="stable")[:PAIR_TERMS]
+        paired, evidence = pair_evidence(rows, y, np.sort(frequent[seen[frequent] >= 2 * LEAST_PAIR_DOCS]))
+        kept[paired] = True
         known = np.flatnonzero(kept)
         self.v[known] = rng.normal(0, 0.02, (len(known), self.v.shape[1]))
+        if len(paired):
+            size, direction = np.linalg.eigh(evidence)
+            lead = np.argsort(-size)[: self.v.shape[1]]
+            self.v[paired, : len(lead)] += direction[:, lead] * np.sqrt(np.maximum(size[lead], 0))
+        return kept
+
+    def fit(self, rows: list, labels: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.08, decay: float = 2e-4) -> Machine:
+        if not rows:
+            return self
+        rng = np.random.default_rng(self.seed)
+        y = (np.array(labels) > 0).astype(np.float32)
+        kept = self._start(rows, y, rng)
+        rows = [r[kept[r]] for r in rows]
         gw, gv, gb = np.full(BUCKETS, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(rows)) if len(rows) > batch else epochs)):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 part = order[at : at + batch]
@@ -151,15 +209,36 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
         for batch in batches:
-            found = [np.array(terms(t.as_py(), places), np.int32).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "toxic", "places"])
+            found = [terms(t.as_py(), places) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "places"])
 
-    rows = (
+    every = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-        .mapInArrow(places_of, "doc_id long, toxic int, places binary").collect()
+        .mapInArrow(places_of, "doc_id long, toxic int, places array<int>")
     )
-    rows.sort(key=lambda r: (r.doc_id, r.places))  # whatever the partitions were
-    return Machine().fit([np.frombuffer(r.places, np.int32) for r in rows], [int(r.toxic > 0) for r in rows])
+    # one row an id, the one with the least terms, whatever the partitions are
+    least = F.min(F.struct(F.size("places"), "places", "toxic")).alias("r")
+    rows = storage.stored(every.groupBy("doc_id").agg(least).select("doc_id", "r.places", "r.toxic"), "toxicity-terms")
+    # terms that cannot count stay out of the driver
+    common = rows.select(F.explode("places").alias("place")).groupBy("place").count().where(F.col("count") >= LEAST_DOCS).select("place").toArrow()  # BUCKETS numbers at most
+    may = np.zeros(BUCKETS, bool)
+    may[common.column("place").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(may)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            fit = shared.value[flat]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of[fit], minlength=len(lists)))])
+            kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[fit]))
+            yield pa.record_batch([batch.column(0), kept, batch.column(2)], names=["doc_id", "places", "toxic"])
+
+    found = rows.mapInArrow(thinned, rows.schema).toArrow().sort_by("doc_id")
+    storage.drop(rows)
+    lists = found.column("places").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    return Machine().fit(np.split(flat, ends[:-1]) if len(ends) else [], found.column("toxic").to_pylist())
 
 
 def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
