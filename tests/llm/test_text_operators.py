@@ -404,6 +404,63 @@ def test_secrets_against_regex(spark):
     assert (by[7]["spans"][0]["start"], by[7]["spans"][0]["end"]) == (2, 22)
 
 
+def token_spans(text, copied=()):
+    """Runs that look random, are not known as copied and overlap no base span."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", (text or "").replace("\ufdd0", "\ufdd1")):
+        t = m[0]
+        if re.search("[0-9]", t) and re.search("[a-z]", t) and re.search("[A-Z]", t) and len(set(t)) >= 12 and t not in copied:
+            if not any(a < m.end() and m.start() < b for a, _, b in base_spans(text)):
+                out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_op10_against_regex(spark, tmp_path):
+    """The registered query's columns on a small table with every awkward case."""
+    rows = [(k, t, "en", None if k == 4 else "s1", 0) for k, t in enumerate(SECRETS)] + [(100 + k, f"see {EXAMPLE} password={EXAMPLE}", "en", f"s{k}", 0) for k in range(4)]
+    rows += [(3, SECRETS[3], "en", "s1", 0), (None, f"{KEY[::-1]} token=abc123def", None, None, None), (200, f"{KEY}token=x{EXAMPLE[::-1]} {KEY[::-1]}{KEY}", "en", "s1", 1)]
+    spark.createDataFrame(rows, H.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = secret_scan.op10(spark, str(tmp_path)).collect()
+    names = ("assign", "access", "hex", "token")
+    listed = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+    want = []
+    for doc, t, *_ in rows:
+        base = base_spans(t)
+        both = sorted(base + token_spans(t, (EXAMPLE,)))
+        want.append((doc, *(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(both), len(both)))
+    have = [(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"], len(r["verdicts"].split(",")) if r["verdicts"] else 0) for r in got]
+    assert sorted(have, key=str) == sorted(want, key=str)
+    by = {r["doc_id"]: r for r in got}
+    assert by[100]["verdicts"] == "copied" and by[0]["verdicts"] == "live"
+
+
+def test_secrets_copied_inside_one_owner(spark):
+    """Different texts count as repositories, equal ones as one."""
+    rows = [(k, f"text {k} has {EXAMPLE}", "en", "s1", 0) for k in range(20)] + [(100 + k, f"see {KEY}", "en", "s1", 0) for k in range(20)]
+    got = secret_scan.find_secrets(spark.createDataFrame(rows, H.SCHEMA)).collect()
+    assert all(len(r["spans"]) == (r["doc_id"] >= 100) for r in got)
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    """Linear work: a hundred thousand matches in one text."""
+    import time
+
+    text = "".join(f"token=abcdef{k} Zq8vT2mLx9RwB4nKc{k:06d} é\n" for k in range(50000))
+    rows = [(1, text, "en", "s1", len(text)), (2, "plain", "en", "s1", 5)]
+    start = time.time()
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redacted(spark.createDataFrame(rows, H.SCHEMA)).collect()}
+    assert out == {1: "[SECRET] [SECRET] é\n" * 50000, 2: "plain"} and time.time() - start < 60
+
+
+def test_secrets_redacted_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "STRETCH", 7)
+    text = f"🙂🙂 token=abcdef1 x {KEY}\n é password: {'z' * 40}{'a' * 30}.b 🙂"
+    rows = [(1, text, "en", "s1", len(text)), (2, "token=abcdef1token=abcdef2", "en", "s1", 1), (3, "", "en", "s1", 0)]
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redacted(spark.createDataFrame(rows, H.SCHEMA)).collect()}
+    assert out[1][0] == "🙂🙂 [SECRET] x [SECRET]\n é [SECRET] 🙂" and out[1][1] == len(out[1][0])
+    assert out[2][0] == "[SECRET]" and out[3] == ("", 0)
+
+
 def test_secrets_redacted(spark):
     rows = [(k, t, "en", "s1", len(t or "")) for k, t in enumerate(SECRETS)] + [(3, SECRETS[3], "en", "s1", 5), (None, "token=abcdefgh!", None, None, None)]
     out = secret_scan.redacted(spark.createDataFrame(rows, H.SCHEMA)).collect()

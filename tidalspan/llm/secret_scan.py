@@ -2,16 +2,19 @@
 
 Three base kinds (assign, access, hex) are matched on every whole text. A fourth kind, token,
 holds other long runs that look random. Each match's value is hashed, and the hashes are
-aggregated over the corpus by distinct owners and repositories: a value that more than
-MAX_OWNERS owners hold is an example that was copied around, any other looks live and belongs
-to its owner. Tokens become spans only if they look live; base spans stay either way and carry
-the verdict.
+aggregated over the corpus by distinct owners and repositories (equal texts are one): a value that
+more than MAX_OWNERS owners or MAX_REPOSITORIES repositories hold is an example that was copied
+around, any other looks live and belongs to its owner. Every span carries that verdict; base spans
+stay either way, tokens become spans only if they look live and overlap no base span.
 
 Only DataFrame functions are used. Spark has no function for all match positions, so a mark
 is set around each match and the text is split at the marks; the lengths of the parts give the
 positions, in code points. The per-row part shuffles nothing; only hashes of matches do, first
 aggregated by hash, owner and repository, so that a value that a third of the rows hold is a
 few rows by then. The verdict joins the matches on the hash, which adaptive execution can split.
+What overlaps is found by running maxima over a text's sorted matches, and texts are redacted a
+stretch at a time, so that a text of very many matches takes no more than their number by its
+logarithm.
 
 Cases: null and empty texts hold nothing; a null owner is an owner of its own; repeated rows
 give a row each and count as one repository; an empty table gives no rows; further columns,
@@ -21,6 +24,7 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidalspan.llm import storage
@@ -36,7 +40,10 @@ KINDS = ("assign", "access", "hex", "token")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 TOKEN_VARIETY = 12
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 16
 CHUNK = 512
+#: Code points of a text that are redacted at a time.
+STRETCH = 1 << 15
 
 _MARK, _OTHER = "﷐", "﷑"
 SPAN = "struct<start:bigint,kind:int,end:bigint,h:bigint>"
@@ -116,31 +123,45 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns given, then base and spans: array<struct<start, kind, end, h, owners, live>>
-    sorted by start and kind, base without the method's own kind. docs: doc_id, text, source."""
+FOUND = "array<struct<start:bigint,kind:int,end:bigint,h:bigint,owners:bigint,repositories:bigint,live:boolean>>"
+
+
+def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns given, then base and spans: array<struct<start, kind, end, h, owners,
+    repositories, live>> sorted by start and kind, base without the method's own kind; and cover:
+    array<struct<start, end>>, the stretches that spans cover. docs: text, source and the columns."""
     kinds = scan(F.col("text"))
     row = storage.stored(
         docs.select(
-            *columns, F.col("doc_id").alias("_repository"), F.col("source").alias("_owner"),
+            *columns, F.xxhash64("text").alias("_repository"), F.col("source").alias("_owner"),
             F.concat(*(kinds[k] for k in KINDS)).alias("_matches"),
         ).withColumn("_row", F.monotonically_increasing_id()),
         "secrets-matches",
     )
     each = row.where(F.size("_matches") > 0).select("_row", "_owner", "_repository", F.explode("_matches").alias("m")).select("_row", "_owner", "_repository", "m.*")
     held = storage.stored(ownership(each.select("h", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"))), "secrets-owners")
-    judged = (
-        each.join(held, "h")
-        .select("_row", F.struct("start", "kind", "end", "h", "owners", (F.col("owners") <= max_owners).alias("live")).alias("s"))
-        .where((F.col("s.kind") < 3) | F.col("s.live"))
-        .groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("_all"))
-    )
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,h:bigint,owners:bigint,live:boolean>>")
-    every = F.coalesce(F.col("_all"), empty)
-    base = F.filter(every, lambda s: s["kind"] < 3)
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    told = each.join(held, "h").select("_row", "start", "kind", "end", "h", "owners", "repositories", live.alias("live")).where((F.col("kind") < 3) | F.col("live"))
+    before = W.partitionBy("_row").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
+    is_base = F.col("kind") < 3
     # a token that overlaps a base span says nothing new
-    new = F.filter(every, lambda s: (s["kind"] < 3) | ~F.exists(F.filter(every, lambda b: b["kind"] < 3), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return row.join(judged, "_row", "left").select(*columns, base.alias("base"), new.alias("spans"))
+    reach = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(before), F.lit(0))
+    following = F.last(F.when(is_base, F.col("start")), ignorenulls=True).over(after)
+    told = told.withColumn("_reach", reach).withColumn("_following", following)
+    told = told.where(is_base | ((F.col("_reach") <= F.col("start")) & (F.col("_following").isNull() | (F.col("_following") >= F.col("end")))))
+    # a stretch begins where no span before reaches, and ends where the spans before the next one do
+    told = told.withColumn("_reach", F.max("end").over(before))
+    fresh = F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))
+    told = told.withColumn("_fresh", fresh).withColumn("_last", F.max("end").over(W.partitionBy("_row")))
+    told = told.withColumn("_end", F.coalesce(F.last(F.when(F.col("_fresh"), F.col("_reach")), ignorenulls=True).over(after), F.col("_last")))
+    judged = told.groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "h", "owners", "repositories", "live"))).alias("_all"),
+        F.array_sort(F.collect_list(F.when(F.col("_fresh"), F.struct("start", F.col("_end").alias("end"))))).alias("_cover"),
+    )
+    every = F.coalesce(F.col("_all"), F.array().cast(FOUND))
+    cover = F.coalesce(F.col("_cover"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return row.join(judged, "_row", "left").select(*columns, F.filter(every, lambda s: s["kind"] < 3).alias("base"), every.alias("spans"), cover.alias("cover"))
 
 
 def listed(found: Column) -> Column:
@@ -149,28 +170,37 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, found: Column, by: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def redact(text: Column, cover: Column, by: str = "[SECRET]") -> Column:
+    """The text with each stretch of cover replaced."""
+
+    def of_part(part: Column, k: Column) -> Column:
+        first, n = k.cast("bigint") * STRETCH, F.char_length(part).cast("bigint")
+
+        def cut(own: Column) -> Column:
+            def kept(i: Column) -> Column:
+                start = F.when(i == 0, 0).otherwise(F.get(own, i - 1)["end"] - first)
+                end = F.when(i == F.size(own), n).otherwise(F.greatest(F.get(own, i)["start"] - first, F.lit(0)))
+                mark = F.when(F.get(own, i)["start"] >= first, F.lit(by)).otherwise("")
+                return F.concat(F.substr(part, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")), mark)
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.size(own)), kept), "")
 
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        out = F.when(fresh, F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(by))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+        return _let(F.filter(cover, lambda c: (c["start"] < first + n) & (c["end"] > first)), cut)
 
-    return F.aggregate(found, start, step, lambda done: F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"))))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}+"), F.lit(0))
+    return F.array_join(F.transform(parts, of_part), "")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source, n_chars and more) with every span replaced in the text, and
     n_chars counted anew where that changed something."""
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    found = find_secrets(keyed, columns=("doc_id", "_h")).where(F.size("spans") > 0)
-    found = storage.stored(found.groupBy("doc_id", "_h").agg(F.first("spans").alias("spans")).select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_hash"), "spans"), "secrets-spans")
+    found = find_secrets(keyed, columns=("doc_id", "_h")).where(F.size("cover") > 0)
+    found = storage.stored(found.groupBy("doc_id", "_h").agg(F.first("cover").alias("_cover")).select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_hash"), "_cover"), "secrets-spans")
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_h"] == found["_hash"]), "left")
     # a column of its own first: in one select, names inside lambdas would mean the new text
-    done = joined.withColumn("_redacted", F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    n = F.when(F.col("spans").isNotNull(), F.char_length("_redacted").cast("long")).otherwise(F.col("n_chars"))
+    done = joined.withColumn("_redacted", F.when(F.col("_cover").isNotNull(), redact(F.col("text"), F.col("_cover"))).otherwise(F.col("text")))
+    n = F.when(F.col("_cover").isNotNull(), F.char_length("_redacted").cast("long")).otherwise(F.col("n_chars"))
     return done.select(*((F.col("_redacted") if c == "text" else n if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
 
 
@@ -181,4 +211,5 @@ def op10(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.when(s["live"], "live").otherwise("copied")), ",").alias("verdicts"),
     )
