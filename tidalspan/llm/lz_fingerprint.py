@@ -8,11 +8,13 @@ common: 1 for equal texts, about 0 for unrelated ones.
 
 Each text is parsed where it is read. Only the comparison with a neighbour in the order of ids
 moves texts: ranges of ids go to blocks, one shuffle of the texts, and a block also gets the
-first document of the next. A task holds two texts and their phrases at a time.
+first document of the next. An id that many rows share (a null one, say) fills several blocks. A
+task holds two texts and their phrases at a time.
 
 Cases: a null text counts as empty and an empty text has no phrases (all bins empty; two such
-texts are alike to 1); a null doc_id sorts first; equal doc_ids are ordered by text; a lone
-document is its own neighbour; an empty table gives no rows; further columns are ignored.
+texts are alike to 1); a null doc_id sorts first; equal doc_ids are ordered by a hash of the text;
+a lone document is its own neighbour; repeated rows are rows each; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,17 +112,21 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     """Rows (doc_id, text, _block, _extra) in blocks: a block's own documents in order, then, as
     extra, the first of the next block (of the first one after the last)."""
     upper = ranges.bounds(docs, "doc_id", blocks)
-    given = docs.select("doc_id", "text", ranges.order_key(F.col("doc_id")).alias("_key"), ranges.block(F.col("doc_id"), upper).alias("_block"))
-    firsts = sorted((r["_block"], r["k"]) for r in given.groupBy("_block").agg(F.min("_key").alias("k")).collect())
-    also = F.lit(None).cast("int")
-    for at, (own, key) in enumerate(firsts):  # at most a row for each block
-        also = F.when((F.col("_block") == own) & (F.col("_key") == key), F.lit(firsts[at - 1][0])).otherwise(also)
+    spread = len(set(upper)) < len(upper)  # else no key is in two blocks, and which of its rows is first does not matter
+    tie = F.xxhash64("text") if spread else F.lit(0).cast("long")
+    given = docs.select("doc_id", "text", ranges.order_key(F.col("doc_id")).alias("_key"), tie.alias("_tie"), ranges.block(F.col("doc_id"), upper, tie, blocks).alias("_block"))
+    rows = given.groupBy("_block").agg(F.min(F.struct("_key", "_tie")).alias("f")).select("_block", "f.*").collect()  # at most a row for each block
+    firsts = sorted(tuple(r) for r in rows)
+    names, keys, ties = (ranges.longs([f[i] for f in firsts]) for i in range(3))
+    before = ranges.longs([firsts[at - 1][0] for at in range(len(firsts))])
+    at = F.array_position(names, F.col("_block").cast("long")).cast("int") - 1
+    also = F.when((F.get(keys, at) == F.col("_key")) & (F.get(ties, at) == F.col("_tie")), F.get(before, at).cast("int"))
     copies = F.when(also.isNull(), F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("e")))).otherwise(
         F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("e")), F.struct(also.alias("b"), F.lit(1).alias("e")))
     )
     return (
         given.select("doc_id", "text", "_key", F.inline(copies).alias("_to", "_extra"))
-        .repartition(blocks, "_to").sortWithinPartitions("_to", "_extra", "_key", "text")
+        .repartition(blocks, "_to").sortWithinPartitions("_to", "_extra", "_key", F.xxhash64("text"), "text")
         .select("doc_id", "text", F.col("_to").alias("_block"), "_extra")
     )
 
@@ -166,4 +172,4 @@ def compare_with_next(docs: DataFrame, blocks: int) -> DataFrame:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return compare_with_next(docs, words.partitions(spark))
+    return compare_with_next(docs, ranges.count_for(docs, words.partitions(spark)))

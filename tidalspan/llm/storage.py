@@ -48,6 +48,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_matching(spark: SparkSession, pattern: str) -> None:
+    """Deletes the files whose paths match pattern."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.globStatus(path) or []:
+        system.delete(status.getPath(), False)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes every table that this application has stored."""
     delete(spark, f"{shared_dir(spark)}/tidalspan-{spark.sparkContext.applicationId}")

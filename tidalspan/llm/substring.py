@@ -3,25 +3,32 @@
 A window is WINDOW consecutive words. Documents are taken in the order of their ids, in blocks
 (ranges of ids); a block is one batch of the index. Each block hashes its windows, keeps one
 of each, sorts them and sends them to the shards of the index, which are ranges of the hash.
-A shard holds immutable sorted runs: it merge-joins a batch with each run, answers which of the
+A shard holds immutable sorted runs: it looks a sorted batch up in each run, answers which of the
 batch's hashes an earlier batch had, adds the others as a new run, and merges runs of like
 size, so that it has a logarithm of the batches' number of them. The answers, one bit a hash,
 go back to the blocks, where they say which windows occurred before; repeats inside a block
 are found there. Words that such windows cover are removed.
 
-A match needs equal 64-bit hashes and is verified by a second, independent 32-bit hash of the
-window, 96 bits in all. Frequent windows are no burden: a block sends each once.
-The texts are shuffled once (both uses read the same exchange), hashes at some 10 bytes a word.
-With a folder, runs are kept there as tables and later batches are judged against them.
+A match needs equal 64-bit hashes and is verified by 32 bits of a hash of the window that is
+made of other hashes of its words, 96 bits in all. Frequent windows are no burden: a block sends
+each once. The texts are shuffled once (both uses read the same exchange), hashes at some 10 bytes
+a word. Blocks and shards grow in number with the table.
+
+With a folder, runs are kept there as tables and later batches are judged against them. A batch
+has a name: its result is written first, then its run, then a mark; under a name that is marked,
+the stored result is returned and nothing is added, so a batch that failed can be run again. Runs
+are merged only when their batches are marked.
 
 Cases: null and empty texts have no words; texts shorter than a window keep all words; a null
-doc_id comes first; rows with equal ids are ordered by text, and repeated rows lose what the
-first of them keeps; an empty table gives no rows; further columns are ignored.
+doc_id comes first; rows with equal ids are ordered by a hash of the text and may fill several
+blocks, and repeated rows lose what the first of them keeps; an empty table gives no rows, and as
+a batch adds nothing; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,21 +42,25 @@ from tidalspan.llm import ranges, storage, words
 WINDOW = 20
 #: Runs of a shard that are kept as tables before they are merged into one.
 FANOUT = 4
-_CACHE_WORDS = 500_000
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _INVERSE = {m: pow(m, -1, 1 << 64) for m in (_P, _Q)}
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; forgets all when it has grown too large."""
+class WordNumbers(dict):
+    """word -> number; and two 64-bit hashes of each, which have no bits in common."""
+
+    def __init__(self) -> None:
+        self.digests: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = self[word] = len(self.digests)
+        self.digests.append(xxhash.xxh3_128_digest(word))
         return found
 
+    def hashes(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.digests), np.uint64).reshape(-1, 2)
+
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,19 +85,20 @@ class Block:
     """The windows of a block of documents, in order."""
 
     def __init__(self, texts: list[str | None], length: int = WINDOW) -> None:
-        cache = WordHashes()
+        numbers = WordNumbers()
         parts = []
         for text in texts:
             found = words.words_of(text)
-            parts.append(np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)))
+            parts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
         self.length = length
         self.sizes = np.array([len(p) for p in parts], np.int64)
-        w = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        w = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        first, second = numbers.hashes().T
         ends = np.repeat(np.cumsum(self.sizes), self.sizes)
         self.starts = np.flatnonzero(ends - np.arange(len(w)) >= length)
         if len(self.starts):
-            h = _mixed(_polynomial(w, self.starts, length, _P))
-            c = (_mixed(_polynomial(_mixed(w), self.starts, length, _Q)) >> np.uint64(32)).astype(np.uint32)
+            h = _mixed(_polynomial(first[w], self.starts, length, _P))
+            c = (_mixed(_polynomial(second[w], self.starts, length, _Q)) >> np.uint64(32)).astype(np.uint32)
         else:
             h, c = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         order = np.argsort(h, kind="stable")
@@ -148,6 +160,7 @@ class Runs:
 
 
 def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted run of several; the stable sort merges what is sorted already, in linear time."""
     h = np.concatenate([r[0] for r in runs])
     c = np.concatenate([r[1] for r in runs])
     order = np.argsort(h, kind="stable")
@@ -155,14 +168,14 @@ def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
-    upper = ranges.bounds(docs, "doc_id", blocks)
-    return docs.select("doc_id", "text", ranges.block(F.col("doc_id"), upper).alias("_block"))
+    upper, tie = ranges.bounds(docs, "doc_id", blocks), F.xxhash64("text")
+    return docs.select("doc_id", "text", tie.alias("_tie"), ranges.block(F.col("doc_id"), upper, tie, words.partitions(docs.sparkSession)).alias("_block"))
 
 
 def _in_order(table: pa.Table) -> tuple[list, list]:
-    rows = zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    return [r[0] for r in rows], [r[1] for r in rows]
+    rows = zip(*(table.column(c).to_pylist() for c in ("doc_id", "_tie", "text")), strict=True)
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] is not None, r[2] or ""))
+    return [r[0] for r in rows], [r[2] for r in rows]
 
 
 _PIECES = pa.schema([("_block", pa.int32()), ("_shard", pa.int32()), ("data", pa.binary())])
@@ -170,12 +183,18 @@ _ANSWERS = pa.schema([("_block", pa.int32()), ("_shard", pa.int32()), ("data", p
 _RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def dedupe(docs: DataFrame, blocks: int, length: int = WINDOW, folder: str | None = None, with_text: bool = False) -> DataFrame:
+def dedupe(docs: DataFrame, blocks: int, length: int = WINDOW, folder: str | None = None, with_text: bool = False, batch: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text. docs: doc_id, text. With a
-    folder, documents of earlier calls count as earlier, and this call's windows are added."""
+    folder, documents of earlier calls count as earlier, and this call's windows are added; a call
+    under the name of an earlier one (batch: letters and digits) returns that one's result."""
     spark = docs.sparkSession
     bits = max(1, (blocks - 1).bit_length())
     if folder:
+        batch = batch or uuid.uuid4().hex
+        if not batch.isalnum():
+            raise ValueError("a batch is named by letters and digits")
+        if _exists(spark, f"{folder}/{_MARK}-{batch}") or any(n.endswith(f"-{batch}") for n in _tables(spark, folder)):
+            return spark.read.parquet(f"{folder}/{_RESULTS}-{batch}")
         bits = _index_bits(spark, folder, bits)
     edges = [np.uint64(k << (64 - bits)) for k in range(1 << bits)]
 
@@ -229,13 +248,30 @@ def dedupe(docs: DataFrame, blocks: int, length: int = WINDOW, folder: str | Non
     pieces = blocked.groupBy("_block").applyInArrow(fingerprint, "_block int, _shard int, data binary")
     if folder:
         pieces = pieces.unionByName(_runs(spark, folder))
-    answers = pieces.groupBy("_shard").applyInArrow(ask, "_block int, _shard int, data binary, is_run boolean")
+    # a shard to each partition, like the blocks
+    place = F.get(ranges.longs(ranges.names(1 << bits, words.partitions(spark))), F.col("_shard")).cast("int")
+    answers = pieces.withColumn("_place", place).groupBy("_place").applyInArrow(ask, "_block int, _shard int, data binary, is_run boolean")
+    new = None
     if folder:
         answers = storage.stored(answers, "substring-answers")
-        _keep_runs(answers.where("is_run"), folder, bits)
-        answers = answers.where("not is_run")
+        new, answers = answers.where("is_run"), answers.where("not is_run")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return blocked.groupBy("_block").cogroup(answers.select("_block", "_shard", "data").groupBy("_block")).applyInArrow(remove, schema)
+    result = blocked.groupBy("_block").cogroup(answers.select("_block", "_shard", "data").groupBy("_block")).applyInArrow(remove, schema)
+    if folder:
+        path = f"{folder}/{_RESULTS}-{batch}"
+        result.write.mode("overwrite").parquet(path)
+        _keep_runs(new, folder, bits, batch)
+        result = spark.read.schema(schema).parquet(path)
+    return result
+
+
+_RESULTS, _MARK = "result", "done"
+
+
+def _exists(spark, path: str) -> bool:
+    """Whether a table is there, and whole."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def _tables(spark, folder: str) -> list[str]:
@@ -261,21 +297,25 @@ def _runs(spark, folder: str) -> DataFrame:
     return rows.select(F.lit(-1).cast("int").alias("_block"), "_shard", "data")
 
 
-def _keep_runs(new: DataFrame, folder: str, bits: int) -> None:
+def _keep_runs(new: DataFrame, folder: str, bits: int, batch: str) -> None:
     """Adds a run to each shard, of which there are 2**bits; with FANOUT tables there, they are merged into one."""
     spark = new.sparkSession
     names = _tables(spark, folder)
     number = int(names[-1].split("-")[1]) + 1 if names else 0
-    new.select("_shard", "data").write.parquet(f"{folder}/run-{number:08d}-{bits}")
-    names.append(f"run-{number:08d}-{bits}")
+    names.append(f"run-{number:08d}-{bits}-{batch}")
+    new.select("_shard", "data").write.mode("overwrite").parquet(f"{folder}/{names[-1]}")  # from here on the batch is in the index
+    spark.range(1).write.mode("overwrite").parquet(f"{folder}/{_MARK}-{batch}")
     if len(names) >= FANOUT:
 
         def compact(table: pa.Table) -> pa.Table:
             h, c = merged([unpack(d) for d in table.column("data").to_pylist()])
             return pa.table([pa.array([table.column("_shard")[0].as_py()], pa.int32()), pa.array([pack(h, c)], pa.binary())], names=["_shard", "data"])
 
+        for n in names:  # runs whose batch was not marked yet, by a crash just before
+            if n.count("-") == 3:
+                spark.range(1).write.mode("overwrite").parquet(f"{folder}/{_MARK}-{n.split('-')[3]}")
         every = spark.read.schema(_RUN_COLUMNS).parquet(*(f"{folder}/{n}" for n in names))
-        every.groupBy("_shard").applyInArrow(compact, _RUN_COLUMNS).write.parquet(f"{folder}/run-{number + 1:08d}-{bits}")
+        every.groupBy("_shard").applyInArrow(compact, _RUN_COLUMNS).write.mode("overwrite").parquet(f"{folder}/run-{number + 1:08d}-{bits}")
         for n in names:  # a crash before this leaves hashes in two runs, which changes no answer
             storage.delete(spark, f"{folder}/{n}")
 
@@ -283,4 +323,4 @@ def _keep_runs(new: DataFrame, folder: str, bits: int) -> None:
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     # two blocks a partition: a task holds one at a time, and hashing deals them more evenly
-    return dedupe(docs, 2 * words.partitions(spark))
+    return dedupe(docs, ranges.count_for(docs, 2 * words.partitions(spark)))

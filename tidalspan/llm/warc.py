@@ -9,8 +9,10 @@ manifest, one row a file, is a Spark table that exists when all tasks have succe
 take the files that it names and check size and digest of each.
 
 Equal payloads of at least min_bytes are stored once: the record with the smallest page id is a
-response, the others are revisits of it. Payload digests are aggregated before they are joined,
-and the roles that result travel to the blocks beside the pages, not by a join of payloads.
+response, the others are revisits of it. Payload digests are aggregated before they are joined
+(each in SALTS parts, so that the copies of one payload are not one task), and the roles that
+result travel to the blocks beside the pages, not by a join of payloads. A page id that many rows
+share (a null one, say) fills several blocks.
 
 Files are reached through pyarrow's file systems under the folder of spark.checkpoint.dir,
 which driver and executors share (a local path, HDFS or an object store).
@@ -18,7 +20,8 @@ which driver and executors share (a local path, HDFS or an object store).
 Cases: a null html is an empty payload; a null url is written as urn:page:<id>, and control
 characters in urls are escaped; a null page_id sorts first and never becomes the response that
 others refer to; rows that repeat the smallest page id of a payload are responses each; an
-empty table gives an empty manifest and no rows; further columns are ignored.
+empty table gives an empty manifest and no rows; further columns are ignored. Temporary files of
+attempts that died are deleted when the manifest is there.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ ROLL_BYTES = 64 << 20
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 6
+SALTS = 16
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -63,7 +67,11 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None) -> bytes:
+def _uri(page_id: int | None, url: str | None) -> str:
+    return _clean(url) if url else f"urn:page:{page_id}"
+
+
+def page_record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, refers_url: str | None = None) -> bytes:
     payload = (html or "").encode("utf-8", "surrogatepass")
     digest = sha1_base32(payload)
     revisit = refers_to is not None
@@ -71,13 +79,16 @@ def page_record(page_id: int | None, url: str | None, html: str | None, refers_t
     block = head if revisit else head + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", DATE),
-        ("WARC-Target-URI", _clean(url) if url else f"urn:page:{page_id}"), ("Content-Type", HTTP_TYPE),
+        ("WARC-Target-URI", _uri(page_id, url)), ("Content-Type", HTTP_TYPE),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
     ]
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
     if revisit:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to))]
+        fields += [
+            ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Target-URI", _uri(refers_to, refers_url)),
+            ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", str(refers_to)),
+        ]
     return _record(fields, block)
 
 
@@ -128,27 +139,31 @@ _MANIFEST_ARROW = pa.schema([("block", pa.int32()), ("file", pa.string()), ("rec
 
 
 def roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, digest, refers_to of the pages whose payload an earlier page has."""
+    """page_id, tie, digest, refers_to, refers_url of the pages whose payload an earlier page has."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    slim = storage.stored(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes), "warc-digests")
-    firsts = storage.stored(
-        slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & F.col("refers_to").isNotNull()).drop("copies"), "warc-firsts"
-    )
-    return slim.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
+    slim = storage.stored(pages.select("page_id", F.xxhash64("html").alias("tie"), "url", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes), "warc-digests")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    firsts = storage.stored(slim.groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & F.col("first").isNotNull()).select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), "warc-firsts")
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    return joined.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "tie", "digest", "refers_to", "refers_url")
 
 
 def write(pages: DataFrame, folder: str, blocks: int, min_bytes: int = MIN_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) to folder, which must exist, and returns the manifest."""
     upper = ranges.bounds(pages, "page_id", blocks)
-    key, at = ranges.order_key(F.col("page_id")).alias("_key"), ranges.block(F.col("page_id"), upper).alias("_block")
+    key = ranges.order_key(F.col("page_id")).alias("_key")
+    at = lambda tie: ranges.block(F.col("page_id"), upper, tie, blocks).alias("_block")
     none = F.lit(None)
-    rows = pages.select(at, key, F.lit(1).alias("_kind"), "page_id", "url", "html", none.cast("long").alias("refers_to"), none.cast("string").alias("digest"))
-    told = roles(pages, min_bytes).distinct().select(at, key, F.lit(0).alias("_kind"), "page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "refers_to", "digest")
-    order = rows.unionByName(told).repartition(blocks, "_block").sortWithinPartitions("_block", "_key", "_kind", "url", "html")
+    tie = F.xxhash64("html")
+    rows = pages.select(at(tie), key, tie.alias("_tie"), F.lit(1).alias("_kind"), "page_id", "url", "html", none.cast("long").alias("refers_to"), none.cast("string").alias("digest"))
+    # a told row comes just before the pages of its payload
+    told = roles(pages, min_bytes).distinct().select(at(F.col("tie")), key, F.col("tie").alias("_tie"), F.lit(0).alias("_kind"), "page_id", F.col("refers_url").alias("url"), none.cast("string").alias("html"), "refers_to", "digest")
+    order = rows.unionByName(told).repartition(blocks, "_block").sortWithinPartitions("_block", "_key", "_tie", "_kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, str | None]] = {}
         known_for = object()
 
         def close() -> None:
@@ -156,25 +171,27 @@ def write(pages: DataFrame, folder: str, blocks: int, min_bytes: int = MIN_BYTES
                 done.append(row)
 
         for batch in batches:
-            for block, kind, page_id, url, html, refers_to, digest in zip(*(batch.column(i) for i in range(7)), strict=True):
+            for block, tie, kind, page_id, url, html, refers_to, digest in zip(*(batch.column(i) for i in range(8)), strict=True):
                 block, page_id = block.as_py(), page_id.as_py()
-                if page_id != known_for:
-                    known, known_for = {}, page_id
+                if (page_id, tie.as_py()) != known_for:
+                    known, known_for = {}, (page_id, tie.as_py())
                 if not kind.as_py():
-                    known[digest.as_py()] = refers_to.as_py()
+                    known[digest.as_py()] = refers_to.as_py(), url.as_py()
                     continue
                 if writer is None or writer.block != block:
                     close()
                     writer = Writer(folder, block, roll_bytes)
                 html = html.as_py()
                 target = known.get(hashlib.sha1((html or "").encode("utf-8", "surrogatepass")).hexdigest()) if known else None
-                if row := writer.add(page_id, page_record(page_id, url.as_py(), html, target)):
+                if row := writer.add(page_id, page_record(page_id, url.as_py(), html, *(target or (None,)))):
                     done.append(row)
         close()
         yield pa.RecordBatch.from_pylist(done, schema=_MANIFEST_ARROW)
 
-    columns = ["_block", "_kind", "page_id", "url", "html", "refers_to", "digest"]
-    return storage.stored(order.select(*columns).mapInArrow(run, MANIFEST), "warc-manifest")
+    columns = ["_block", "_tie", "_kind", "page_id", "url", "html", "refers_to", "digest"]
+    manifest = storage.stored(order.select(*columns).mapInArrow(run, MANIFEST), "warc-manifest")
+    storage.delete_matching(pages.sparkSession, f"{folder}/.pages-*.tmp")
+    return manifest
 
 
 def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
@@ -274,6 +291,6 @@ def new_folder(spark, tag: str) -> str:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    folder, n = new_folder(spark, "warc"), words.partitions(spark)
+    folder, n = new_folder(spark, "warc"), ranges.count_for(pages, words.partitions(spark))
     manifest = write(pages, folder, n)
     return read(manifest, folder, n, with_payload=False).drop("payload", "url")
