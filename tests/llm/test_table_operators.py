@@ -39,6 +39,48 @@ def test_mixing_meets_targets(spark):
     assert key(got) == key(taken(spark, rows[::-1]))  # reruns agree, whatever the order of rows
 
 
+@pytest.mark.parametrize("large", [50_000, 5])
+def test_mixing_of_many_sources(spark, monkeypatch, large):
+    """More sources than classes, and than are joined by broadcast: the same targets, met."""
+    monkeypatch.setattr(mixing, "CLASSES", 7)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", large)
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.choice([1, 4, 50]), "en", f"s{rng.randint(0, 60) if k % 3 else 'hot'}", 0) for k in range(1500)] + [(9, "a b", None, None, None)]
+    got = taken(spark, rows, shards=5)
+    assert len(got) == len(rows)
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len(H.words(r[1])) for r in rows if r[3] == s) for s in sources}
+    want = dict(zip(sources, mixing.targets([size[s] for s in sources], [(3, 1, 2)[k % 3] for k in range(len(sources))], 1.5 * sum(size.values())), strict=True))
+    shards = [0] * 5
+    for s in sources:
+        own = [r for r in got if r["source"] == s]
+        assert [r["target"] for r in own] == pytest.approx([want[s]] * len(own)) and abs(sum(d["words"] for r in own for d in r["draws"]) - want[s]) <= 2
+    for r in got:
+        for d in r["draws"]:
+            shards[d["shard"]] += 1
+    assert max(shards) < 2 * min(shards) and all(sum(d["words"] for d in r["draws"]) <= 2 * r["size"] for r in got)
+
+
+def test_sources_are_numbered_over_partitions(spark):
+    names = [None, "", "B", "a", "é", "🙂", "\ue000"] + [f"s{k}" for k in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.numbered(spark.createDataFrame([(n,) for n in names], "source string").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["source"]: r["k"] for r in got} == {n: k for k, n in enumerate(sorted(names, key=lambda s: (s is None, s or "")))}
+
+
+def test_op2_and_mixed_on_odd_tables(spark, tmp_path):
+    spark.createDataFrame(H.texts() + H.texts()[:3], H.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op2(spark, str(tmp_path)).collect()
+    assert len(got) == len(H.texts()) + 3 and all(0 <= r["taken"] <= 2 * r["size"] and len(r["shards"]) <= 2 for r in got)
+    H.empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert mixing.op2(spark, f"{tmp_path}/none").count() == 0 and mixing.mixed(H.empty(spark), 3).count() == 0
+    wide = H.docs(spark)
+    assert mixing.mixed(wide, 3).columns == wide.columns
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [3, 1, 2], 45) == [20, pytest.approx(25 / 3), pytest.approx(50 / 3)]
     assert mixing.targets([0, 5], [1, 1], 7.5) == [0, 7.5] and mixing.targets([], [], 0) == []
