@@ -52,7 +52,7 @@ def test_neighbours_of_hot_ids(spark):
 def test_pages_of_hot_ids(spark):
     rows = [(None if k % 3 == 0 else k, "u", f"<p>{k % 40}") for k in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    folder = warc.new_folder(spark, "test")
+    folder = storage.new_folder(spark, "test")
     open(f"{folder.removeprefix('file://')}/.pages-000001-00000.warc.gz.dead.tmp", "wb").close()
     manifest = warc.write(df, folder, 6)
     got = warc.read(manifest, folder, 3).collect()

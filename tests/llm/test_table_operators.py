@@ -205,7 +205,7 @@ def test_warc_round_trip(spark):
     rows = [(k, f"http://x.org/{k}", f"<p>{k % 7}" if k % 3 else html) for k in range(60)]
     rows += [(100, None, None), (101, "", ""), (102, "http://x/\r\nInjected: yes é", "🙂\r\n\r\nWARC/1.1\r\n"), (None, "u", "<p>1"), (103, "u", "same"), (103, "u", "same"), (103, "u", "other")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as digest", "'c' as _block", "1 as refers_to")
-    folder = warc.new_folder(spark, "test")
+    folder = storage.new_folder(spark, "test")
     manifest = warc.write(df, folder, 3, roll_bytes=2000)
     assert manifest.count() > 3 and manifest.agg(F.sum("records")).first()[0] == len(rows)
     got = warc.read(manifest, folder, 2).collect()
@@ -220,23 +220,23 @@ def test_warc_round_trip(spark):
     have = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got]
     key = lambda r: [str(x) for x in r]
     assert sorted(have, key=key) == sorted(want, key=key)
-    again = warc.write(df.repartition(5), other := warc.new_folder(spark, "test"), 3, roll_bytes=2000)
+    again = warc.write(df.repartition(5), other := storage.new_folder(spark, "test"), 3, roll_bytes=2000)
     names = lambda m: sorted((r["file"], r["sha256"]) for r in m.collect())
     assert names(manifest) == names(again) and other != folder  # the same bytes whatever the partitions
-    large = warc.read(warc.write(df, f2 := warc.new_folder(spark, "test"), 1, min_bytes=100), f2, 1)
+    large = warc.read(warc.write(df, f2 := storage.new_folder(spark, "test"), 1, min_bytes=100), f2, 1)
     assert large.where("record_type = 'revisit' and payload_bytes < 100").count() == 0
 
 
 def test_warc_damage_is_seen(spark):
     df = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
-    folder = warc.new_folder(spark, "test")
+    folder = storage.new_folder(spark, "test")
     manifest = warc.write(df, folder, 1)
     path = f"{folder.removeprefix('file://')}/{manifest.first()['file']}"
     data = open(path, "rb").read()
     open(path, "wb").write(data[:-9])
     with pytest.raises(Exception, match="ends inside|not what the manifest"):
         warc.read(manifest, folder, 1).collect()
-    assert warc.read(warc.write(df.limit(0), f2 := warc.new_folder(spark, "t"), 2), f2, 1).count() == 0
+    assert warc.read(warc.write(df.limit(0), f2 := storage.new_folder(spark, "t"), 2), f2, 1).count() == 0
 
 
 # --- pipeline

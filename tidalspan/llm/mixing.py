@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidalspan.llm import storage, words
+from tidalspan.llm import ranges, storage, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -233,7 +233,7 @@ def _mix(docs: DataFrame, weights: Sequence[float], share: float, shards: int) -
     sized = docs.select(F.struct(*docs.columns).alias("_given"), "doc_id", "source", words.word_count(F.col("text")).alias("size"))
     return (
         draws(sized, made).select("_given", "doc_id", "size", F.inline("draws").alias("turn", "shard", "position", "words"))
-        .repartition("shard").sortWithinPartitions("shard", "position", "doc_id", "turn").drop("doc_id")
+        .repartition(shards, F.get(ranges.longs(ranges.names(shards, shards)), F.col("shard")).cast("int")).sortWithinPartitions("shard", "position", "doc_id", "turn").drop("doc_id")
     )
 
 

@@ -1,31 +1,40 @@
-"""Exact top-k by inner product: best-first search in paged M-trees.
+"""Exact top-k by inner product: best-first search in a paged M-tree.
 
 Vectors are quantised to integers. Equal vectors are one entry with the smallest ids it can
-ever need. Entries are dealt to units: by the nearest of a few sampled pivots, and by a hash
-where a pivot has more than UNIT entries. Each unit holds an M-tree: its nodes are pages, each
-with a routing object, a covering radius and its distance to the parent's routing object; leaves
-hold the entries' vectors with their distances to the page's routing object.
-
-For a query q, an entry x below a page with routing object p and radius r has
-<q, x> <= <q, p> + |q| r, so pages are taken best first and the search ends when no page's bound
-reaches the k-th score found. Two bounds come before any product: a child's own bound is at most
-<q, parent> + |q| (distance to parent + radius), and a leaf entry's at most <q, p> + |q| (stored
-distance); what they exclude is never computed. Pages are compared by numpy, a page at a time.
-
-Queries are a stated set against all rows, in blocks. Each query first searches its own unit,
-which gives it a good k-th score, and then, with that score as its threshold, all others; a
-task holds one unit and one block of queries. The index covers every row and is exact: sampling
-only chooses pivots (MAX_PIVOTS of them at most, from a sample of SAMPLE rows).
+ever need. The tree has three kinds of pages, all with a covering radius around a centre:
+
+* a unit, of at most UNIT entries, is an M-tree of its own: nodes with a routing object, a covering
+  radius and the distance to the parent's; leaves hold the entries' vectors with their distances.
+  A cell of more entries is split around pivots of its own, again and again, until none is;
+* a directory lists the units below one of the root's cells, with their centres and radii;
+* the root lists at most MAX_PIVOTS cells for each length of vectors.
+
+Units and directories are built once and written as files; tasks read the ones that they need.
+
+For a query q, an entry x below a page with centre p and radius r has <q, x> <= <q, p> + |q| r.
+Each query goes first to its best unit (the best cell's best unit), which gives it a good k-th
+score. That score is its threshold for the rest: the root and the directories drop every (query,
+unit) pair whose bound is below it, before anything is shuffled, and what is left is dealt to
+tasks in ranges of (unit, query), so that a unit that many queries want fills several tasks. In a
+unit, pages are taken best first, and two bounds come before any product: a child's own bound is
+at most <q, parent> + |q| (distance to parent + radius), and a leaf entry's at most <q, p> + |q|
+(stored distance); what they exclude is never computed.
+
+Queries are a stated set against all rows. The index covers every row and is exact: samples only
+choose pivots (of SAMPLE rows for the root, of about SPLIT_SAMPLE rows in a cell that is split).
 
 Cases: vectors that are null, or hold null or non-finite components, take no part, neither as
 queries nor as candidates; empty vectors and vectors of other lengths only meet their like;
 repeated ids are candidates each, but none with the query's own id; ties go to the smaller id;
-an empty table gives no rows; further columns are ignored. Scores must fit in 63 bits.
+an empty table gives no rows; further columns are ignored; components so large that a score
+might not fit in 63 bits raise a ValueError.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +53,8 @@ PAGE = 64
 FANOUT = 16
 SAMPLE = 4096
 MAX_PIVOTS = 256
-QUERY_BLOCK = 1024
+#: A crowded cell is split around so many pivots at most, out of about so many sampled rows.
+SPLIT, SPLIT_SAMPLE = 64, 256
 SEED = 42
 
 
@@ -65,22 +75,52 @@ def entries(vectors: DataFrame, keep: int) -> DataFrame:
     return thin.groupBy("q").agg(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["vec_id"], x["_times"]))).alias("ids"))
 
 
-def pivots_of(found: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """By length: at most MAX_PIVOTS routing vectors, far from each other, out of a sample."""
+class Files:
+    """Pages as files under a folder that all executors share; whole from the moment they have their name."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        self.opened = None
+
+    def __getstate__(self) -> str:
+        return self.folder
+
+    def __setstate__(self, folder: str) -> None:
+        self.folder, self.opened = folder, None
+
+    def _at(self):
+        from pyarrow import fs
+
+        if self.opened is None:
+            self.opened = fs.FileSystem.from_uri(self.folder)
+        return self.opened
+
+    def put(self, name: str, page: object) -> None:
+        from pyarrow import fs
+
+        system, at = self._at()
+        final, temporary = f"{at}/{name}", f"{at}/.{name}.{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(temporary) as out:
+            out.write(pickle.dumps(page, protocol=5))
+        if not isinstance(system, fs.LocalFileSystem) and system.get_file_info(final).type != fs.FileType.NotFound:
+            system.delete_file(final)  # another attempt's; some stores do not rename onto a file
+        system.move(temporary, final)
+
+    def get(self, name: str) -> object:
+        system, at = self._at()
+        with system.open_input_stream(f"{at}/{name}") as found:
+            return pickle.loads(found.read())
+
+
+def root_pivots(found: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """By length: at most MAX_PIVOTS vectors out of a sample."""
     wanted = int(min(MAX_PIVOTS, max(1, count // (UNIT // 2))))
-    sample = found.select("q").orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect()
     by_length: dict[int, list] = {}
-    for r in sample:
-        by_length.setdefault(len(r["q"]), []).append(r["q"])
-    out = {}
-    for n, given in by_length.items():
-        points = np.array(given, np.float64).reshape(len(given), n)
-        chosen, gap = [0], ((points - points[0]) ** 2).sum(axis=1)
-        while len(chosen) < min(wanted, len(points)) and gap.max() > 0:
-            chosen.append(int(gap.argmax()))
-            gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
-        out[n] = points[chosen]
-    return out
+    for r in found.select("q").orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect():
+        own = by_length.setdefault(len(r["q"]), [])
+        if len(own) < wanted:
+            own.append(r["q"])
+    return {n: np.array(own, np.float64).reshape(len(own), n) for n, own in by_length.items()}
 
 
 def _nearest(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -89,21 +129,19 @@ def _nearest(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def with_cell(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """rows (which have q) with cell: a number for their length and nearest pivot."""
-    names, schema = rows.columns, T.StructType([*rows.schema.fields, T.StructField("cell", T.LongType())])
+    """rows (which have q) with cell: their length and nearest pivot."""
+    names, schema = rows.columns, T.StructType([*rows.schema.fields, T.StructField("cell", T.StringType())])
     at = names.index("q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(at).to_pylist()
-            cells = np.zeros(len(found), np.int64)
+            cells = np.empty(len(found), object)
             for n in {len(q) for q in found}:
                 own = np.array([k for k, q in enumerate(found) if len(q) == n])
-                near = 0
-                if n in pivots:
-                    near = _nearest(np.array([found[k] for k in own], np.float64).reshape(len(own), n), pivots[n])
-                cells[own] = n * (MAX_PIVOTS + 1) + near
-            yield pa.record_batch([*batch.columns, pa.array(cells)], names=[*names, "cell"])
+                near = _nearest(np.array([found[k] for k in own], np.float64).reshape(len(own), n), pivots[n]) if n in pivots else np.zeros(len(own), int)
+                cells[own] = [f"{n}.{j}" for j in near.tolist()]
+            yield pa.record_batch([*batch.columns, pa.array(cells.tolist(), pa.string())], names=[*names, "cell"])
 
     return rows.mapInArrow(run, schema)
 
@@ -143,10 +181,10 @@ class Page:
 class Tree:
     """The M-tree of one unit."""
 
-    def __init__(self, points: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, root: Page | None = None) -> None:
         self.exact = points
         self.points = points.astype(np.float64)
-        self.root = Page(self.points, np.arange(len(points)), None)
+        self.root = root or Page(self.points, np.arange(len(points)), None)
         # floats give the products exactly while these stay below 2**53
         self.safe = float(np.abs(self.points).max(initial=0)) ** 2 * max(1, points.shape[1]) < 2**52
 
@@ -201,25 +239,23 @@ class Tree:
         return sorted(((s, -i) for s, i in best), key=lambda r: (-r[0], r[1]))
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("qkey", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-_FOUND_DDL = "query_id long, qkey long, vec_id long, score long"
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    n = len(lists)
+    return lists.flatten().to_numpy().reshape(n, -1) if n and len(lists[0]) else np.zeros((n, 0), np.int64)
+
 
+def _small(points: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as hold them."""
+    top = int(np.abs(points).max(initial=0))
+    return points.astype(np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)
 
-def _search(k: int):
-    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if own.num_rows and asked.num_rows:
-            q = own.column("q").combine_chunks()
-            n = len(q[0].as_py())
-            tree = Tree(q.flatten().to_numpy().reshape(own.num_rows, n))
-            ids = own.column("ids").to_pylist()
-            for query_id, qkey, vector, threshold in zip(*(asked.column(c).to_pylist() for c in ("query_id", "qkey", "q", "threshold")), strict=True):
-                found = tree.search(np.array(vector, np.int64), ids, query_id, k, threshold)
-                out += [(query_id, qkey, i, s) for s, i in found]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, _FOUND.types, strict=True)], schema=_FOUND)
 
-    return run
+_UNITS = pa.schema([("cell", pa.string()), ("top", pa.string()), ("length", pa.int32()), ("n", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("qkey", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND_DDL = "query_id long, qkey long, vec_id long, score long"
+_ASKED = pa.schema([("unit", pa.string()), ("query_id", pa.int64()), ("qkey", pa.int64()), ("q", pa.list_(pa.int64())), ("threshold", pa.int64())])
+_ASKED_DDL = "unit string, query_id long, qkey long, q array<bigint>, threshold long"
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -228,56 +264,175 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 class Index:
-    """Units of entries over all rows of vectors (vec_id, q)."""
+    """The pages over all rows of vectors (vec_id, q)."""
 
     def __init__(self, vectors: DataFrame, k: int = TOP) -> None:
         self.k = k
         # k others and the query itself are the most that a search can want of equal vectors
         distinct = storage.stored(entries(vectors, k + 1), "mtree-entries")
-        self.pivots = pivots_of(distinct, distinct.count())
-        cells = with_cell(distinct, self.pivots)
-        sized = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MAX_PIVOTS a length
-        units, first = {}, 0
-        for r in sorted(sized, key=lambda r: r["cell"]):
-            units[r["cell"]] = (first, -(-r["n"] // UNIT))
-            first += units[r["cell"]][1]
-        self.units, self.count = units, first
-        self.pages = storage.stored(self._with_unit(cells), "mtree-units")
-
-    def _with_unit(self, rows: DataFrame) -> DataFrame:
-        """rows (q, cell) with unit: of the cell's units, the one that the hash of q names."""
-        table = F.create_map(*(F.lit(x) for cell, (first, n) in self.units.items() for x in (cell, (first << 32) | n))) if self.units else F.create_map().cast("map<bigint,bigint>")
-        packed = F.try_element_at(table, F.col("cell"))
-        unit = F.shiftright(packed, 32) + F.pmod(F.xxhash64("q"), packed.bitwiseAND(F.lit((1 << 32) - 1)))
-        return rows.withColumn("unit", unit.cast("int"))
+        top = distinct.agg(F.count(F.lit(1)), F.max(F.aggregate("q", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double"))))), F.max(F.size("q"))).first()
+        if top[0] and top[1] ** 2 * top[2] >= 2.0**62:
+            raise ValueError("scores of vectors this large may not fit in 63 bits")
+        self.files = Files(storage.new_folder(vectors.sparkSession, "mtree-pages"))
+        cells = self._split(with_cell(distinct, root_pivots(distinct, top[0])))
+        units = storage.stored(cells.groupBy("cell").applyInArrow(self._build(), "cell string, top string, length int, n long, centre array<double>, radius double"), "mtree-units")
+        found = units.groupBy("top").applyInArrow(self._list(), "cell string, top string, length int, n long, centre array<double>, radius double").toArrow()  # at most MAX_PIVOTS rows a length
+        self.root: dict[int, tuple[list[str], np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(found.column("length").to_pylist())):
+            own = found.filter(pa.compute.equal(found.column("length"), n)).sort_by("top")
+            self.root[n] = (own.column("top").to_pylist(), _matrix(own.column("centre").combine_chunks()).astype(np.float64), own.column("radius").to_numpy())
+
+    def _split(self, cells: DataFrame) -> DataFrame:
+        """Entries with the names of cells that have at most UNIT of them."""
+        files, unit = self.files, UNIT
+        rows, whole = storage.stored(cells, "mtree-cells"), []
+        while True:
+            sizes = storage.stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "mtree-sizes")
+            crowded = sizes.where(F.col("n") > unit)
+            if crowded.isEmpty():
+                break
+            whole.append(rows.join(sizes.where(F.col("n") <= unit).select("cell"), "cell"))
+
+            def choose(table: pa.Table) -> pa.Table:
+                """Writes a cell's pivots: entries, so that each of them gets a part."""
+                cell, n = table.column("cell")[0].as_py(), table.column("n")[0].as_py()
+                points = _matrix(table.column("q").combine_chunks())
+                order = np.lexsort(points.T[::-1]) if points.shape[1] else np.arange(len(points))
+                chosen = np.random.default_rng(SEED).permutation(order)[: min(SPLIT, max(2, -(-2 * n // unit)))]
+                files.put(f"{cell}.pivots", points[chosen].astype(np.float64))
+                return pa.table({"cell": [cell], "n": [len(chosen)]})
+
+            def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held, pivots = None, None
+                for batch in batches:
+                    names = np.array(batch.column("cell").to_pylist(), object)
+                    cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        if a == b:
+                            continue
+                        if names[a] != held:
+                            held, pivots = names[a], files.get(f"{names[a]}.pivots")
+                        part = batch.slice(a, b - a)
+                        near = _nearest(_matrix(part.column("q")).astype(np.float64), pivots)
+                        yield pa.record_batch([part.column("q"), part.column("ids"), pa.array([f"{held}.{j}" for j in near.tolist()])], names=["q", "ids", "cell"])
+
+            few = F.pmod(F.xxhash64("q", "cell"), F.ceil(F.col("n") / SPLIT_SAMPLE)) == 0
+            made = rows.join(crowded, "cell").where(few).select("cell", "n", "q").groupBy("cell").applyInArrow(choose, "cell string, n long")
+            chosen = storage.stored(made, "mtree-pivots")
+            # a sample may be empty by chance: the cell waits for the next round's, unless it is small
+            missed = crowded.join(chosen.select("cell"), "cell", "left_anti")
+            if not missed.isEmpty():
+                every = rows.join(missed, "cell").withColumn("_r", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("q")))).where(F.col("_r") <= SPLIT_SAMPLE)
+                storage.stored(every.select("cell", "n", "q").groupBy("cell").applyInArrow(choose, "cell string, n long"), "mtree-pivots")
+            dealt = rows.join(crowded.select("cell"), "cell").select("q", "ids", "cell").repartitionByRange("cell", F.xxhash64("q")).sortWithinPartitions("cell")
+            rows = storage.stored(dealt.mapInArrow(assign, rows.select("q", "ids", "cell").schema), "mtree-cells")
+        whole.append(rows)
+        out = whole[0].select("q", "ids", "cell")
+        for more in whole[1:]:
+            out = out.unionByName(more.select("q", "ids", "cell"))
+        return out
+
+    def _build(self):
+        files = self.files
+
+        def run(table: pa.Table) -> pa.Table:
+            """Writes a unit."""
+            cell, points = table.column("cell")[0].as_py(), _matrix(table.column("q").combine_chunks())
+            order = np.lexsort(points.T[::-1]) if points.shape[1] else np.arange(len(points))
+            ids = table.column("ids").to_pylist()
+            tree = Tree(points[order])
+            files.put(f"{cell}.unit", (_small(tree.exact), tree.root, [ids[k] for k in order.tolist()]))
+            top = ".".join(cell.split(".")[:2])
+            return pa.Table.from_pylist([{"cell": cell, "top": top, "length": points.shape[1], "n": len(points), "centre": tree.root.object.tolist(), "radius": tree.root.radius}], schema=_UNITS)
+
+        return run
+
+    def _list(self):
+        files = self.files
+
+        def run(table: pa.Table) -> pa.Table:
+            """Writes the directory of one of the root's cells."""
+            table = table.sort_by("cell")
+            top, centres, radii = table.column("top")[0].as_py(), _matrix(table.column("centre").combine_chunks()).astype(np.float64), table.column("radius").to_numpy()
+            files.put(f"{top}.directory", (table.column("cell").to_pylist(), centres, radii))
+            centre = centres.mean(axis=0)
+            radius = float((np.sqrt(((centres - centre) ** 2).sum(axis=1)) + radii).max()) * (1 + 1e-9)
+            return pa.Table.from_pylist([{"cell": None, "top": top, "length": centres.shape[1], "n": len(radii), "centre": centre.tolist(), "radius": radius}], schema=_UNITS)
+
+        return run
+
+    def _route(self, asked: DataFrame, best: bool) -> DataFrame:
+        """(unit, query) pairs: best, of the one unit that looks best; else of every unit whose bound
+        reaches the query's threshold, but the one in skip. asked: query_id, qkey, q, threshold, skip."""
+        root, files = self.root, self.files
+
+        def bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            inner = q @ centres.T
+            norm = np.sqrt((q * q).sum(axis=1))[:, None] * (1 + 1e-9)
+            return inner, inner + norm * radii[None, :] + 1e-6 * (1 + norm)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths = batch.column("q").value_lengths().to_numpy()
+                for n in np.unique(lengths).tolist():
+                    if n not in root:
+                        continue
+                    part = batch.filter(pa.array(lengths == n))
+                    q = _matrix(part.column("q")).astype(np.float64)
+                    floor = part.column("threshold").fill_null(-(1 << 63)).to_numpy().astype(np.float64)
+                    skip = np.array(part.column("skip").to_pylist(), object)
+                    tops, centres, radii = root[n]
+                    inner, bound = bounds(q, centres, radii)
+                    wanted = inner == inner.max(axis=1, keepdims=True) if best else bound >= floor[:, None]
+                    if best:  # the first of equals
+                        wanted &= np.cumsum(wanted, axis=1) == 1
+                    for cell in np.flatnonzero(wanted.any(axis=0)).tolist():
+                        names, centres, radii = files.get(f"{tops[cell]}.directory")
+                        mine = np.flatnonzero(wanted[:, cell])
+                        inner, bound = bounds(q[mine], centres, radii)
+                        if best:
+                            rows, units = np.arange(len(mine)), inner.argmax(axis=1)
+                        else:
+                            rows, units = np.nonzero(bound >= floor[mine][:, None])
+                        chosen = np.array(names, object)[units]
+                        if not best:
+                            other = chosen != skip[mine[rows]]
+                            rows, chosen = rows[other], chosen[other]
+                        for at in range(0, len(rows), 4096):
+                            some = part.take(pa.array(mine[rows[at : at + 4096]]))
+                            yield pa.record_batch([pa.array(chosen[at : at + 4096].tolist(), pa.string()), *(some.column(c) for c in ("query_id", "qkey", "q", "threshold"))], schema=_ASKED)
+
+        return asked.select("query_id", "qkey", "q", "threshold", "skip").mapInArrow(run, _ASKED_DDL)
+
+    def _search(self, routed: DataFrame) -> DataFrame:
+        files, k = self.files, self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, tree, ids = None, None, None
+            for batch in batches:
+                out: list[tuple] = []
+                for unit, query_id, qkey, vector, threshold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if unit != held:
+                        exact, page, ids = files.get(f"{unit}.unit")
+                        held, tree = unit, Tree(exact.astype(np.int64), page)
+                    out += [(query_id, qkey, i, s) for s, i in tree.search(np.array(vector, np.int64), ids, query_id, k, threshold)]
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _FOUND.types, strict=True)], schema=_FOUND)
+
+        return routed.repartitionByRange("unit", "qkey").sortWithinPartitions("unit").mapInArrow(run, _FOUND_DDL)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score. queries: query_id, q; a row each."""
-        asked = queries.withColumn("qkey", F.monotonically_increasing_id())
-        placed = self._with_unit(with_cell(asked, self.pivots)).withColumn("qblock", F.pmod(F.xxhash64("qkey"), F.lit(1 << 20)))
-        placed = storage.stored(placed.where(F.col("unit").isNotNull()), "mtree-queries")
-        blocks = max(1, -(-placed.count() // QUERY_BLOCK))
-        placed = placed.withColumn("qblock", F.col("qblock") % blocks)
-        own = self._run(placed.withColumn("threshold", F.lit(None).cast("long")).select("unit", "qblock", "query_id", "qkey", "q", "threshold"), blocks)
-        first = storage.stored(own, "mtree-first")
+        none = F.lit(None)
+        asked = storage.stored(queries.select("query_id", "q").withColumn("qkey", F.monotonically_increasing_id()), "mtree-queries")
+        routed = storage.stored(self._route(asked.select("*", none.cast("long").alias("threshold"), none.cast("string").alias("skip")), True), "mtree-routed")
+        first = storage.stored(self._search(routed), "mtree-first")
         kth = _best(first, self.k).groupBy("qkey").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select("qkey", F.when(F.col("n") >= self.k, F.col("s")).alias("threshold"))
-        # all other units of vectors of the query's length: units of one length have consecutive numbers
-        spans: dict[int, tuple[int, int]] = {}
-        for cell, (start, n) in self.units.items():
-            low, high = spans.get(cell // (MAX_PIVOTS + 1), (start, start))
-            spans[cell // (MAX_PIVOTS + 1)] = min(low, start), max(high, start + n - 1)
-        table = F.create_map(*(F.lit(x) for n, (low, high) in spans.items() for x in (n, (low << 32) | high))) if spans else F.create_map().cast("map<int,bigint>")
-        packed = F.try_element_at(table, F.size("q"))
-        every = F.sequence(F.shiftright(packed, 32), packed.bitwiseAND(F.lit((1 << 32) - 1)))
-        others = F.transform(F.filter(every, lambda u: u != F.col("unit")), lambda u: u.cast("int"))
-        rest = placed.join(kth, "qkey", "left").select(F.explode(others).alias("unit"), "qblock", "query_id", "qkey", "q", "threshold")
-        found = first.unionByName(self._run(rest, blocks))
+        rest = routed.select("qkey", "query_id", "q", F.col("unit").alias("skip")).join(kth, "qkey", "left")
+        pairs = storage.stored(self._route(rest, False), "mtree-pairs")
+        found = first.unionByName(self._search(pairs))
         return _best(found, self.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    def _run(self, asked: DataFrame, blocks: int) -> DataFrame:
-        pages = self.pages.select("unit", "q", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qblock"))
-        return pages.groupBy("unit", "qblock").cogroup(asked.groupBy("unit", "qblock")).applyInArrow(_search(self.k), _FOUND_DDL)
-
 
 def op4(spark, sf_dir: str) -> DataFrame:
     rows = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

@@ -25,6 +25,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidalspan-{app}/{tag}-{uuid.uuid4().hex}"
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new, empty folder under the shared one."""
+    path = new_path(spark, tag)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    return path
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df and reads it again: later stages start from files, whatever executors are lost."""
     spark = df.sparkSession

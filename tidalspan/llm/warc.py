@@ -281,16 +281,8 @@ def read(manifest: DataFrame, folder: str, tasks: int, with_payload: bool = True
     return manifest.repartition(tasks, "file").mapInArrow(run, RECORDS)
 
 
-def new_folder(spark, tag: str) -> str:
-    """A new, empty folder under the shared one."""
-    path = storage.new_path(spark, tag)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
-    return path
-
-
 def op7(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    folder, n = new_folder(spark, "warc"), ranges.count_for(pages, words.partitions(spark))
+    folder, n = storage.new_folder(spark, "warc"), ranges.count_for(pages, words.partitions(spark))
     manifest = write(pages, folder, n)
     return read(manifest, folder, n, with_payload=False).drop("payload", "url")
