@@ -160,6 +160,35 @@ def test_simhash_components(spark):
     assert got == {r[0]: s for r, s in zip(rows, signed, strict=True)}
 
 
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_op6_names_components_by_the_smallest_id(spark, tmp_path, monkeypatch, tile):
+    """The whole result against brute force: fingerprints, and components with null and repeated ids."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rows = [(None if k % 17 == 2 else 1000 - k, t, *rest) for k, t, *rest in H.texts(90)]
+    rows += [(None, "only without ids here", "en", "s", 1), (990, rows[10][1], "en", "s", 1), (5000, rows[10][1], "en", "s", 1)]
+    spark.createDataFrame(rows, H.SCHEMA).selectExpr("*", "'clash' as node", "1 as fp", "1 as k", "1 as component", "1 as _h").write.parquet(f"{tmp_path}/documents.parquet")
+    fp = [brute_simhash(t, 4) for _, t, *_ in rows]
+    roots = groups(fp, lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
+    least = {}
+    for r, (doc, *_) in zip(roots, rows, strict=True):
+        if doc is not None:
+            least[r] = min(least.get(r, doc), doc)
+    want = [(doc, f"{f:016x}", least.get(r)) for (doc, *_), f, r in zip(rows, fp, roots, strict=True)]
+    got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op6(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_tiles_are_paired_by_population_count(spark):
+    """A bucket of many tiles: all links within the radius, and no pair of tiles that cannot hold one."""
+    rng = np.random.default_rng(2)
+    base = [int(x) for x in rng.integers(0, 2**63, 150)]
+    values = list({b ^ sum(1 << int(i) for i in rng.choice(63, rng.integers(0, 5), replace=False)) for b in base for _ in range(3)} | {(1 << n) - 1 for n in range(0, 60, 2)})
+    nodes = spark.createDataFrame([(v, v, None) for v in values], "node long, fp long, sketch binary")
+    found = {r["u"]: r["v"] for r in simhash.components(simhash.edges(nodes, 4, [0], tile=16)).collect()}
+    roots = groups(values, lambda a, b: (values[a] ^ values[b]).bit_count() <= 4)
+    assert len({(r, found.get(v, v)) for v, r in zip(values, roots, strict=True)}) == len(set(roots)) == len({found.get(v, v) for v in values})
+
+
 def test_masks_meet_within_radius():
     rng = np.random.default_rng(1)
     for nodes in (10, 10**6, 10**8):

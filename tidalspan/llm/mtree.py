@@ -19,6 +19,7 @@ tasks in ranges of (unit, query), so that a unit that many queries want fills se
 unit, pages are taken best first, and two bounds come before any product: a child's own bound is
 at most <q, parent> + |q| (distance to parent + radius), and a leaf entry's at most <q, p> + |q|
 (stored distance); what they exclude is never computed.
+Queries that want the same unit are searched together: a page's products are one multiplication.
 
 Queries are a stated set against all rows. The index covers every row and is exact: samples only
 choose pivots (of SAMPLE rows for the root, of about SPLIT_SAMPLE rows in a cell that is split).
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from tidalspan.llm import storage
+from tidalspan.llm import storage, words
 
 TOP = 5
 SCALE = 256
@@ -55,6 +56,10 @@ SAMPLE = 4096
 MAX_PIVOTS = 256
 #: A crowded cell is split around so many pivots at most, out of about so many sampled rows.
 SPLIT, SPLIT_SAMPLE = 64, 256
+#: Pairs of a query and a unit that a task takes, about.
+TASK_PAIRS = 1 << 14
+#: Queries that are searched together in a unit.
+QUERIES = 256
 SEED = 42
 
 
@@ -149,7 +154,7 @@ def with_cell(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 class Page:
     """A node: its routing object, covering radius, distance to the parent, and children or entries."""
 
-    __slots__ = ("children", "distances", "entries", "object", "parent", "radius")
+    __slots__ = ("children", "distances", "entries", "object", "objects", "parent", "radii", "radius", "reach")
 
     def __init__(self, points: np.ndarray, own: np.ndarray, parent: np.ndarray | None) -> None:
         inside = points[own]
@@ -158,7 +163,7 @@ class Page:
         self.radius = float(d.max()) if len(d) else 0.0
         self.parent = float(np.sqrt(((self.object - parent) ** 2).sum())) if parent is not None else 0.0
         self.children: list[Page] = []
-        self.entries = self.distances = None
+        self.entries = self.distances = self.objects = self.radii = self.reach = None
         if len(own) <= PAGE:
             order = np.argsort(-d, kind="stable")
             self.entries, self.distances = own[order], d[order]
@@ -176,6 +181,8 @@ class Page:
         if max(map(len, groups)) == len(own):  # all but equal points: cut by number
             groups = np.array_split(own, -(-len(own) // PAGE))
         self.children = [Page(points, g, self.object) for g in groups if len(g)]
+        self.objects, self.radii = np.array([c.object for c in self.children]), np.array([c.radius for c in self.children])
+        self.reach = self.radii + [c.parent for c in self.children]
 
 
 class Tree:
@@ -189,54 +196,69 @@ class Tree:
         self.safe = float(np.abs(self.points).max(initial=0)) ** 2 * max(1, points.shape[1]) < 2**52
 
     def scores(self, own: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """A row for each of own, a column for each query."""
         if self.safe:
-            return (self.points[own] @ q.astype(np.float64)).astype(np.int64)
-        return self.exact[own] @ q
+            return (self.points[own] @ q.astype(np.float64).T).astype(np.int64)
+        return self.exact[own] @ q.T
 
     def search(self, q: np.ndarray, ids: list[list[int]], skip: int, k: int, threshold: int | None) -> list[tuple[int, int]]:
         """The k best (score, id) without the id skip; what scores below threshold may be left out."""
-        best: list[tuple[int, int]] = []  # a heap of (score, -id)
-        as_float = q.astype(np.float64)
-        norm = float(np.sqrt(as_float @ as_float)) * (1 + 1e-9)
-        floor = float(threshold) if threshold is not None else -np.inf
+        return self.search_all(q[None, :], ids, [skip], k, [threshold])[0]
+
+    def search_all(self, q: np.ndarray, ids: list[list[int]], skips: list[int], k: int, thresholds: list[int | None]) -> list[list[tuple[int, int]]]:
+        """The same for each row of q. A page is taken once, for the queries that its bound leaves, and
+        pages in the order of their best bounds."""
+        best: list[list[tuple[int, int]]] = [[] for _ in skips]  # heaps of (score, -id)
+        points = q.astype(np.float64)
+        norm = np.sqrt((points * points).sum(axis=1)) * (1 + 1e-9)
         slack = 1e-6 * (1 + norm)
-        product = float(as_float @ self.root.object)
-        queue = [(-(product + norm * self.root.radius), 0, product, self.root)]
+        floor = np.array([-np.inf if t is None else t for t in thresholds], np.float64)
+        product = points @ self.root.object
+        bound = product + norm * self.root.radius + slack
+        queue = [(-float(bound.max(initial=0)), 0, self.root, np.arange(len(points)), product, bound)]
         pushed = 1
         while queue:
-            bound, _, product, page = heapq.heappop(queue)
-            if -bound + slack < floor:
-                break
-            if page.entries is not None:
-                # distances fall, so the entries that can reach the floor come first
-                n = int(np.searchsorted(-(product + norm * page.distances + slack), -floor, side="right"))
-                own = page.entries[:n]
-                if not n:
-                    continue
-                found = self.scores(own, q)
-                for at in np.flatnonzero(found >= floor).tolist():
-                    score = int(found[at])
-                    for vec_id in ids[own[at]]:
-                        if vec_id == skip:
-                            continue
-                        if len(best) < k:
-                            heapq.heappush(best, (score, -vec_id))
-                        elif (score, -vec_id) > best[0]:
-                            heapq.heapreplace(best, (score, -vec_id))
-                        else:
-                            break
-                if len(best) == k:
-                    floor = max(floor, float(best[0][0]))
+            _, _, page, own, product, bound = heapq.heappop(queue)
+            still = bound >= floor[own]
+            if not still.all():
+                own, product = own[still], product[still]
+            if not len(own):
+                continue
+            if page.entries is None:
+                # what stored distances exclude for all queries is never computed
+                fit = np.flatnonzero(((product + slack[own])[:, None] + norm[own][:, None] * page.reach[None, :] >= floor[own][:, None]).any(axis=0))
+                inner = points[own] @ page.objects[fit].T
+                bound = inner + norm[own][:, None] * page.radii[fit][None, :] + slack[own][:, None]
+                wanted = bound >= floor[own][:, None]
+                for at, child in enumerate(fit.tolist()):
+                    mine = wanted[:, at]
+                    if mine.any():
+                        heapq.heappush(queue, (-float(bound[mine, at].max()), pushed, page.children[child], own[mine], inner[mine, at], bound[mine, at]))
+                        pushed += 1
                 continue
-            for child in page.children:
-                if product + norm * (child.parent + child.radius) + slack < floor:
-                    continue  # excluded by the stored distances alone
-                inner = float(as_float @ child.object)
-                reach = inner + norm * child.radius
-                if reach + slack >= floor:
-                    heapq.heappush(queue, (-reach, pushed, inner, child))
-                    pushed += 1
-        return sorted(((s, -i) for s, i in best), key=lambda r: (-r[0], r[1]))
+            # distances fall, so the entries that can reach a floor come first
+            least = float(((floor[own] - product - slack[own]) / np.maximum(norm[own], 1e-300)).min())
+            inside = page.entries[: int(np.searchsorted(-page.distances, -least, side="right"))] if least > 0 else page.entries
+            if not len(inside):
+                continue
+            found = self.scores(inside, q[own])
+            for at, mine in np.argwhere(found >= floor[own][None, :]).tolist():
+                query, score = int(own[mine]), int(found[at, mine])
+                held = best[query]
+                if len(held) == k and score < held[0][0]:
+                    continue
+                for vec_id in ids[inside[at]]:
+                    if vec_id == skips[query]:
+                        continue
+                    if len(held) < k:
+                        heapq.heappush(held, (score, -vec_id))
+                    elif (score, -vec_id) > held[0]:
+                        heapq.heapreplace(held, (score, -vec_id))
+                    else:
+                        break
+                if len(held) == k and held[0][0] > floor[query]:
+                    floor[query] = held[0][0]
+        return [sorted(((s, -i) for s, i in held), key=lambda r: (-r[0], r[1])) for held in best]
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
@@ -324,7 +346,7 @@ class Index:
             if not missed.isEmpty():
                 every = rows.join(missed, "cell").withColumn("_r", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("q")))).where(F.col("_r") <= SPLIT_SAMPLE)
                 storage.stored(every.select("cell", "n", "q").groupBy("cell").applyInArrow(choose, "cell string, n long"), "mtree-pivots")
-            dealt = rows.join(crowded.select("cell"), "cell").select("q", "ids", "cell").repartitionByRange("cell", F.xxhash64("q")).sortWithinPartitions("cell")
+            dealt = rows.join(crowded.select("cell"), "cell").select("q", "ids", "cell").repartitionByRange(words.partitions(rows.sparkSession), "cell", F.xxhash64("q")).sortWithinPartitions("cell")
             rows = storage.stored(dealt.mapInArrow(assign, rows.select("q", "ids", "cell").schema), "mtree-cells")
         whole.append(rows)
         out = whole[0].select("q", "ids", "cell")
@@ -409,17 +431,24 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, tree, ids = None, None, None
-            for batch in batches:
+            for whole in batches:
+                names = np.array(whole.column("unit").to_pylist(), object)
+                cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
                 out: list[tuple] = []
-                for unit, query_id, qkey, vector, threshold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if unit != held:
-                        exact, page, ids = files.get(f"{unit}.unit")
-                        held, tree = unit, Tree(exact.astype(np.int64), page)
-                    out += [(query_id, qkey, i, s) for s, i in tree.search(np.array(vector, np.int64), ids, query_id, k, threshold)]
+                for at, end in zip(cuts, cuts[1:], strict=False):
+                    if at < end and names[at] != held:
+                        exact, page, ids = files.get(f"{names[at]}.unit")
+                        held, tree = names[at], Tree(exact.astype(np.int64), page)
+                    for a in range(at, end, QUERIES):
+                        part = whole.slice(a, min(QUERIES, end - a))
+                        asked, keys = part.column("query_id").to_pylist(), part.column("qkey").to_pylist()
+                        found = tree.search_all(_matrix(part.column("q")), ids, asked, k, part.column("threshold").to_pylist())
+                        out += [(query_id, qkey, i, s) for query_id, qkey, best in zip(asked, keys, found, strict=True) for s, i in best]
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _FOUND.types, strict=True)], schema=_FOUND)
 
-        return routed.repartitionByRange("unit", "qkey").sortWithinPartitions("unit").mapInArrow(run, _FOUND_DDL)
+        parts = max(words.partitions(routed.sparkSession), routed.count() // TASK_PAIRS)  # work, not bytes, is what a task is full of
+        return routed.repartitionByRange(parts, "unit", "qkey").sortWithinPartitions("unit").mapInArrow(run, _FOUND_DDL)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score. queries: query_id, q; a row each."""

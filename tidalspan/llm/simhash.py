@@ -5,9 +5,10 @@ it set. Equal fingerprints are one node. Nodes are dealt to buckets by the bits
 with the masks of `blocks_for`, two fingerprints that differ in at most radius bits meet in one
 bucket at least. A bucket is compared whole, in tiles sorted by population count: numpy
 exclusive-or and bit counts for each pair of tiles, which is skipped when their population
-counts differ by more than the radius. Buckets above two tiles are cut into tiles by a hash, and
-their pairs of tiles go to different tasks. A comparison gives a spanning star for each
-connected piece, not its pairs, so dense groups stay small. Components follow.
+counts differ by more than the radius. Buckets above two tiles are cut into tiles by population
+count (and by a hash, where one count has too many); pairs of tiles whose counts differ by more
+than the radius are never made, and the others go to different tasks. A comparison gives a
+spanning star for each connected piece, not its pairs, so dense groups stay small. Components follow.
 
 With sketches (one-permutation minimum hashes of the same shingles, a byte each), a pair must
 also reach a least estimated Jaccard similarity. That verifies links at larger radii.
@@ -108,11 +109,11 @@ def masks_of(blocks: int, chosen: int, most_bits: int) -> list[int]:
     return out
 
 
-def blocks_for(radius: int, nodes: int, tile: int = TILE) -> list[int]:
+def blocks_for(radius: int, nodes: int, tile: int | None = None) -> list[int]:
     """Masks under which fingerprints within radius agree at least once: with radius + c blocks, c
     of them are free of differences. c grows with the number of nodes, so that buckets hold about
     a tile."""
-    need = max(0, math.ceil(math.log2(max(nodes, 1) / tile)))
+    need = max(0, math.ceil(math.log2(max(nodes, 1) / (tile or TILE))))
     for chosen in (1, 2, 3):
         if (64 * chosen) // (radius + chosen) >= need or chosen == 3:
             return masks_of(radius + chosen, chosen, need) if need else [0]
@@ -168,18 +169,28 @@ def links(fp: np.ndarray, sketches: np.ndarray | None, side: np.ndarray, radius:
     return out
 
 
-def edges(nodes: DataFrame, radius: int, masks: list[int], least: float = 0.0, tile: int = TILE) -> DataFrame:
+def edges(nodes: DataFrame, radius: int, masks: list[int], least: float = 0.0, tile: int | None = None) -> DataFrame:
     """(u, v) of nodes (node, fp, sketch) that are near: a spanning star for each connected piece of
     each comparison."""
+    tile = tile or TILE
     table = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks))))
     dealt = nodes.select("node", "fp", "sketch", table.alias("t")).select("node", "fp", "sketch", "t.*")
-    large = dealt.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * tile).select("k", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    tiles = F.coalesce("tiles", F.lit(1))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), tiles).cast("int")
-    # each tile meets every tile of its bucket once; the second of a pair is its side 1
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda x: F.struct(F.least("_own", x).alias("i"), F.greatest("_own", x).alias("j"), (F.col("_own") > x).cast("int").alias("side")))
+    # bands of population counts of about a tile, for buckets above two tiles
+    counted = dealt.groupBy("k", "key", F.bit_count("fp").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    bucket, upto = W.partitionBy("k", "key"), (W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(bucket.orderBy("c").rowsBetween(*upto)), F.lit(0))
+    cut = counted.withColumn("_all", F.sum("n").over(bucket)).withColumn("band", F.floor(before / tile)).where(F.col("_all") > 2 * tile)
+    banded = cut.groupBy("k", "key", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.sum("n") / (2 * tile)).cast("int").alias("tiles"))
+    banded = banded.withColumn("first", F.coalesce(F.sum("tiles").over(bucket.orderBy("band").rowsBetween(*upto)), F.lit(0)).cast("int"))
+    large = banded.groupBy("k", "key").agg(F.collect_list(F.struct("lo", "hi", "tiles", "first")).alias("bands"))
+    mine = F.get(F.filter("bands", lambda b: (b["lo"] <= F.bit_count("fp")) & (b["hi"] >= F.bit_count("fp"))), F.lit(0))
+    own = F.coalesce(F.col("_mine")["first"] + F.pmod(F.xxhash64("node", F.lit(7)), F.col("_mine")["tiles"]).cast("int"), F.lit(0))
+    # each tile meets every tile whose counts are near once; the second of a pair is its side 1
+    near = F.filter("bands", lambda b: (b["lo"] - F.col("_mine")["hi"] <= radius) & (F.col("_mine")["lo"] - b["hi"] <= radius))
+    others = F.coalesce(F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), b["tiles"] - 1), lambda t: b["first"] + t))), F.array(F.lit(0)))
+    pairs = F.transform(others, lambda x: F.struct(F.least("_own", x).alias("i"), F.greatest("_own", x).alias("j"), (F.col("_own") > x).cast("int").alias("side")))
     work = (
-        dealt.join(large, ["k", "key"], "left").withColumn("_tiles", tiles).withColumn("_own", own)
+        dealt.join(large, ["k", "key"], "left").withColumn("_mine", mine).withColumn("_own", own)
         .select("node", "fp", "sketch", "k", "key", F.inline(pairs).alias("i", "j", "side"))
     )
 

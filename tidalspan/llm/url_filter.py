@@ -6,15 +6,18 @@ features: lengths, depths, the shares of digits, the entropy of the characters,
 and statistics of the host's last label. They are trained from labelled URLs; where a caller has
 no others, those are the URLs that rules decide.
 
-Training takes at most TRAIN_URLS labelled URLs, those with the smallest hashes, into one
-partition; suffix statistics come from the same rows, so their table has no more rows than that.
-Judging is one map over all rows: nothing but that small table is joined. Only DataFrame
-functions and spark.ml's JVM trees are used.
+Training takes at most TRAIN_URLS distinct labelled URLs, those with the smallest hashes, each
+weighed by its number of rows, into one partition. Their hashes deal them to folds: of TRAIN_FOLDS,
+the first gives the suffix statistics, so that the trees learn what a suffix tells of URLs that
+were not counted in it, and the last is held out: `Trees.measured()` is the weighed share of it
+that is judged right. Judging is one map over all rows: nothing but the table of suffixes, which has no
+more rows than the sample, is joined. Only DataFrame functions and spark.ml's JVM trees are used.
 
 Cases: a null or empty URL, and one without `://`, has an empty host and path, fits no rule and
 is judged by the trees like any other; without labels of both verdicts, the one verdict there is
-(or allow) holds for all; an empty table gives no rows; repeated rows are judged each; further
-columns, whatever their names, are ignored.
+(or allow) holds for all; of a URL with both labels each counts by its rows; labels that are null
+are not learnt from; an empty table gives no rows; repeated rows are judged each; very long URLs
+are judged whole; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from tidalspan.llm import storage, words
 
 TRAIN_URLS = 20_000
+TRAIN_FOLDS = 5
 TREES, DEPTH, SEED = 20, 4, 42
 ALLOW, BLOCK = "allow", "block"
 
@@ -100,21 +104,35 @@ class Trees:
         from pyspark.ml.feature import VectorAssembler
 
         names = [c for c in labelled.columns if c.startswith("f_")]
-        sample = storage.stored(labelled.orderBy("hash_key", *names).limit(train_urls), "url-labels")
-        counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+        # a URL that is repeated ever so often is one row, of its number's weight
+        distinct = labelled.groupBy("hash_key", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.first("_suffix").alias("_suffix"), *(F.first(c).alias(c) for c in names))
+        sample = storage.stored(distinct.orderBy("hash_key", "label").limit(train_urls).withColumn("fold", F.pmod(F.hash("hash_key"), F.lit(TRAIN_FOLDS))), "url-labels")
+        counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
         self.only = None if len(counts) == 2 else (BLOCK if counts.get(1) else ALLOW)
         if self.only:
             return
-        prior = counts[1] / sum(counts.values())
+        self.prior = counts[1] / sum(counts.values())
         # one row a suffix of the sample; smoothed, as a suffix may have few rows
-        self.prior = prior
+        told = F.sum(F.col("label") * F.col("weight"))
         self.suffixes = storage.stored(
-            sample.groupBy("_suffix").agg(((F.sum("label") + 5 * F.lit(prior)) / (F.count(F.lit(1)) + 5)).alias("f_suffix_blocked"), F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_count")), "url-suffixes"
+            sample.where("fold = 0").groupBy("_suffix").agg(((told + 5 * F.lit(self.prior)) / (F.sum("weight") + 5)).alias("f_suffix_blocked"), F.log1p(F.sum("weight")).alias("f_suffix_count")), "url-suffixes"
         )
         self.assembler = VectorAssembler(inputCols=[*names, "f_suffix_blocked", "f_suffix_count"], outputCol="_features")
-        trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, predictionCol="_blocked")
+        trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, predictionCol="_blocked")
         trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
-        self.model = trees.fit(self._vectors(sample).select("_features", F.col("label").cast("double").alias("label")).coalesce(1))
+        learnt = sample.where((F.col("fold") > 0) & (F.col("fold") < TRAIN_FOLDS - 1))
+        if len(learnt.select("label").distinct().take(2)) < 2:
+            learnt = sample  # too few for folds
+        self.model = trees.fit(self._vectors(learnt).select("_features", "weight", F.col("label").cast("double").alias("label")).orderBy("_features", "label").coalesce(1))
+        right = (F.col("_judged") == F.when(F.col("label") == 1, BLOCK).otherwise(ALLOW)).cast("double") * F.col("weight")
+        self.held_out = sample.where(F.col("fold") == TRAIN_FOLDS - 1)
+        self._right = right
+
+    def measured(self) -> float | None:
+        """Weighed share of the held-out fold that is judged right; None without one."""
+        if self.only:
+            return None
+        return self.verdict(self.held_out).agg(F.sum(self._right) / F.sum("weight")).first()[0]
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
         joined = rows.join(F.broadcast(self.suffixes), "_suffix", "left")  # at most TRAIN_URLS rows
