@@ -25,6 +25,15 @@ def test_packed_ids_lie_in_one_piece_each(lengths, capacity):
         assert [i for p in mine for i in p.ids.tolist()] == list(range(n)) and all(p.ids[0] == p.start for p in mine)
 
 
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t\u00a0'sdmtlver1aé🙂")), max_size=200))
+@settings(deadline=None, max_examples=300)
+def test_quick_ids_are_the_library_s(text):
+    import public_tokenizers
+
+    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.ids(text, 1).tolist() == [*own.whole.encode(text, add_special_tokens=False).ids, 1]
+
+
 @given(any_text, any_text)
 def test_likeness_is_symmetric_and_one_for_equals(a, b):
     x, y = lz_fingerprint.Parsed(a), lz_fingerprint.Parsed(b)

@@ -305,13 +305,54 @@ def test_ids_of_very_long_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "_LONG", 50)
-    monkeypatch.setattr(packing, "_CACHE_PIECES", 20)
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole, own = Tokenizer.from_file(path), packing.Encoder(path)
+    assert own.quick
     for t in [r[1] or "" for r in H.texts()] + ["x" * 300 + " \n  y' s " * 99]:
         assert own.ids(t, 1).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("text", ["a" * 300000, " " * 300000, "\n \t" * 100000 + "x", "é" * 100000, "?!" * 150000, "1" * 300000, "🙂" * 50000])
+def test_ids_of_texts_without_breaks(text):
+    """Long runs take no more than seconds, and give the library's ids."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    start = time.time()
+    found = packing.encoder(path).ids(text, 1).tolist()
+    assert time.time() - start < 20
+    assert found == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_of_whole_documents():
+    """Every text of the synthetic table and of its pages, if it is here."""
+    import os
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, own = Tokenizer.from_file(path), packing.encoder(path)
+    texts = pq.read_table(f"{folder}/documents.parquet").column("text").to_pylist() + pq.read_table(f"{folder}/pages.parquet").column("html").to_pylist()
+    for t, e in zip(texts, whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False), strict=True):
+        assert own.ids(t or "", 1).tolist() == [*e.ids, 1]
+
+
+def test_other_tokenizers_are_left_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), packing.Encoder(path)
+    assert own.quick is None
+    for t in [r[1] or "" for r in H.texts(20)]:
+        assert own.ids(t, 1).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
+
+
 # --- op 9
 
 

@@ -12,8 +12,10 @@ nearly every document that fits a sequence stays whole, and each bin cuts about
 Every Spark task fills its own bins: there is no shuffle and no state beyond these bounds. When a
 task ends, its last, short sequence is cut at powers of two, which need no padding either.
 
-Ids are those of the `tokenizers` library. A text is first cut where the vocabulary's own pattern
-cuts it; the ids of each piece are asked of the library once and kept for later texts.
+Ids are those that the `tokenizers` library gives. Where its file describes plain byte-level
+pairs, the vocabulary and merges are taken from the file into `tiktoken`, which gives the same ids
+in about a sixth of the time (tests hold both against each other); any other file, and any text
+that it fails on, is left to the library itself.
 
 Cases: a null text counts as empty (it holds the end id alone); a null doc_id stays null;
 repeated rows are packed each; special strings in a text become their ids, as the library has it;
@@ -22,11 +24,11 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,9 @@ STOCK = 16
 #: Sequence ids of a task start at its partition's number times this.
 TASK_SPAN = 1 << 36
 
-# Fixed value: how the byte-level vocabulary cuts a text into pieces.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: how a byte-level vocabulary cuts a text into pieces, with possessive repeats.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
-_CACHE_PIECES = 200_000
 _LONG = 1 << 20
 #: Ids in a batch of output.
 _BATCH = 1 << 19
@@ -62,36 +63,69 @@ SCHEMA = T.StructType([
 ])
 
 
-class Encoder(dict):
-    """text -> ids of a byte-level tokenizer; as a dictionary, the ids of pieces seen before."""
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the
+    others, in order, for what follows them."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
-    def __init__(self, path: str) -> None:
+
+def ranks_of(described: dict) -> dict[bytes, int] | None:
+    """bytes -> id out of a tokenizer's description; None unless it is plain byte-level pairs, merged
+    in the order of their ids."""
+    model, cut = described["model"], described.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or described.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    letters, vocabulary = byte_letters(), model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [vocabulary[a + b] for a, b in merges]
+    if ids != sorted(ids) or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    added = {t["content"] for t in described.get("added_tokens", [])}
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+
+
+class Encoder:
+    """text -> ids of a tokenizer file."""
+
+    def __init__(self, path: str, quick: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.pieces = regex.compile(PIECES)
         self.between = regex.compile(r"(?<=\S) (?=\S)")  # a piece always starts here
         self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        ranks = ranks_of(json.loads(self.whole.to_str())) if quick else None
+        self.quick = None
+        if ranks:
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= _CACHE_PIECES:
-            self.clear()
-        found = self[piece] = tuple(self.whole.encode(piece, add_special_tokens=False).ids)
-        return found
+    def _slow(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
 
     def _plain(self, text: str) -> Iterator[np.ndarray]:
         at = 0
         while at < len(text):  # very long texts a stretch at a time
             cut = self.between.search(text, at + _LONG) if len(text) - at > _LONG else None
             end = cut.start() if cut else len(text)
-            yield np.fromiter(chain.from_iterable(map(self.__getitem__, self.pieces.findall(text, at, end))), np.int32)
+            part = text[at:end]
+            try:
+                yield np.array(self.quick.encode_ordinary(part), np.int32)
+            except BaseException as e:  # its native code gives up on some patterns of very long texts
+                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+                    raise
+                yield self._slow(part)
             at = end
 
     def ids(self, text: str, end_id: int) -> np.ndarray:
         """Ids of the text, then end_id."""
-        if self.parts and any(s in text for s in self.special):
+        if not self.quick:
+            found = [self._slow(text)]
+        elif self.parts and any(s in text for s in self.special):
             found = [np.array([self.special[p]], np.int32) if p in self.special else n for p in self.parts.split(text) for n in ([None] if p in self.special else self._plain(p))]
         else:
             found = list(self._plain(text))
