@@ -35,9 +35,16 @@ def median(series: Column | str) -> Column:
 
 def mode(series: Column | str) -> Column:
     """The most frequent value; of several the greatest."""
-    v = values(series)
-    ranked = F.transform(F.array_distinct(v), lambda d: F.struct(F.size(F.filter(v, lambda y: y == d)).alias("n"), d.alias("v")))
-    return F.array_max(ranked)["v"]
+    ordered = F.array_sort(values(series))
+    least = F.get(ordered, F.lit(0))
+    start = F.struct(F.lit(0).alias("most"), least.alias("best"), F.lit(0).alias("run"), least.alias("value"))
+
+    def step(done: Column, x: Column) -> Column:  # equal values stand side by side
+        run = F.when(x == done["value"], done["run"] + 1).otherwise(1)
+        wins = run >= done["most"]
+        return F.struct(F.greatest(run, done["most"]).alias("most"), F.when(wins, x).otherwise(done["best"]).alias("best"), run.alias("run"), x.alias("value"))
+
+    return F.aggregate(ordered, start, step, lambda done: done["best"])
 
 
 def first(series: Column | str) -> Column:
@@ -102,11 +109,6 @@ def resample_linear(series: Column | str, period: float) -> Column:
     return F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), at)).otherwise(c)
 
 
-def slice_number(points: Column | str, time: Column) -> Column:
-    """Number of positive slice points before time: the slice that a sample belongs to."""
-    return F.size(F.filter(_col(points), lambda p: (p > 0) & (p < time)))
-
-
 def delocalizations(series: Column | str, field: str | None = "data") -> Column:
     """Times at which a counter rises."""
     c = _col(series)

@@ -113,17 +113,26 @@ class LinearModel(Model):
 
 
 class LinearRegression(Learner):
-    """Least squares from the moments of one aggregation."""
+    """Least squares from centred moments, in two aggregations: means first, so that inputs far from
+    zero (times in seconds since 1970, say) lose no digits, then products of what is left. Inputs
+    are scaled to unit deviation before the equations are solved; constant ones get weight 0."""
 
     def learn(self, df, inputs, outputs):
-        names = [*inputs, None]
-        term = lambda c: F.lit(1.0) if c is None else F.col(f"`{c}`").cast("double")
-        n = len(names)
-        grams = [F.sum(term(names[i]) * term(names[j])).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
-        sides = [F.sum(term(names[i]) * term(o)).alias(f"s{i}_{k}") for i in range(n) for k, o in enumerate(outputs)]
-        row = df.dropna(subset=[*inputs, *outputs]).agg(*grams, *sides).first()
-        gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
-        weights = {o: np.linalg.lstsq(gram, np.array([row[f"s{i}_{k}"] or 0.0 for i in range(n)]), rcond=None)[0].tolist() for k, o in enumerate(outputs)}
+        names = [*inputs, *outputs]
+        n, known = len(inputs), df.select(*(F.col(f"`{c}`").cast("double").alias(f"_c{k}") for k, c in enumerate(names))).dropna()
+        means = known.agg(*(F.avg(f"_c{k}") for k in range(len(names)))).first()
+        if means[0] is None:
+            return LinearModel(inputs, outputs, {o: [0.0] * (n + 1) for o in outputs})
+        term = lambda k: F.col(f"_c{k}") - F.lit(means[k])
+        pairs = [(i, j) for i in range(n) for j in range(i, len(names))]
+        row = known.agg(*(F.avg(term(i) * term(j)) for i, j in pairs)).first()
+        found = {p: row[k] for k, p in enumerate(pairs)}
+        scale = np.array([np.sqrt(found[i, i]) or 1.0 for i in range(n)])
+        gram = np.array([[found[min(i, j), max(i, j)] / (scale[i] * scale[j]) for j in range(n)] for i in range(n)])
+        weights = {}
+        for k, o in enumerate(outputs):
+            w = np.linalg.lstsq(gram, np.array([found[i, n + k] for i in range(n)]) / scale, rcond=1e-12)[0] / scale
+            weights[o] = [*w.tolist(), float(means[n + k] - w @ np.array(means[:n]))]
         return LinearModel(inputs, outputs, weights)
 
 
@@ -336,22 +345,43 @@ class MlpLearner(Learner):
 
 
 class IncrementalLinear(Learner):
-    """Linear regression by gradient steps: one a batch, or one a row in order."""
+    """Linear regression by gradient steps: one a batch, whose gradient is one aggregation, or one a
+    row in the frame's order, for which rows pass through the driver, a partition at a time."""
 
     def __init__(self, rate: float = 0.01, per_row: bool = False) -> None:
         self.rate, self.per_row, self.weights = rate, per_row, None
 
     def learn_incremental(self, df: DataFrame, inputs: Sequence[str], outputs: Sequence[str]) -> LinearModel:
-        rows = df.select(*inputs, *outputs).dropna().toPandas()  # one batch of a stream
-        x = np.hstack([rows[list(inputs)].to_numpy(float), np.ones((len(rows), 1))])
-        y = rows[list(outputs)].to_numpy(float)
+        inputs, outputs = list(inputs), list(outputs)
         if self.weights is None:
-            self.weights = np.zeros((x.shape[1], y.shape[1]))
-        for part in np.array_split(np.arange(len(x)), len(x)) if self.per_row and len(x) else [np.arange(len(x))]:
-            if len(part):
-                self.weights -= self.rate * 2 * x[part].T @ (x[part] @ self.weights - y[part]) / len(part)
+            self.weights = np.zeros((len(inputs) + 1, len(outputs)))
+        rows = df.select(*(F.col(f"`{c}`").cast("double").alias(f"_c{k}") for k, c in enumerate([*inputs, *outputs]))).dropna()
+        (self._rows if self.per_row else self._batch)(rows, len(inputs))
         return LinearModel(inputs, outputs, {o: self.weights[:, k].tolist() for k, o in enumerate(outputs)})
 
+    def _batch(self, rows: DataFrame, n: int) -> None:
+        x = [*(F.col(f"_c{k}") for k in range(n)), F.lit(1.0)]
+        sums = []
+        for o in range(self.weights.shape[1]):
+            error = reduce(lambda a, b: a + b, (c * float(w) for c, w in zip(x, self.weights[:, o], strict=True))) - F.col(f"_c{n + o}")
+            sums += [F.avg(error * c) for c in x]
+        row = rows.agg(*sums).first()
+        if row[0] is not None:
+            self.weights -= self.rate * 2 * np.array(row, float).reshape(self.weights.shape[1], n + 1).T
+
+    def _rows(self, rows: DataFrame, n: int) -> None:
+        names = rows.columns
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([pa.array([np.column_stack([batch.column(k).to_numpy() for k in range(len(names))]).tobytes()])], names=["block"])
+
+        for r in rows.mapInArrow(pack, "block binary").toLocalIterator():
+            block = np.frombuffer(r["block"], np.float64).reshape(-1, len(names))
+            x = np.hstack([block[:, :n], np.ones((len(block), 1))])
+            for given, wanted in zip(x, block[:, n:], strict=True):
+                self.weights -= self.rate * 2 * np.outer(given, given @ self.weights - wanted)
+
     def learn(self, df, inputs, outputs):
         return self.learn_incremental(df, inputs, outputs)
 

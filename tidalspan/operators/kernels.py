@@ -7,6 +7,7 @@ without Python objects for samples.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,18 @@ def double_series(df: DataFrame, column: str, time: T.DataType | None = None) ->
     return types.series_type(time or types.time_type(df, column), value)
 
 
+def tridiagonal(low: np.ndarray, middle: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves rows low[i] x[i-1] + middle[i] x[i] + high[i] x[i+1] = right[i], in one pass each way."""
+    a, b, c, d = low.tolist(), middle.tolist(), high.tolist(), right.tolist()
+    for i in range(1, len(b)):
+        w = a[i] / b[i - 1]
+        b[i] -= w * c[i - 1]
+        d[i] -= w * d[i - 1]
+    for i in range(len(b) - 1, -1, -1):
+        d[i] = (d[i] - (c[i] * d[i + 1] if i + 1 < len(b) else 0.0)) / b[i]
+    return np.array(d)
+
+
 def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Cubic spline with not-a-knot ends; a parabola for three points, a line for two."""
     n = len(x)
@@ -108,15 +121,17 @@ def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     if n == 3:
         return np.polyval(np.polyfit(x - x[0], y, 2), at - x[0])
     h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    # second derivatives m: inner rows are tridiagonal, the ends ask for a continuous third derivative
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    i = np.arange(1, n - 1)
-    a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    b[i] = 6 * np.diff(slope)
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, b)
+    # second derivatives m: tridiagonal, after the ends' conditions (a continuous third derivative at
+    # the second and the last but one point) have taken m[0] and m[-1] out of the inner rows
+    low, middle, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    middle[0] += h[0] * (h[0] + h[1]) / h[1]
+    high[0] -= h[0] * h[0] / h[1]
+    middle[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    low[-1] -= h[-1] * h[-1] / h[-2]
+    inner = tridiagonal(low, middle, high, right)
+    m = np.concatenate([[0.0], inner, [0.0]])
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-2] + h[-1]) * m[-2] - h[-1] * m[-3]) / h[-2]
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     left, right, w = at - x[k], x[k + 1] - at, h[k]
     return (m[k] * right**3 + m[k + 1] * left**3) / (6 * w) + (y[k] / w - m[k] * w / 6) * right + (y[k + 1] / w - m[k + 1] * w / 6) * left
@@ -146,14 +161,66 @@ def butterworth(order: int, frequency: float, rate: float, kind: str) -> np.ndar
     return out
 
 
+#: Samples that a section of a filter takes at once.
+BLOCK = 128
+
+
+@lru_cache(maxsize=64)
+def _responses(section: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over a block: outputs by inputs, outputs by the two states, states by inputs, states by states."""
+    b0, b1, b2, a1, a2 = section
+    given = np.hstack([np.eye(BLOCK), np.zeros((BLOCK, 2))])
+    s1, s2 = np.zeros(BLOCK + 2), np.zeros(BLOCK + 2)
+    s1[BLOCK], s2[BLOCK + 1] = 1.0, 1.0
+    out = np.empty((BLOCK, BLOCK + 2))
+    for k, v in enumerate(given):
+        out[k] = b0 * v + s1
+        s1, s2 = b1 * v - a1 * out[k] + s2, b2 * v - a2 * out[k]
+    after = np.stack([s1, s2])
+    return out[:, :BLOCK], out[:, BLOCK:], after[:, :BLOCK], after[:, BLOCK:]
+
+
 def filtered(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Runs the sections causally from rest (transposed direct form II)."""
-    y = x.astype(np.float64).tolist()
-    for b0, b1, b2, a1, a2 in sections.tolist():
-        s1 = s2 = 0.0
-        for k, v in enumerate(y):
-            o = b0 * v + s1
-            s1 = b1 * v - a1 * o + s2
-            s2 = b2 * v - a2 * o
-            y[k] = o
-    return np.array(y)
+    """Runs the sections causally from rest (transposed direct form II), a block of samples at a time:
+    a block's outputs and last states are products with what it gets."""
+    y, n = x.astype(np.float64), len(x)
+    for section in map(tuple, sections.tolist()):
+        b0, b1, b2, a1, a2 = section
+        whole, s1, s2 = n // BLOCK, 0.0, 0.0
+        if whole > 1:
+            by_input, by_state, to_state, state_to_state = _responses(section)
+            blocks = y[: whole * BLOCK].reshape(whole, BLOCK)
+            (p, q), (r, s) = state_to_state.tolist()
+            states = []
+            for u, v in (blocks @ to_state.T).tolist():
+                states.append((s1, s2))
+                s1, s2 = p * s1 + q * s2 + u, r * s1 + s * s2 + v
+            head = (blocks @ by_input.T + np.array(states) @ by_state.T).ravel()
+        else:
+            head, whole = np.zeros(0), 0
+        tail = y[whole * BLOCK :].tolist()
+        for k, v in enumerate(tail):
+            tail[k] = o = b0 * v + s1
+            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
+        y = np.concatenate([head, tail])
+    return y
+
+
+def sliced(series: pa.ListArray, points: pa.ListArray, keep_tail: bool) -> tuple[np.ndarray, pa.ListArray]:
+    """The rows of series that slices come from, and the slices: samples after a point (the sorted
+    distinct ones above 0), up to and with the next; empty ones are left out."""
+    rows, sizes, taken = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    times, numbers = _numbers(series.values.field("time")), _numbers(points.values)
+    spans, cuts = series.offsets.to_numpy(), points.offsets.to_numpy()
+    known = np.array([a and b for a, b in zip(series.is_valid().to_pylist(), points.is_valid().to_pylist(), strict=True)], bool)
+    for k in np.flatnonzero(known).tolist():
+        own = numbers[cuts[k] : cuts[k + 1]]
+        at = np.unique(own[own > 0])
+        number = np.searchsorted(at, times[spans[k] : spans[k + 1]], side="left")
+        order = np.argsort(number, kind="stable")
+        counts = np.bincount(number, minlength=len(at) + 1)[: len(at) + keep_tail]
+        taken.append(order[: counts.sum()] + spans[k])
+        sizes.append(counts[counts > 0])
+        rows.append(np.full(len(sizes[-1]), k))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    return np.concatenate(rows), pa.ListArray.from_arrays(pa.array(offsets), series.values.take(pa.array(np.concatenate(taken))))

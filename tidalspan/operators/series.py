@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -335,15 +336,15 @@ class SliceTimeSeries(Transform):
     def apply(self, df: DataFrame) -> DataFrame:
         types.chosen_series(df, [self.series])
         types.require(df, [self.points])
-        points = F.array_sort(F.array_distinct(F.filter(F.col(self.points), lambda p: p > 0)))
-        last = F.size(points)
-        part = lambda k: F.filter(F.col(self.series), lambda x: S.slice_number(points, x["time"]) == k)
-        count = last if self.keep_tail else last - 1
-        parts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), part), lambda s: F.size(s) > 0)
-        if not self.keep_tail:
-            parts = F.when(last > 0, parts).otherwise(F.slice(parts, 1, 0))
-        rest = [F.col(f"`{c}`") for c in df.columns if c != self.series]
-        return df.select(*rest, F.explode(parts).alias(self.series)).select(*df.columns)
+        names, keep_tail = df.columns, self.keep_tail
+        at, cut = names.index(self.series), names.index(self.points)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, slices = kernels.sliced(batch.column(at), batch.column(cut), keep_tail)
+                yield pa.record_batch([slices if k == at else c.take(pa.array(rows)) for k, c in enumerate(batch.columns)], names=names)
+
+        return df.mapInArrow(run, df.schema)
 
 
 class DetectDelocalizations(Transform):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tidalspan.errors import Finished, InvalidUriSchemeError, UnsupportedFileTypeError
 from tidalspan.operators.base import Identity, Transform
@@ -150,32 +153,46 @@ class Chained(Incremental):
         return reduce(lambda a, b: a.unionByName(b), (e.observe() for e in self.environments))
 
 
-#: Rows whose order columns are sampled to find the ranges of with_row_number.
+#: Rows that are sampled to find the ranges of with_row_number.
 SAMPLE = 10_000
 
 
+def _listed(values: Iterable[int]) -> Column:
+    """One literal array of longs, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def with_row_number(df: DataFrame, order_by: str | list[str], name: str = "_row") -> DataFrame:
     """Numbers from 1 in order, over the whole frame, without one task for all rows.
 
-    Rows go to ranges of the order, whose bounds come from the SAMPLE rows with the smallest hashes;
-    they are numbered within ranges, and the ranges' counts (one number each) give the offsets.
-    Bounds are values, not a shuffle's own, so evaluating the frame again gives the same numbers.
+    Rows that the order does not tell apart are told apart by a hash of all their columns, so that
+    reruns agree and a frequent value of the order fills several ranges; only rows that are equal in
+    every column are interchangeable. The ranges' bounds are the quantiles of SAMPLE rows, chosen by
+    another hash of all columns; rows are numbered within ranges, and the ranges' counts (one number
+    each) give the offsets. Bounds are values, not a shuffle's own: evaluating the frame again gives
+    the same numbers.
     """
     names = [order_by] if isinstance(order_by, str) else list(order_by)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*(F.col(f"`{c}`") for c in names))
-    found = df.select(*names).orderBy(F.xxhash64(*names)).limit(SAMPLE).orderBy(*names).collect()
+    hashable = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tied = df.withColumn("_tie", F.xxhash64(*hashable))
+    order = [*names, "_tie"]
+    key = F.struct(*(F.col(f"`{c}`") for c in order))
+    found = tied.select(*order).orderBy(F.xxhash64(F.lit(1), *(f"`{c}`" for c in order))).limit(SAMPLE).orderBy(*order).collect()
     cuts = [found[k * len(found) // parts] for k in range(1, parts)] if len(found) >= parts else []
-    kinds = [df.schema[c].dataType for c in names]
-    bounds = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(cut, kinds, names, strict=True))) for cut in dict.fromkeys(cuts)]
-    part = F.size(F.filter(F.array(*bounds), lambda b: b < key)) if bounds else F.lit(0)
-    cut_up = df.withColumn("_part", part)
-    counts = sorted((r["_part"], r["count"]) for r in cut_up.groupBy("_part").count().collect())
-    offset, before = F.lit(0).cast("long"), 0
-    for number, n in counts:
-        offset = F.when(F.col("_part") == number, F.lit(before).cast("long")).otherwise(offset)
-        before += n
-    return cut_up.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*names)) + offset).drop("_part")
+    kinds = [tied.schema[c].dataType for c in order]
+    bounds = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(cut, kinds, order, strict=True))) for cut in dict.fromkeys(cuts)]
+    part = F.lit(0)
+    if bounds:  # about two square roots of the bounds are looked at
+        step = math.isqrt(len(bounds) - 1) + 1
+        below = lambda some: F.size(F.filter(some, lambda b: b < key))
+        coarse = below(F.array(*bounds[step - 1 :: step])) if len(bounds) >= step else F.lit(0)
+        part = coarse * step + below(F.slice(F.array(*bounds), coarse * step + 1, F.lit(step)))
+    cut_up = tied.withColumn("_part", part)
+    counts = {r["_part"]: r["count"] for r in cut_up.groupBy("_part").count().collect()}
+    before = [0, *itertools.accumulate(counts.get(k, 0) for k in range(len(bounds)))]
+    offset = F.get(_listed(before), F.col("_part"))
+    return cut_up.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)) + offset).drop("_part", "_tie")
 
 
 class Batches(Incremental):
@@ -249,33 +266,46 @@ def save_traces(traces: DataFrame, path: str, format_: str = "parquet", metadata
 
 
 class FrameAdapter:
-    """Serves a frame row by row in order, and keeps what is sent back."""
+    """Serves a frame row by row in order, and keeps what is sent back.
+
+    Rows are fetched by one job, a partition at a time. Results are kept here up to KEPT rows, then
+    they go, together, to files under folder (if one is given).
+    """
+
+    KEPT = 10_000
 
-    def __init__(self, source: DataFrame, order_by: str | list[str], inputs: list[str] | None = None) -> None:
-        self.batches = Batches(source, order_by, 1)
-        self.inputs, self.results, self.over = inputs, [], False
+    def __init__(self, source: DataFrame, order_by: str | list[str], inputs: list[str] | None = None, folder: str | None = None) -> None:
+        self.source = source.select(*inputs) if inputs else source
+        names = [order_by] if isinstance(order_by, str) else list(order_by)
+        self.ordered = source.orderBy(*names).select(*self.source.columns)
+        self.results, self.over, self.folder, self.spilled, self.rows = [], False, folder, 0, iter(())
 
     def start(self) -> None:
-        self.over = self.batches.size == 0
+        self.over, self.rows = False, self.ordered.toLocalIterator(prefetchPartitions=True)
 
     def get_data(self) -> DataFrame:
-        if self.over:
-            raise Finished
-        df = self.batches.observe()
-        try:
-            self.batches.step()
-        except Finished:
-            df = df.sparkSession.createDataFrame(df.collect(), df.schema)  # the last single row
+        row = None if self.over else next(self.rows, None)
+        if row is None:
             self.over = True
-        return df.select(*self.inputs) if self.inputs else df
+            raise Finished
+        return self.source.sparkSession.createDataFrame([row], self.source.schema)
 
     def send_data(self, data: DataFrame) -> None:
-        self.results += data.collect()
+        self.results += data.collect()  # the answer to one row
+        if self.folder and len(self.results) >= self.KEPT:
+            self._spill()
+
+    def _spill(self) -> None:
+        self.source.sparkSession.createDataFrame(self.results).write.mode("append").parquet(f"{self.folder}/results")
+        self.spilled, self.results = self.spilled + len(self.results), []
 
     def stop(self, path: str | None = None) -> DataFrame | None:
-        if not self.results:
+        spark = self.source.sparkSession
+        if self.spilled and self.results:
+            self._spill()
+        if not self.spilled and not self.results:
             return None
-        out = self.batches.rows.sparkSession.createDataFrame(self.results)
+        out = spark.read.parquet(f"{self.folder}/results") if self.spilled else spark.createDataFrame(self.results)
         if path:
             out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
         return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,18 +16,20 @@ def record(stream: DataFrame, window: float) -> DataFrame:
     one window of rows a key, and a flag after that; rows of a key are expected in order of t."""
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        on, held = (state.get[0], list(zip(*state.get[1:], strict=True))) if state.exists else (False, [])
+        on, held = (state.get[0], deque(zip(*state.get[1:], strict=True))) if state.exists else (False, deque())
         for frame in frames:
             out = []
             for t, value, flag in frame.sort_values("t")[["t", "value", "flag"]].itertuples(index=False):
                 if not on and flag:
                     on = True
                     out += [h for h in held if h[0] >= t - window]
-                    held = []
+                    held.clear()
                 if on:
                     out.append((t, value, bool(flag)))
-                else:
-                    held = [h for h in held if h[0] >= t - window] + [(t, value, bool(flag))]
+                    continue
+                while held and held[0][0] < t - window:  # in order of time, so the old ones come first
+                    held.popleft()
+                held.append((t, value, bool(flag)))
             yield pd.DataFrame({"key": key[0], "t": [o[0] for o in out], "value": [o[1] for o in out], "flag": [o[2] for o in out]}).astype({"key": "int64", "t": "float64", "value": "float64", "flag": "bool"})
         columns = [list(c) for c in zip(*held, strict=True)] or [[], [], []]
         state.update((on, *columns))
