@@ -19,6 +19,12 @@ from tidalspan.operators.base import Identity, Transform
 SUFFIX = "_predicted"
 
 
+def _file(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), str(path))
+
+
 class Model:
     """pre is applied before prediction, post after it."""
 
@@ -41,13 +47,16 @@ class Model:
         return self.post.apply(self._predict(self.pre.apply(df)))
 
     def save(self, path: str) -> None:
-        with open(path, "wb") as f:
-            pickle.dump(self, f)
+        """To a file: a local path, or a URI of any file system that pyarrow knows."""
+        system, at = _file(path)
+        with system.open_output_stream(at) as f:
+            f.write(pickle.dumps(self))
 
     @staticmethod
     def load(path: str) -> Model:
-        with open(path, "rb") as f:
-            return pickle.load(f)
+        system, at = _file(path)
+        with system.open_input_stream(at) as f:
+            return pickle.loads(f.read())
 
 
 class Learner:
@@ -83,6 +92,32 @@ class LoggingCallbacks(Callbacks):
         self.logger.error("%s failed: %s", type(learner).__name__, error)
 
 
+class ProgressCallbacks(Callbacks):
+    """A line on a terminal that follows a learner."""
+
+    def __init__(self, out=None, width: int = 30) -> None:
+        import sys
+
+        self.out, self.width = out or sys.stderr, width
+
+    def _line(self, learner, text: str, end: str = "") -> None:
+        self.out.write(f"\r{type(learner).__name__} {text}{end}")
+        self.out.flush()
+
+    def on_start(self, learner):
+        self._line(learner, "...")
+
+    def on_progress(self, learner, done, metrics=None):
+        bar = "?" * self.width if done is None else ("#" * round(done * self.width)).ljust(self.width, ".")
+        self._line(learner, f"[{bar}] {' '.join(f'{k}={v:.4g}' for k, v in (metrics or {}).items())}")
+
+    def on_end(self, learner):
+        self._line(learner, "done", "\n")
+
+    def on_error(self, learner, error):
+        self._line(learner, f"failed: {error}", "\n")
+
+
 def told(callbacks: Sequence[Callbacks], learner: object, work: Callable[[], Model]) -> Model:
     for c in callbacks:
         c.on_start(learner)

@@ -60,12 +60,14 @@ def one_hot(spark, d):
     return P.OneHot({"o_orderstatus": ["F", "O", "P"]}).apply(rows)
 
 
-@query("F03_one_hot_fitted", "SELECT c_mktsegment AS segment, 1::BIGINT AS flags FROM customer")
+@query("F03_one_hot_fitted", "SELECT c_custkey, c_mktsegment AS segment, 1::BIGINT AS flag FROM customer")
 def one_hot_fitted(spark, d):
-    rows = table(spark, d, "customer").select("c_mktsegment", F.col("c_mktsegment").alias("segment"))
+    """The name of the one flag that is set, and the flag."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     made = P.OneHot.from_dataframe(rows, ["c_mktsegment"], True).apply(rows)
     flags = [c for c in made.columns if c.startswith("c_mktsegment_")]
-    return made.select("segment", sum(F.col(f"`{c}`") for c in flags).alias("flags"))
+    each = F.array(*(F.struct(F.lit(c.removeprefix("c_mktsegment_")).alias("segment"), F.col(f"`{c}`").cast("long").alias("flag")) for c in flags))
+    return made.select("c_custkey", F.explode(each).alias("x")).select("c_custkey", "x.*").where("flag <> 0")
 
 
 @query("F04_one_cold", "SELECT o_orderkey, (o_orderstatus <> 'F')::BIGINT AS \"o_orderstatus_F\", (o_orderstatus <> 'O')::BIGINT AS \"o_orderstatus_O\" FROM orders")

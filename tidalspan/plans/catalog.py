@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidalspan.plans import analysis, models, more, relational, series
+from tidalspan.plans import analysis, library, models, more, relational, series
 
 
 def _families() -> tuple:
-    return relational, series, analysis, models, more
+    return relational, series, analysis, models, more, library
 
 
 def queries() -> dict:

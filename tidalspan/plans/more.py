@@ -25,22 +25,23 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("S12_prediction_batches", f"WITH {EVENTS} SELECT count(*) AS n, ceil(count(*) / 4000.0)::BIGINT AS batches FROM e")
+@query("S12_prediction_batches", f"WITH {EVENTS} SELECT event_id, round(3 * value + 2, 6) AS value_predicted, ((row_number() OVER (ORDER BY event_id) - 1) // 4000)::BIGINT AS batch FROM e")
 def prediction_batches(spark, d):
-    env, model, n, batches = S.DatasetPrediction(events(spark, d).select("event_id", "value"), "event_id", 4000), L.DummyModel(["value"], ["value"]), 0, 0
+    """What the environment is told, batch by batch."""
+    env, model = S.DatasetPrediction(events(spark, d).select("event_id", "value"), "event_id", 4000), L.LinearModel(["value"], ["value"], {"value": [3.0, 2.0]})
     for batch in env:
         env.act(model.predict(batch))
-        n, batches = n + env.actions[-1].count(), batches + 1
-    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(batches).cast("long").alias("batches"))
+    told = [a.select("event_id", rounded("value_predicted").alias("value_predicted"), F.lit(k).cast("long").alias("batch")) for k, a in enumerate(env.actions)]
+    return S.collect(told)
 
 
-@query("S23_frame_adapter", "SELECT r_regionkey::BIGINT AS r_regionkey, 0.0::DOUBLE AS x_predicted FROM region")
+@query("S23_frame_adapter", "SELECT n_nationkey::BIGINT AS n_nationkey, 2.0 * n_nationkey + 0.5 AS x_predicted FROM nation")
 def frame_adapter(spark, d):
     from tidalspan.ml.strategies import prediction_loop
 
-    adapter = S.FrameAdapter(table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey")), "r_regionkey")
-    prediction_loop(L.DummyModel(["r_regionkey"], ["x"]), adapter)
-    return spark.createDataFrame(adapter.results, "r_regionkey long, x_predicted double")
+    adapter = S.FrameAdapter(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey")), "n_nationkey")
+    prediction_loop(L.LinearModel(["n_nationkey"], ["x"], {"x": [2.0, 0.5]}), adapter)
+    return spark.createDataFrame(adapter.results, "n_nationkey long, x_predicted double")
 
 
 @query("S25_test_case_sink", "SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT unnest([0, 0.5, 1.0]) AS a), (SELECT unnest([1, 2]) AS b)")
@@ -140,13 +141,15 @@ def mealy(spark, d):
     return spark.createDataFrame([(s, str(i), t, str(o)) for s, step in enumerate(machine.delta) for i, (t, o) in step.items()], "state int, symbol string, target int, output string")
 
 
-@query("X06_stateful_selection", f"WITH {EVENTS} SELECT user_id, (count(*) - 1)::BIGINT AS last FROM e GROUP BY user_id")
+@query("X06_stateful_selection", f"WITH {EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM e) SELECT event_id, (sum(CASE WHEN k = 1 THEN 0 WHEN value > 50 THEN 1 ELSE 2 END) OVER (PARTITION BY user_id ORDER BY k) % 3)::BIGINT AS selected_mode FROM s")
 def stateful(spark, d):
-    from tidalspan.streaming.learning import latest, select_modes
+    """A mode that follows from the one selected before and from the present value."""
+    from tidalspan.streaming.learning import select_modes
 
-    e = events(spark, d).select("user_id", "t", "value", F.lit(0).alias("mode"))
-    counted = select_modes(e, "user_id", "t", ["value"], 1, "mode", lambda samples, before: before[-1] + 1)
-    return latest(counted, "user_id", "t").select("user_id", F.col("selected_mode").alias("last"))
+    e = events(spark, d).select("event_id", "user_id", F.struct("t", "event_id").alias("at"), "value", F.lit(0).alias("mode"))
+    e = S.with_row_number(e.select("event_id", "user_id", "value", "mode", F.col("at.t").alias("t")), ["t", "event_id"], "k")
+    chosen = select_modes(e, "user_id", "k", ["value"], 1, "mode", lambda samples, before: (before[-1] + (1 if samples[-1][0] > 50 else 2)) % 3)
+    return chosen.select("event_id", "selected_mode")
 
 
 @query("X03_stream_recorder", f"WITH {EVENTS}, f AS (SELECT user_id, min(t) AS on_t FROM e WHERE event_type = 'purchase' GROUP BY user_id) SELECT e.user_id AS key, count(*) AS n FROM e JOIN f USING (user_id) WHERE e.t >= f.on_t - 3600 GROUP BY 1")
@@ -161,10 +164,10 @@ def stream_recorder(spark, d):
     return spark.read.parquet(f"{path}/rows").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("X01_bounded_batches", "SELECT count(*) AS n FROM events")
+@query("X01_bounded_batches", f"WITH {EVENTS}, r AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 2500 AS batch FROM e) SELECT batch::BIGINT AS batch, count(*) AS n, min(event_id) AS first, round(max(value), 6) AS high FROM r GROUP BY 1")
 def bounded(spark, d):
-    n = sum(b.count() for b in S.Batches(events(spark, d).select("event_id"), "event_id", 2500))
-    return spark.range(1).select(F.lit(n).cast("long").alias("n"))
+    parts = [b.agg(F.lit(k).cast("long").alias("batch"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), rounded(F.max("value")).alias("high")).collect() for k, b in enumerate(S.Batches(events(spark, d).select("event_id", "value"), "event_id", 2500))]
+    return spark.createDataFrame([r for p in parts for r in p], "batch long, n long, first long, high double")
 
 
 @query("D09_domains")
@@ -174,15 +177,15 @@ def domains(spark, d):
     return stochastic(spark, 500, 3, Continuous("u", -1.0, 1.0), Continuous("n", -3.0, 3.0, 0.0, 1.0), Fixed("f", 7.0))
 
 
-@query("S16_hybrid_simulation")
+@query("S16_hybrid_simulation", "SELECT k AS event, round(sqrt(4 / 9.81) * (1 + 2 * (0.8 - pow(0.8, k + 1)) / 0.2), 3) AS time, 'fall' AS source, 'fall' AS target, round(pow(0.8, k + 1) * sqrt(4 * 9.81), 3) AS speed FROM range(0, 3) r(k)")
 def hybrid(spark, d):
     from tidalspan.sim.hybrid import bouncing_ball, simulate
 
-    trace = simulate(bouncing_ball(), (0.0, 3.0), [2.0, 0.0])
-    return spark.createDataFrame([(float(e.time), e.source, e.target, float(e.state[1])) for e in trace.events], "time double, source string, target string, speed double")
+    trace = simulate(bouncing_ball(), (0.0, 3.0), [2.0, 0.0], rtol=1e-10, atol=1e-12)
+    return spark.createDataFrame([(k, round(float(e.time), 3), e.source, e.target, round(float(e.state[1]), 3)) for k, e in enumerate(trace.events)], "event long, time double, source string, target string, speed double")
 
 
-@query("L18_hybrid_model")
+@query("L18_hybrid_model", "SELECT s_suppkey, (s_suppkey % 100 >= 50)::INT AS selected_mode, CASE WHEN s_suppkey % 100 < 50 THEN 2.0 * s_nationkey ELSE 5.0 - s_nationkey END AS y_predicted FROM supplier")
 def hybrid_model(spark, d):
     from tidalspan.sim.modes import learn_hybrid
 

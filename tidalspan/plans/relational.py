@@ -91,10 +91,10 @@ def micro_batches(spark, d):
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("S13_collect", "SELECT count(*) * 2 AS n FROM region")
+@query("S13_collect", "SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 def collected(spark, d):
-    r = table(spark, d, "region")
-    return S.collect([r, r, r], 2).agg(F.count(F.lit(1)).alias("n"))
+    n, r = (table(spark, d, t).select(F.col(f"{t[0]}_{t}key").alias("key"), F.col(f"{t[0]}_name").alias("name")) for t in ("nation", "region"))
+    return S.collect([n, r, n], 2)
 
 
 @query("S14_train_test_split", "WITH r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS c FROM orders) SELECT CASE WHEN k <= floor(c * 0.8) THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM r GROUP BY 1")
@@ -135,11 +135,10 @@ def rename(spark, d):
     return R.Rename({"c_custkey": "id", "c_name": "name"}).apply(table(spark, d, "customer").select("c_custkey", "c_name"))
 
 
-@query("P04_cast", "SELECT p_partkey::DOUBLE AS p_partkey, (p_size <> 0) AS p_size, p_retailprice::VARCHAR = p_retailprice::VARCHAR AS same FROM part")
+@query("P04_cast", "SELECT p_partkey::DOUBLE AS p_partkey, (p_size <> 0) AS p_size, p_name, (p_size::BIGINT)::VARCHAR AS size_text FROM part")
 def cast(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    out = R.Cast({"p_partkey": "double", "p_size": "boolean", "p_retailprice": "string"}).apply(rows)
-    return out.select("p_partkey", "p_size", (F.col("p_retailprice") == F.col("p_retailprice")).alias("same"))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", "p_name", F.col("p_size").alias("size_text"))
+    return R.Cast({"p_partkey": "double", "p_size": "boolean", "size_text": "string"}).apply(rows)
 
 
 @query("P05_filter", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity * l_discount > 4.5 AND l_tax <> 0.08")

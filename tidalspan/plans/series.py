@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,16 +44,26 @@ def to_series(spark, d):
     return flat(user_series(spark, d), "value", "user_id")
 
 
-@query("R01_whole_frame", "SELECT 1::BIGINT AS series, count(*)::BIGINT AS n FROM nation")
+@query("R01_whole_frame", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS i, n_nationkey::BIGINT AS t, n_regionkey::BIGINT AS v FROM nation")
 def whole_frame(spark, d):
     s = T.ToTimeSeries("n_nationkey").apply(table(spark, d, "nation").select("n_nationkey", "n_regionkey"))
-    return s.select(F.lit(1).cast("long").alias("series"), F.size("n_regionkey").cast("long").alias("n"))
+    return s.select(F.posexplode("n_regionkey").alias("i", "x")).select(F.col("i").cast("long").alias("i"), F.col("x.time").cast("long").alias("t"), F.col("x.value").cast("long").alias("v"))
+
+
+def _lines_of_orders(spark, d):
+    """All lines as series of an order, by how many lines an order has: series of one length each."""
+    lines = T.ToTimeSeries({"l_quantity": "l_linenumber"}, keys="l_orderkey").apply(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
+    lengths = sorted(r[0] for r in lines.select(F.size("l_quantity")).distinct().collect())  # few
+    return [(n, lines.where(F.size("l_quantity") == n)) for n in lengths]
 
 
-@query("R02_flatten", f"WITH {RANKED} SELECT user_id, round(max(value) FILTER (WHERE k = 1), 6) AS value_0, round(max(value) FILTER (WHERE k = 2), 6) AS value_1, round(max(value) FILTER (WHERE k = 3), 6) AS value_2 FROM s WHERE n >= 3 GROUP BY user_id")
+@query("R02_flatten", "SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1)::INT AS k, l_quantity AS v FROM lineitem")
 def flatten(spark, d):
-    three = user_series(spark, d).where(F.size("value") >= 3).withColumn("value", F.slice("value", 1, 3))
-    return T.Flatten("value").apply(three).select("user_id", *(rounded(f"value_{k}").alias(f"value_{k}") for k in range(3)))
+    parts = []
+    for n, rows in _lines_of_orders(spark, d):
+        wide = T.Flatten("l_quantity").apply(rows)
+        parts.append(wide.select("l_orderkey", F.posexplode(F.array(*(F.col(f"l_quantity_{k}") for k in range(n)))).alias("k", "v")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("R03_sliding_window", f"WITH {EVENTS}, s AS (SELECT user_id, t, lag(value, 2) OVER w AS value_0, lag(value, 1) OVER w AS value_1, value AS value_2, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, t, value_0, value_1, value_2 FROM s WHERE k >= 3")
@@ -153,10 +165,13 @@ def localization_status(spark, d):
     return out.select("event_id", rounded(F.col("poses")[0]["value"]["position_error"]).alias("position_error"), F.col("poses")[0]["value"]["is_delocalized"].alias("is_delocalized"))
 
 
-@query("R15_flat_derivative", f"WITH {RANKED}, f AS (SELECT user_id, max(value) FILTER (WHERE k = 1) AS a, max(value) FILTER (WHERE k = 2) AS b FROM s WHERE n >= 2 GROUP BY user_id) SELECT user_id, 0.0::DOUBLE AS d0, round(b - a, 6) AS d1 FROM f")
+@query("R15_flat_derivative", "SELECT l_orderkey, (row_number() OVER w - 1)::INT AS k, round(l_quantity - lag(l_quantity, 1, l_quantity) OVER w, 6) AS v FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity)")
 def flat_derivative(spark, d):
-    two = T.Flatten("value").apply(user_series(spark, d).where(F.size("value") >= 2).withColumn("value", F.slice("value", 1, 2)))
-    return T.FlatDerivative("value").apply(two).select("user_id", F.col("value_derivative_0").alias("d0"), rounded("value_derivative_1").alias("d1"))
+    parts = []
+    for n, rows in _lines_of_orders(spark, d):
+        made = T.FlatDerivative("l_quantity").apply(T.Flatten("l_quantity").apply(rows))
+        parts.append(made.select("l_orderkey", F.posexplode(F.array(*(rounded(f"l_quantity_derivative_{k}") for k in range(n)))).alias("k", "v")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("P13_explode_series", f"WITH {EVENTS} SELECT user_id, t AS time, value FROM e")

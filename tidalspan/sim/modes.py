@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidalspan.ml.learners import SUFFIX, ClusterModel, Learner, LinearRegression, Model, classification_tree
+from tidalspan.ml.learners import SUFFIX, ClusterModel, Learner, LinearModel, LinearRegression, Model, NumpyModel, classification_tree
+from tidalspan.sim.hybrid import Inputs, Trace
+from tidalspan.sim.ode import grid, solve
+from tidalspan.sim.selector import details, tree_function
 from tidalspan.sources.frames import with_row_number
 
 
@@ -63,20 +69,127 @@ def identify_modes(df: DataFrame, order: str, inputs: Sequence[str], output: str
     return rows.drop("_at"), models
 
 
+def numeric(model: Model) -> Callable[[np.ndarray], np.ndarray]:
+    """A fitted model as a function of one row's inputs."""
+    if isinstance(model, LinearModel):
+        w = np.array([model.weights[o] for o in model.outputs])
+        return lambda x: w[:, :-1] @ x + w[:, -1]
+    if isinstance(model, NumpyModel):
+        return lambda x: np.asarray(model.function(x[None, :]), float).reshape(-1)
+    raise TypeError(f"{type(model).__name__} cannot be evaluated row by row")
+
+
 class ModeModel(Model):
-    """A selector chooses a mode for each row, whose model predicts."""
+    """A selector chooses a mode for each row, whose model predicts. With one mode there is nothing to
+    select. Where the outputs are the derivatives of the states, in the states' order, the model
+    can be integrated: its inputs are then the states, the system's inputs and the time t, by name."""
 
-    def __init__(self, inputs, outputs, selector: Model, models: Sequence[Model]) -> None:
+    def __init__(self, inputs, outputs, selector: Model | None, models: Sequence[Model], states: Sequence[str] = ()) -> None:
         super().__init__(inputs, outputs)
-        self.selector, self.router = selector, ClusterModel(inputs, outputs, "selected_mode", dict(enumerate(models)))
+        if not models:
+            raise ValueError("there are no modes")
+        if selector is None and len(models) > 1:
+            raise ValueError("several modes need a selector")
+        self.selector, self.modes, self.states = selector, list(models), list(states)
+        self.router = ClusterModel(inputs, outputs, "selected_mode", dict(enumerate(models)))
 
     def _predict(self, df):
+        if self.selector is None:
+            return self.router.predict(df.withColumn("selected_mode", F.lit(0)))
         chosen = self.selector.predict(df).withColumnRenamed(self.selector.predictions[0], "selected_mode")
         return self.router.predict(chosen.withColumn("selected_mode", F.col("selected_mode").cast("int")))
 
-
-def learn_hybrid(df: DataFrame, order: str, inputs: Sequence[str], output: str, selector_inputs: Sequence[str], **settings) -> ModeModel:
-    """identify_modes, then a tree that tells the modes apart."""
+    def predict_with_diagnostics(self, df: DataFrame) -> DataFrame:
+        """predict, and why: ready (rows whose selector inputs are all there), the leaf of the selector
+        and the probability of each mode. Rows that are not ready have no prediction."""
+        if self.selector is None:
+            return self.predict(df).withColumns({"ready": F.lit(True), "leaf": F.lit(None).cast("double"), "mode_probabilities": F.array(F.lit(1.0))})
+        known = reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in self.selector.inputs))
+        told = details(self.selector, df.where(known))
+        out = self.router.predict(told.withColumn("selected_mode", F.col("selected_mode").cast("int"))).withColumn("ready", F.lit(True))
+        return out.unionByName(df.where(~known).withColumn("ready", F.lit(False)), allowMissingColumns=True)
+
+    def _choose(self) -> Callable[[dict[str, float]], int]:
+        if self.selector is None:
+            return lambda row: 0
+        decide, names, count = tree_function(self.selector.models[0]), self.selector.inputs, len(self.modes)
+
+        def choose(row: dict[str, float]) -> int:
+            if missing := [n for n in names if n not in row]:
+                raise ValueError(f"the selector needs {missing}: only selectors without history can be integrated")
+            mode = int(decide([row[n] for n in names]))
+            if not 0 <= mode < count:
+                raise ValueError(f"the selector names the unknown mode {mode}")
+            return mode
+
+        return choose
+
+    def stepper(self, inputs: Inputs | None = None, input_names: Sequence[str] = (), **settings) -> Callable[[float, np.ndarray, float], tuple[int, np.ndarray]]:
+        """(t, state, dt) -> the mode at t and the state after dt in it; plain functions, fit for tasks."""
+        if not self.states or len(self.states) != len(self.outputs):
+            raise ValueError("name the states whose derivatives the outputs are")
+        choose, flows, states, names = self._choose(), [numeric(m) for m in self.modes], self.states, self.inputs
+
+        def row(t: float, x: np.ndarray) -> dict[str, float]:
+            given = np.asarray(inputs(t), float) if inputs else ()
+            return {"t": t, **dict(zip(states, map(float, x), strict=True)), **dict(zip(input_names, map(float, given), strict=True))}
+
+        def step(t: float, x: np.ndarray, dt: float) -> tuple[int, np.ndarray]:
+            x = np.asarray(x, float)
+            if not np.isfinite(t) or not np.isfinite(dt) or dt <= 0 or x.shape != (len(states),) or not np.isfinite(x).all():
+                raise ValueError("time, step and state must be finite, and the step above 0")
+            mode = choose(row(t, x))
+
+            def flow(at: float, y: np.ndarray) -> np.ndarray:
+                now = row(at, y)
+                return flows[mode](np.array([now[n] for n in names]))
+
+            return mode, solve(flow, t, x, t + dt, **settings)[1][-1]
+
+        return step
+
+    def predict_next_state(self, state: Sequence[float], t: float, dt: float, inputs: Inputs | None = None, input_names: Sequence[str] = (), **settings) -> np.ndarray:
+        return self.stepper(inputs, input_names, **settings)(t, np.asarray(state, float), dt)[1]
+
+    def simulate(self, span: tuple[float, float], x0: Sequence[float], sample_dt: float | None = None, sample_times: Sequence[float] | None = None, inputs: Inputs | None = None, input_names: Sequence[str] = (), **settings) -> Trace:
+        """The mode is chosen anew at each sample and holds to the next; a sample's location is the
+        mode that led to it (the first's, the one that it chooses)."""
+        if (sample_dt is None) == (sample_times is None):
+            raise ValueError("give sample_dt or sample_times")
+        at = np.asarray(sample_times, float) if sample_times is not None else grid(*span, sample_dt)
+        step = self.stepper(inputs, input_names, **settings)
+        states, places = [np.asarray(x0, float)], []
+        for a, b in zip(at, at[1:], strict=False):
+            mode, after = step(float(a), states[-1], float(b - a))
+            places += [f"mode_{mode}"] * (2 if not places else 1)
+            states.append(after)
+        u = np.array([np.asarray(inputs(t), float) for t in at]) if inputs else None
+        return Trace(at, np.array(states), places or ["mode_0"] * len(at), [], u)
+
+    def simulate_frame(self, starts: DataFrame, span: tuple[float, float], dt: float) -> DataFrame:
+        """A trace for each row (trace_id, x0), in parallel: trace_id, step, t, location, the states."""
+        step, at, names = self.stepper(), grid(*span, dt), self.states
+        schema = "trace_id long, step int, t double, location string, " + ", ".join(f"`{s}` double" for s in names)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for start in frame.itertuples(index=False):
+                    x, rows, place = np.asarray(start.x0, float), [], None
+                    for k, t in enumerate(at):
+                        rows.append([start.trace_id, k, float(t), place, *x])
+                        if k + 1 < len(at):
+                            mode, x = step(float(t), x, float(at[k + 1] - t))
+                            place = f"mode_{mode}"
+                            rows[0][3] = rows[0][3] or place
+                    yield pd.DataFrame(rows, columns=["trace_id", "step", "t", "location", *names])
+
+        return starts.select("trace_id", "x0").mapInPandas(run, schema)
+
+
+def learn_hybrid(df: DataFrame, order: str, inputs: Sequence[str], output: str, selector_inputs: Sequence[str], states: Sequence[str] = (), **settings) -> ModeModel:
+    """identify_modes, then a tree that tells the modes apart, if there are several."""
     rows, models = identify_modes(df, order, inputs, output, **settings)
+    if len(models) == 1:
+        return ModeModel(list(inputs), [output], None, models, states)
     selector = classification_tree().learn(rows.where("mode >= 0"), list(selector_inputs), ["mode"])
-    return ModeModel(list(inputs), [output], selector, models)
+    return ModeModel(list(inputs), [output], selector, models, states)

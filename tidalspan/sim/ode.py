@@ -95,7 +95,7 @@ def grid(t0: float, t1: float, dt: float) -> np.ndarray:
     return at if abs(at[-1] - t1) < 1e-9 * max(1, abs(t1)) else np.append(at, t1)
 
 
-def simulate_frame(starts: DataFrame, flow: Flow, span: tuple[float, float], dt: float, states: int) -> DataFrame:
+def simulate_frame(starts: DataFrame, flow: Flow, span: tuple[float, float], dt: float, states: int, rtol: float = 1e-7, atol: float = 1e-9) -> DataFrame:
     """A trace for each row (trace_id, x0), sampled every dt; rows are independent, so it is one map."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +103,7 @@ def simulate_frame(starts: DataFrame, flow: Flow, span: tuple[float, float], dt:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 out, k = [np.asarray(row.x0, float)], 1
-                for s in steps(flow, span[0], np.asarray(row.x0, float), span[1]):
+                for s in steps(flow, span[0], np.asarray(row.x0, float), span[1], rtol, atol):
                     while k < len(at) and at[k] <= s.t1:
                         out.append(s.at(at[k]))
                         k += 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,41 @@ def as_dot(text: str, features: Sequence[str]) -> str:
     return "\n".join([*lines, "}"])
 
 
+def tree_function(model) -> Callable[[Sequence[float]], float]:
+    """A fitted spark.ml tree as a plain function of a row's features."""
+
+    def parse(lines: list[str]) -> tuple | float:
+        head = lines[0].strip()
+        if m := re.match(r"Predict: (\S+)", head):
+            return float(m[1])
+        feature, relation, value = re.match(r"If \(feature (\d+) (<=|in) (.+)\)", head).groups()
+        depth = len(lines[0]) - len(lines[0].lstrip())
+        other = next(k for k, line in enumerate(lines) if k and len(line) - len(line.lstrip()) == depth and line.strip().startswith("Else"))
+        chosen = {float(v) for v in value.strip("{}").split(",")} if relation == "in" else float(value)
+        return int(feature), chosen, parse(lines[1:other]), parse(lines[other + 1 :])
+
+    root = parse([line for line in model.toDebugString.splitlines()[1:] if line.strip()])
+
+    def decide(row: Sequence[float]) -> float:
+        node = root
+        while isinstance(node, tuple):
+            feature, chosen, yes, no = node
+            node = yes if (row[feature] in chosen if isinstance(chosen, set) else row[feature] <= chosen) else no
+        return node
+
+    return decide
+
+
+def details(selector, df: DataFrame) -> DataFrame:
+    """df with selected_mode, the leaf that chose it, and mode_probabilities, of a learnt tree."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=selector.inputs, outputCol="_features").transform(df)
+    tree = selector.models[0].copy().setLeafCol("leaf").setPredictionCol("selected_mode").setProbabilityCol("_probability").setRawPredictionCol("_raw")
+    return tree.transform(rows).withColumn("mode_probabilities", vector_to_array("_probability")).drop("_features", "_probability", "_raw")
+
+
 def support(model, df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """(leaf, n): how many rows end in each leaf of a fitted spark.ml tree."""
     from pyspark.ml.feature import VectorAssembler

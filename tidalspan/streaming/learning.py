@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,6 +77,39 @@ def select_modes(df: DataFrame, key: str, order: str, features: Sequence[str], h
     return df.groupBy(key).applyInPandas(run, schema)
 
 
+def select_modes_on_stream(stream: DataFrame, features: Sequence[str], history: int, decide) -> DataFrame:
+    """select_modes on a stream of rows (key, t, the features, mode): state is the last history
+    samples and selected modes of each key, whatever the length of a trace. Rows of a key are
+    expected in order of t. mode gives the first modes of a trace; a row is ready after them."""
+    names = list(features)
+    schema = "key long, t double, " + "".join(f"`{c}` double, " for c in names) + "selected_mode long, ready boolean"
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        samples, modes = (deque(map(list, state.get[0])), deque(state.get[1])) if state.exists else (deque(), deque())
+        for frame in frames:
+            chosen, ready = [], []
+            frame = frame.sort_values("t")
+            for given, sample in zip(frame["mode"], frame[names].to_numpy(float).tolist(), strict=True):
+                ready.append(len(modes) >= history)
+                mode = int(decide([*samples, sample], list(modes))) if ready[-1] else int(given)
+                chosen.append(mode)
+                samples.append(sample)
+                modes.append(mode)
+                while len(modes) > history:
+                    samples.popleft()
+                    modes.popleft()
+            yield frame.assign(selected_mode=chosen, ready=ready)[["key", "t", *names, "selected_mode", "ready"]]
+        state.update(([list(s) for s in samples], list(modes)))
+
+    return stream.groupBy("key").applyInPandasWithState(step, schema, "samples array<array<double>>, modes array<long>", "append", "NoTimeout")
+
+
+def changes(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
+    """Rows at which the flag of a key is not what it was in the row before; a first row is a change."""
+    before = F.lag(flag).over(W.partitionBy(key).orderBy(order))
+    return df.withColumn("_before", before).where(~F.col(flag).eqNullSafe(F.col("_before"))).drop("_before")
+
+
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

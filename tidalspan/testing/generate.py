@@ -175,3 +175,34 @@ def tree_tests(df: DataFrame, features: Sequence[str], target: str, n: int, dept
 def save_csv(df: DataFrame, path: str) -> None:
     """Test cases as CSV files with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_excel(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """Test cases as one sheet of a workbook, written on the driver: for at most so many rows."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: save them as CSV")
+
+    def cell(v: object) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *rows])
+    space, kinds = "http://schemas.openxmlformats.org", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    link = '<Relationships xmlns="{0}/package/2006/relationships"><Relationship Id="r1" Type="{0}/officeDocument/2006/relationships/{1}" Target="{2}"/></Relationships>'
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>',
+        "_rels/.rels": link.format(space, "officeDocument", "xl/workbook.xml"),
+        "xl/workbook.xml": f'<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="tests" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": link.format(space, "worksheet", "worksheets/sheet1.xml"),
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>',
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in parts.items():
+            book.writestr(name, f'<?xml version="1.0" encoding="UTF-8"?>{text}')
