@@ -15,8 +15,8 @@ all pairs of the PAIR_TERMS most frequent terms are tried, and both terms of suc
 weights. Their interaction weights start from the leading eigenvectors of that evidence.
 
 Training reads at most TRAIN_DOCS labelled ids, the ones with the smallest hash, one row each. The
-driver fits the machine on the terms that may count: at most TRAIN_DOCS rows of places below
-BUCKETS. Scoring is one map over all rows with the finished weights (5 MB, whatever the input).
+driver fits the machine on them, with the terms that may count alone: those that tell by
+themselves and the PAIR_TERMS most frequent, which Spark counts. Scoring is one map over all rows with the finished weights (5 MB, whatever the input).
 
 Cases: null and empty texts have no terms and get the bias's score; null labels are not learnt
 from; of several labels of one document the highest holds, and of several rows of one labelled
@@ -74,6 +74,11 @@ def terms(text: str | None, places: Places) -> list[int]:
     return sorted({places[w] for w in words} | {places[b"\0" + w[:STEM]] for w in words if len(w) > STEM})
 
 
+def _rate(share: float) -> float:
+    """A share of ones, away from 0 and 1."""
+    return min(max(share, 1e-3), 0.999)
+
+
 def pair_evidence(rows: list[np.ndarray], y: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of known that tell in a pair, and how much each two of them do (0: not enough)."""
     n = len(known)
@@ -148,7 +153,7 @@ class Machine:
             seen[row] += 1
             if one:
                 ones[row] += 1
-        rate = min(max(float(y.mean()), 1e-3), 0.999)
+        rate = _rate(float(y.mean()))
         self.bias = float(np.log(rate / (1 - rate)))
         z = (ones - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
         kept = (seen >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
@@ -219,10 +224,15 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     # one row an id, the one with the least terms, whatever the partitions are
     least = F.min(F.struct(F.size("places"), "places", "toxic")).alias("r")
     rows = storage.stored(every.groupBy("doc_id").agg(least).select("doc_id", "r.places", "r.toxic"), "toxicity-terms")
-    # terms that cannot count stay out of the driver
-    common = rows.select(F.explode("places").alias("place")).groupBy("place").count().where(F.col("count") >= LEAST_DOCS).select("place").toArrow()  # BUCKETS numbers at most
+    # terms that cannot count stay out of the driver: those that tell alone, and the most frequent, go there
+    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
+    share = _rate(ones / n) if n else LOW_PRIOR
+    each = rows.select(F.explode("places").alias("place"), (F.col("toxic") > 0).cast("int").alias("one")).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum("one").alias("ones"))
+    counts = storage.stored(each.where(F.col("n") >= LEAST_DOCS), "toxicity-counts")  # BUCKETS rows at most
+    z = (F.col("ones") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    telling = counts.where(F.abs(z) >= LEAST_Z - 1e-6).select("place").unionAll(counts.orderBy(F.desc("n"), "place").limit(PAIR_TERMS).select("place")).toArrow()
     may = np.zeros(BUCKETS, bool)
-    may[common.column("place").to_numpy()] = True
+    may[telling.column("place").to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(may)
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
 
     found = rows.mapInArrow(thinned, rows.schema).toArrow().sort_by("doc_id")
     storage.drop(rows)
+    storage.drop(counts)
     lists = found.column("places").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
     return Machine().fit(np.split(flat, ends[:-1]) if len(ends) else [], found.column("toxic").to_pylist())
