@@ -155,7 +155,7 @@ def test_url_trees_measure_themselves(spark):
     labelled = spark.createDataFrame([(u, 0) for u in good] + [(u, 1) for u in bad] + [(good[0], 0)] * 1000, "url string, label int")
     rows = url_filter._with_features(labelled, ["label"], ())
     names = [c for c in rows.columns if c.startswith("f_")]
-    trees = url_filter.Trees(rows.select("_suffix", "label", F.xxhash64("_url").alias("hash_key"), *names), train_urls=500)
+    trees = url_filter.Trees(rows.select(*url_filter.SUFFIXES, "label", F.xxhash64("_url").alias("hash_key"), *names), train_urls=500)
     assert trees.measured() > 0.95
     assert trees.held_out.groupBy("hash_key").count().where("count > 1").count() == 0
 

@@ -3,14 +3,15 @@
 A rule is a host and the start of a path, written like `example.org/es/`; it fits its host and
 all subdomains, and the longest that fits wins. For other URLs, boosted trees judge lexical
 features: lengths, depths, the shares of digits, the entropy of the characters, parameter counts
-and statistics of the host's last label. They are trained from labelled URLs; where a caller has
+and statistics of suffixes: the host's last label, its last two, and the first directory of the
+path, each by how often it is blocked and how often it is seen. They are trained from labelled URLs; where a caller has
 no others, those are the URLs that rules decide.
 
 Training takes at most TRAIN_URLS distinct labelled URLs, those with the smallest hashes, each
 weighed by its number of rows, into one partition. Their hashes deal them to folds: of TRAIN_FOLDS,
 the first gives the suffix statistics, so that the trees learn what a suffix tells of URLs that
 were not counted in it, and the last is held out: `Trees.measured()` is the weighed share of it
-that is judged right. Judging is one map over all rows: nothing but the table of suffixes, which has no
+that is judged right. Judging is one map over all rows: nothing but the tables of suffixes, which have no
 more rows than the sample, is joined. Only DataFrame functions and spark.ml's JVM trees are used.
 
 Cases: a null or empty URL, and one without `://`, has an empty host and path, fits no rule and
@@ -32,6 +33,7 @@ from tidalspan.llm import storage, words
 TRAIN_URLS = 20_000
 TRAIN_FOLDS = 5
 TREES, DEPTH, SEED = 20, 4, 42
+SUFFIXES = ("_suffix", "_domain", "_directory")
 ALLOW, BLOCK = "allow", "block"
 
 RULES = ((ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/"))
@@ -92,20 +94,21 @@ def _with_features(urls: DataFrame, keep: Sequence[str], rules: Sequence[tuple[s
     host, path = parts(F.col("url"))
     made = urls.select(*keep, host.alias("host"), path.alias("path"), F.col("url").alias("_url"))
     made = made.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    return made.withColumns(features(F.col("_url"), F.col("host"), F.col("path")) | {"_suffix": F.substring_index("host", ".", -1)})
+    suffixes = {"_suffix": F.substring_index("host", ".", -1), "_domain": F.substring_index("host", ".", -2), "_directory": F.regexp_extract("path", r"\A/([^/]*)/", 1)}
+    return made.withColumns(features(F.col("_url"), F.col("host"), F.col("path")) | suffixes)
 
 
 class Trees:
     """Boosted trees over the features of labelled URLs."""
 
     def __init__(self, labelled: DataFrame, train_urls: int = TRAIN_URLS) -> None:
-        """labelled: _suffix, the features and label (1: block), hash_key."""
+        """labelled: SUFFIXES, the features and label (1: block), hash_key."""
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.feature import VectorAssembler
 
         names = [c for c in labelled.columns if c.startswith("f_")]
         # a URL that is repeated ever so often is one row, of its number's weight
-        distinct = labelled.groupBy("hash_key", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.first("_suffix").alias("_suffix"), *(F.first(c).alias(c) for c in names))
+        distinct = labelled.groupBy("hash_key", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"), *(F.first(c).alias(c) for c in (*SUFFIXES, *names)))
         sample = storage.stored(distinct.orderBy("hash_key", "label").limit(train_urls).withColumn("fold", F.pmod(F.hash("hash_key"), F.lit(TRAIN_FOLDS))), "url-labels")
         counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
         self.only = None if len(counts) == 2 else (BLOCK if counts.get(1) else ALLOW)
@@ -114,10 +117,10 @@ class Trees:
         self.prior = counts[1] / sum(counts.values())
         # one row a suffix of the sample; smoothed, as a suffix may have few rows
         told = F.sum(F.col("label") * F.col("weight"))
-        self.suffixes = storage.stored(
-            sample.where("fold = 0").groupBy("_suffix").agg(((told + 5 * F.lit(self.prior)) / (F.sum("weight") + 5)).alias("f_suffix_blocked"), F.log1p(F.sum("weight")).alias("f_suffix_count")), "url-suffixes"
-        )
-        self.assembler = VectorAssembler(inputCols=[*names, "f_suffix_blocked", "f_suffix_count"], outputCol="_features")
+        share, seen = (told + 5 * F.lit(self.prior)) / (F.sum("weight") + 5), F.log1p(F.sum("weight"))
+        counted = sample.where("fold = 0")
+        self.suffixes = {c: storage.stored(counted.groupBy(c).agg(share.alias(f"f{c}_blocked"), seen.alias(f"f{c}_count")), f"url{c}") for c in SUFFIXES}
+        self.assembler = VectorAssembler(inputCols=[*names, *(f"f{c}_{k}" for c in SUFFIXES for k in ("blocked", "count"))], outputCol="_features")
         trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, predictionCol="_blocked")
         trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
         learnt = sample.where((F.col("fold") > 0) & (F.col("fold") < TRAIN_FOLDS - 1))
@@ -135,8 +138,9 @@ class Trees:
         return self.verdict(self.held_out).agg(F.sum(self._right) / F.sum("weight")).first()[0]
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        joined = rows.join(F.broadcast(self.suffixes), "_suffix", "left")  # at most TRAIN_URLS rows
-        return self.assembler.transform(joined.fillna({"f_suffix_blocked": self.prior, "f_suffix_count": 0.0}))
+        for c, told in self.suffixes.items():  # at most TRAIN_URLS rows each
+            rows = rows.join(F.broadcast(told), c, "left").fillna({f"f{c}_blocked": self.prior, f"f{c}_count": 0.0})
+        return self.assembler.transform(rows)
 
     def verdict(self, rows: DataFrame) -> DataFrame:
         """rows with _judged."""
@@ -154,7 +158,7 @@ def judge(urls: DataFrame, keep: Sequence[str] = ("page_id",), rules: Sequence[t
         known = rows.where(F.col("_rule").isNotNull()).withColumn("label", (F.col("_rule.verdict") == BLOCK).cast("int"))
     else:
         known = _with_features(labelled.where(F.col("label").isNotNull()), ["label"], ())
-    trees = Trees(known.select("_suffix", "label", F.xxhash64("_url").alias("hash_key"), *names))
+    trees = Trees(known.select(*SUFFIXES, "label", F.xxhash64("_url").alias("hash_key"), *names))
     return trees.verdict(rows).select(*keep, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), F.col("_judged")).alias("verdict"))
 
 
