@@ -182,7 +182,7 @@ def edges(nodes: DataFrame, radius: int, masks: list[int], least: float = 0.0, t
     cut = counted.withColumn("_all", F.sum("n").over(bucket)).withColumn("band", F.floor(before / tile)).where(F.col("_all") > 2 * tile)
     banded = cut.groupBy("k", "key", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.sum("n") / (2 * tile)).cast("int").alias("tiles"))
     banded = banded.withColumn("first", F.coalesce(F.sum("tiles").over(bucket.orderBy("band").rowsBetween(*upto)), F.lit(0)).cast("int"))
-    large = banded.groupBy("k", "key").agg(F.collect_list(F.struct("lo", "hi", "tiles", "first")).alias("bands"))
+    large = storage.small(banded.groupBy("k", "key").agg(F.collect_list(F.struct("lo", "hi", "tiles", "first")).alias("bands")), "simhash-bands")
     mine = F.get(F.filter("bands", lambda b: (b["lo"] <= F.bit_count("fp")) & (b["hi"] >= F.bit_count("fp"))), F.lit(0))
     own = F.coalesce(F.col("_mine")["first"] + F.pmod(F.xxhash64("node", F.lit(7)), F.col("_mine")["tiles"]).cast("int"), F.lit(0))
     # each tile meets every tile whose counts are near once; the second of a pair is its side 1

@@ -43,6 +43,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows that a table may have to be sent to every task.
+MOST_BROADCAST = 1 << 20
+
+
+def small(df: DataFrame, tag: str) -> DataFrame:
+    """df, stored; marked for broadcast if it has at most MOST_BROADCAST rows (of a few numbers each)."""
+    from pyspark.sql import functions as F
+
+    out = stored(df, tag)
+    return F.broadcast(out) if out.count() <= MOST_BROADCAST else out
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a stored table that nothing reads any more."""
     path = getattr(df, "_tidalspan_path", None)
