@@ -45,7 +45,7 @@ def plain_filter(sections, x):
     return np.array(y)
 
 
-@pytest.mark.parametrize("n", [0, 1, 127, 128, 300, 5000])
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 300, 5000, 20011])
 @pytest.mark.parametrize("kind", ["lowpass", "highpass"])
 def test_filter_by_blocks(n, kind):
     sections = kernels.butterworth(5, 0.03, 1.0, kind)

@@ -161,8 +161,8 @@ def butterworth(order: int, frequency: float, rate: float, kind: str) -> np.ndar
     return out
 
 
-#: Samples that a section of a filter takes at once.
-BLOCK = 128
+#: Samples that a section of a filter takes at once, and blocks from which on that pays.
+BLOCK, BLOCKS = 128, 64
 
 
 @lru_cache(maxsize=64)
@@ -181,13 +181,13 @@ def _responses(section: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def filtered(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Runs the sections causally from rest (transposed direct form II), a block of samples at a time:
-    a block's outputs and last states are products with what it gets."""
+    """Runs the sections causally from rest (transposed direct form II), in long series a block of
+    samples at a time: a block's outputs and last states are products with what it gets."""
     y, n = x.astype(np.float64), len(x)
     for section in map(tuple, sections.tolist()):
         b0, b1, b2, a1, a2 = section
         whole, s1, s2 = n // BLOCK, 0.0, 0.0
-        if whole > 1:
+        if whole >= BLOCKS:
             by_input, by_state, to_state, state_to_state = _responses(section)
             blocks = y[: whole * BLOCK].reshape(whole, BLOCK)
             (p, q), (r, s) = state_to_state.tolist()

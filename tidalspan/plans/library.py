@@ -495,3 +495,33 @@ def class_shares(spark, d):
     rows = _nations(spark, d).select(F.col("n_regionkey").cast("double").alias("x"), (F.col("n_regionkey") > 1).cast("double").alias("side"))
     tests = tree_tests(rows, ["x"], "side", 100, 1)
     return tests.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("x") > 1.5) == (F.col("class") == 1)).alias("inside"))
+
+
+@query("L02_one_tank")
+def one_tank(spark, d):
+    """The published example of learning times: a tank that a pump fills, 250 samples, windows of
+    three, a tree of depth 4 on four fifths of them; its errors on the rest."""
+    from tidalspan.ml.strategies import evaluate_offline, learn_offline
+
+    train, test = tank_windows(spark)
+    model = learn_offline(train, L.regression_tree(4), ["h_0", "h_1"], ["h_2"])
+    found = evaluate_offline(model, test, [M.MeanAbsoluteError("uniform_average"), M.MeanSquaredError("uniform_average"), M.MaxError()])
+    return spark.createDataFrame([(r[1].split("(")[0], float(r[-1])) for r in found.rows()], "metric string, value double")
+
+
+def tank_windows(spark):
+    """Train and test windows of the tank's level."""
+    import numpy as np
+
+    from tidalspan.sim.ode import OdeSystem
+    from tidalspan.sources.frames import train_test_split
+
+    # Fixed values of the example: area, outflow and inflow rates, the pump's period, the step.
+    area, outflow, inflow, period, dt = 5.0, 0.5, 2.0, 10.0, 0.1
+    tank = OdeSystem(lambda t, x: np.array([(inflow * max(0.0, np.sin(2 * np.pi * t / period)) - outflow * np.sqrt(x[0])) / area]), 0.0, np.array([1.0]))
+    rows: list[tuple[float, float]] = []
+    while len(rows) < 250:
+        rows += [(float(t), float(x[0])) for t, x in zip(*tank.step(dt), strict=True)]
+    frame = spark.createDataFrame([(0, *r) for r in rows[:250]], "trace int, t double, h double")
+    windows = series.SlidingWindow(3, "t", "trace", ["h"]).apply(frame)
+    return train_test_split(windows, 0.8, "t", shuffle=True, seed=42)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -33,6 +34,9 @@ def learn_stream(stream: DataFrame, learner, inputs: Sequence[str], outputs: Seq
             seen[0] += n
         batch.unpersist()
 
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not checkpoint and shared:  # not a folder of the driver's own
+        checkpoint = f"{shared.rstrip('/')}/learning-{uuid.uuid4().hex}"
     writer = stream.writeStream.foreachBatch(step).trigger(availableNow=True)
     (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
     learner.model = model[0]
