@@ -133,7 +133,7 @@ def adaboost(spark, d):
     return AdaBoost(3).learn(rows, ["l_quantity", "l_extendedprice"], ["high"]).predict(rows).groupBy("high", "high_predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("L14_mealy_words")
+@query("L14_mealy_words", "SELECT s::INT AS state, i::VARCHAR AS symbol, ((s + i) % 2)::INT AS target, ((s + i) % 2)::VARCHAR AS output FROM range(0, 2) a(s), range(0, 2) b(i)")
 def mealy(spark, d):
     from tidalspan.ml.automata import learn_mealy
 
