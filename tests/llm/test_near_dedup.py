@@ -63,6 +63,41 @@ def test_near_dedup_misses_no_pair_of_many_nodes(spark, monkeypatch):
     assert kept_of(spark, texts) == {k for k in range(len(texts)) if find(k) == k}
 
 
+def test_near_dedup_links_by_fingerprints_in_tiles(spark, monkeypatch):
+    """Without the prefix filter, what fingerprints of NEAR_RADIUS bits join in tiles still goes,
+    where the sets agree, and nothing else."""
+    texts = [t for p in near_pairs(40, 2, 8) + near_pairs(40, 10, 9) + near_pairs(40, 11, 10) for t in p]
+    texts += ["w " * 200 + "end", "w " * 300 + "end"]  # one set, two texts
+    sets = [set(simhash.near_shingles(t).tolist()) for t in texts]
+    fps = [simhash.simhash(simhash.near_shingles(t)) for t in texts]
+    bits = [((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(fps, fps[1:], strict=False)]
+    near = [k for k in range(0, 240, 2) if bits[k] <= simhash.NEAR_RADIUS]
+    alike = {k for k in near if 10 * len(sets[k] & sets[k + 1]) >= 8 * len(sets[k] | sets[k + 1])}
+    assert {k // 80 for k in alike} == {0, 1} and len(alike) < min(len(near), 80)
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "candidates", lambda docs, *_: spark.createDataFrame([], "u long, v long"))
+        assert kept_of(spark, texts) == set(range(242)) - {k + 1 for k in alike} - {241}
+    assert kept_of(spark, texts) == set(range(242)) - set(range(1, 160, 2)) - {241}
+
+
+def test_known_links_leave_the_prefix_filter_less(spark):
+    """Hashes that one known group alone shares are no buckets; those of two groups are."""
+    texts = [t for p in near_pairs(6, 2, 11) for t in p]
+    rows = [(k, t, jaccard.name_of(np.unique(simhash.near_shingles(t)))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "_h long, text string, node long").cache()
+
+    def found(known):
+        known = spark.createDataFrame([(max(p), min(p)) for p in known], "u long, v long")
+        return {(r["u"], r["v"]) for r in jaccard.candidates(docs, simhash.near_shingles, docs.select("node", "_h"), 0.8, known).collect()}
+
+    pairs = [(rows[k][2], rows[k + 1][2]) for k in range(0, 12, 2)]
+    assert found([]) == {(max(p), min(p)) for p in pairs}
+    assert found(pairs[:4]) == {(max(p), min(p)) for p in pairs[4:]}
+    known = [(max(p), min(p)) for p in pairs[4:]]
+    roots = jaccard.exact_roots(docs, simhash.near_shingles, docs.select("node", "_h"), 0.8, spark.createDataFrame(known, "u long, v long")).collect()
+    assert {(r["u"], r["v"]) for r in roots} == {(max(p), min(p)) for p in pairs}
+
+
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(1)
     levels = rng.integers(0, 9, 1 << jaccard.SLOT_BITS).astype(np.uint8)

@@ -6,7 +6,8 @@ are taken that the others are too few for it; such a prefix is dealt by hash. Th
 hashes first, by counts of hashes in slots: from a part of the texts, as it bears on the work only.
 Hashes that the same sets share are one bucket. Candidates of the buckets are cut into pieces that
 no link leaves; within a piece every pair that is not joined yet is decided by its sets, so what
-is linked is exactly what reaches the least similarity. Counts of a set's hashes in BINS ranges
+is linked is exactly what reaches the least similarity. Links that are known already need no
+search: only hashes that two of their groups share are buckets. Counts of a set's hashes in BINS ranges
 bound the overlap of two sets from above, and spare the sets of most pairs that are not alike.
 
 A piece is compared whole, by numpy; above two tiles of work it is cut into tiles by a hash, and
@@ -49,18 +50,6 @@ def name_of(found: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(found.tobytes(), SEED), "big", signed=True)
 
 
-def named(docs: DataFrame, shingles: Shingles, keep: tuple[str, ...]) -> DataFrame:
-    """The columns keep, then node. docs: text and keep."""
-    n = len(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = [name_of(np.unique(shingles(t.as_py()))) for t in batch.column(n)]
-            yield pa.record_batch([*(batch.column(i) for i in range(n)), pa.array(nodes, pa.int64())], names=[*keep, "node"])
-
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, docs.select(*keep).schema.add("node", "long"))
-
-
 def _filter(longs: DataFrame) -> np.ndarray:
     """Which slots the longs (one column, hashes) fall into, packed."""
     shift = 64 - FILTER_BITS
@@ -219,9 +208,10 @@ def prefix(found: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
     return found[np.lexsort((found, levels[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:most]]
 
 
-def candidates(docs: DataFrame, shingles: Shingles, texts: DataFrame, least: float) -> DataFrame:
-    """(u, v): nodes whose components hold every pair that is alike to least. docs: text, _h;
-    texts: node, _h."""
+def candidates(docs: DataFrame, shingles: Shingles, texts: DataFrame, least: float, known: DataFrame) -> DataFrame:
+    """(u, v): nodes whose components hold every pair that is alike to least and not joined by known.
+    docs: text, _h; texts: node, _h; known: as components gives it. A hash that one known group
+    alone shares is no bucket."""
     levels = levels_of(docs, shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +235,27 @@ def candidates(docs: DataFrame, shingles: Shingles, texts: DataFrame, least: flo
     order = W.partitionBy("key").orderBy("node")
     shared = dealt.withColumn("_before", F.lag("node").over(order)).withColumn("_after", F.lead("node").over(order))
     shared = storage.stored(shared.where("_before IS NOT NULL OR _after IS NOT NULL").select("key", "node"), "near-shared")
-    same = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    buckets = same.groupBy("n", "a", "b", "x", "y").agg(F.min("key").alias("key")).select("key")
+    joined = shared.join(known.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    same = joined.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = same.where("r != s").groupBy("n", "a", "b", "x", "y").agg(F.min("key").alias("key")).select("key")
     members = storage.stored(shared.join(buckets, "key").select(F.col("key").alias("piece"), "node"), "near-members")
     wanted = texts.join(members.select("node").distinct(), "node").select("node", "_h")
     counts = storage.stored(sets_of(docs, shingles, wanted, lambda s: counted(s).tobytes()), "near-counts")
     return edges(members.join(counts, "node"), F.lit(1), BUCKET_TILE, least, by_counts)
 
 
-def exact_roots(docs: DataFrame, shingles: Shingles, texts: DataFrame, least: float) -> DataFrame:
-    """(u, v): every node that is not the least of its component, and the least. docs: text, _h;
-    texts (node, _h): one text of each node."""
-    loose = components(candidates(docs, shingles, texts, least))
-    pieces = storage.stored(loose.select(F.col("u").alias("node"), F.col("v").alias("piece")).unionAll(loose.select("v", "v").distinct()), "near-pieces")
+def decided(docs: DataFrame, shingles: Shingles, texts: DataFrame, pieces: DataFrame, least: float) -> DataFrame:
+    """(u, v): links within each piece, by the sets. pieces: node, piece; docs: text, _h; texts
+    (node, _h): one text of each node."""
     sets = storage.stored(sets_of(docs, shingles, texts.join(pieces, "node").select("node", "_h"), lambda s: s.tobytes()), "near-sets")
     found = storage.stored(edges(sets.join(pieces, "node"), F.col("size"), WEIGHT, least, by_sets), "near-links")
     storage.drop(sets)
-    return components(found)
+    return found
+
+
+def exact_roots(docs: DataFrame, shingles: Shingles, texts: DataFrame, least: float, known: DataFrame) -> DataFrame:
+    """(u, v): every node that is not the least of its component, and the least. docs: text, _h;
+    texts (node, _h): one text of each node; known: components of links that are decided already."""
+    loose = components(candidates(docs, shingles, texts, least, known))
+    pieces = storage.stored(loose.select(F.col("u").alias("node"), F.col("v").alias("piece")).unionAll(loose.select("v", "v").distinct()), "near-pieces")
+    return components(decided(docs, shingles, texts, pieces, least).unionAll(known))
