@@ -25,6 +25,25 @@ def history_features(df: DataFrame, signals: Sequence[str], modes: Sequence[str]
     return df.withColumns(made | {"_n": F.row_number().over(w)}).where(F.col("_n") > history).drop("_n")
 
 
+def _passed(at: int, last: int, sure: Callable[[int], bool]) -> int:
+    """The last window known to fit, when window at does, by doubled and halved steps.
+
+    sure(k): the errors of the model of window k have squares that sum to less than the threshold's.
+    Least squares errs on a smaller window by no more than this model does there, in the sum of
+    squares, which no single error exceeds: so all windows before k fit as well.
+    """
+    if at == last or not sure(at):
+        return at
+    low, ahead = at, 1
+    while low < last and sure(min(low + ahead, last)):
+        low, ahead = min(low + ahead, last), 2 * ahead
+    high = min(low + ahead, last + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sure(middle) else (low, middle)
+    return low
+
+
 def identify_modes(df: DataFrame, order: str, inputs: Sequence[str], output: str, start_width: int, step_width: int, threshold: float, learner: Learner | None = None, max_modes: int = 16) -> tuple[DataFrame, list[Model]]:
     """Labels rows (mode, -1 for none) and gives a model for each mode.
 
@@ -32,25 +51,38 @@ def identify_modes(df: DataFrame, order: str, inputs: Sequence[str], output: str
     while a model fitted to it errs by less than threshold; all unlabelled rows that the model fits
     get its mode, and it is refitted on them. Ends when all rows are labelled, a window fits
     nothing, or max_modes is reached. Each round is a few aggregations; rows stay distributed.
+    Windows of least squares that are known to fit are passed over (_passed).
     """
     learner = learner or LinearRegression()
     rows = df.withColumn("mode", F.lit(-1)).withColumn("_at", F.col(order)).persist()
     models: list[Model] = []
     error = F.abs(F.col(f"`{output}`") - F.col(f"`{output}{SUFFIX}`"))
 
-    def worst(model: Model, window: DataFrame) -> float:
-        return model.predict(window).agg(F.max(error)).first()[0] or 0.0
+    def judged(model: Model, window: DataFrame) -> tuple[float, float]:
+        """The largest error, and the root of the sum of squared ones."""
+        row = model.predict(window).agg(F.max(error), F.sum(error * error)).first()
+        return row[0] or 0.0, float(row[1] or 0.0) ** 0.5
 
     while len(models) < max_modes:
         free = with_row_number(rows.where("mode = -1"), "_at", "_n").persist()
         total = free.count()
-        width, model, grown = start_width, None, 0
-        while grown < total:
-            window = free.where(F.col("_n") <= width)
-            tried = learner.learn(window, list(inputs), [output])
-            if worst(tried, window) >= threshold:
+        last = max(0, -(-(total - start_width) // step_width))  # the window that has all rows
+        seen: dict[int, tuple[Model, float, float]] = {}
+
+        def tried(k: int, free: DataFrame = free, seen: dict = seen) -> tuple[Model, float, float]:
+            if k not in seen:
+                window = free.where(F.col("_n") <= start_width + k * step_width)
+                fitted = learner.learn(window, list(inputs), [output])
+                seen[k] = (fitted, *judged(fitted, window))
+            return seen[k]
+
+        model, at = None, 0
+        while at <= last and total:
+            if tried(at)[1] >= threshold:
                 break
-            model, grown, width = tried, min(width, total), width + step_width
+            if type(learner) is LinearRegression:
+                at = _passed(at, last, lambda k: tried(k)[2] < threshold / 2)
+            model, at = tried(at)[0], at + 1
         free.unpersist()
         if model is None:
             break
