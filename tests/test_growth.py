@@ -3,8 +3,34 @@
 import numpy as np
 import pandas as pd
 
+import pytest
+
 from tidalspan.ml import learners as L
 from tidalspan.sim import modes
+from tidalspan.streaming import learning, retention
+
+
+@pytest.fixture
+def small_frames(spark):
+    """Spark hands a key's rows to Python three at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _streamed(spark, folder, rows, schema, made):
+    """What a query over a stream gives for rows that come in no order, in one micro-batch."""
+    mixed = [rows[k] for k in np.random.default_rng(1).permutation(len(rows))]
+    spark.createDataFrame(mixed, schema).coalesce(1).write.parquet(f"{folder}/in")
+    out = made(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def test_recorder_orders_rows_over_frames(spark, tmp_path, small_frames):
+    rows = [(key, float(t), 0.0, t in (20, 33)) for key in range(3) for t in range(40)]
+    out = _streamed(spark, tmp_path, rows, retention.SCHEMA, lambda s: retention.record(s, 5.0))
+    assert sorted((r["key"], r["t"]) for r in out.collect()) == [(key, float(t)) for key in range(3) for t in range(15, 40)]
 
 
 class _Stepwise(L.LinearRegression):

@@ -3,23 +3,38 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Rows that are handed on at a time.
+PIECE = 10_000
+
+
+def in_order(frames: Iterable[pd.DataFrame], order: str, names: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """A key's rows of a micro-batch in order, PIECE at a time. Spark hands them over in frames that are
+    cut by number of rows and are in no order, so all of the key's are held, as columns."""
+    held = [frame[list(names)] for frame in frames]
+    rows = (held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)).sort_values(order, kind="stable") if held else pd.DataFrame(columns=list(names))
+    held.clear()
+    for k in range(0, len(rows), PIECE):
+        yield rows.iloc[k : k + PIECE]
+
+
 SCHEMA = "key long, t double, value double, flag boolean"
 
 
 def record(stream: DataFrame, window: float) -> DataFrame:
     """Rows of stream (SCHEMA), from `window` seconds before each key's first true flag on. State is
-    one window of rows a key, and a flag after that; rows of a key are expected in order of t."""
+    one window of rows a key, and a flag after that; rows of a key are expected in order of t from one
+    micro-batch to the next, and are sorted within each."""
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         on, held = (state.get[0], deque(zip(*state.get[1:], strict=True))) if state.exists else (False, deque())
-        for frame in frames:
+        for frame in in_order(frames, "t", ["t", "value", "flag"]):
             out = []
-            for t, value, flag in frame.sort_values("t")[["t", "value", "flag"]].itertuples(index=False):
+            for t, value, flag in frame.itertuples(index=False):
                 if not on and flag:
                     on = True
                     out += [h for h in held if h[0] >= t - window]
