@@ -55,3 +55,12 @@ def test_windows_passed_over_change_nothing(spark):
         made = [modes.identify_modes(df, "k", ["x"], "y", 20, 20, threshold, learner, 3) for learner in (None, _Stepwise())]
         assert made[0][0].orderBy("k").collect() == made[1][0].orderBy("k").collect()
         assert [m.weights for m in made[0][1]] == [m.weights for m in made[1][1]]
+
+
+def test_stream_selector_orders_rows_over_frames(spark, tmp_path, small_frames):
+    schema, decide = "key long, t double, value double, mode long", lambda samples, before: (before[-1] + int(samples[-1][0])) % 5
+    rows = [(key, float(t), float(t % 3), 0) for key in range(3) for t in range(40)]
+    out = _streamed(spark, tmp_path, rows, schema, lambda s: learning.select_modes_on_stream(s, ["value"], 1, decide))
+    want = [(float(t), sum(k % 3 for k in range(1, t + 1)) % 5, t > 0) for t in range(40)]
+    got = sorted((r["key"], r["t"], r["selected_mode"], r["ready"]) for r in out.collect())
+    assert got == [(key, *w) for key in range(3) for w in want]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tidalspan.errors import StopLearning
 from tidalspan.ml.learners import Model
 from tidalspan.operators.base import Identity, Transform
+from tidalspan.streaming.retention import in_order
 
 
 def learn_stream(stream: DataFrame, learner, inputs: Sequence[str], outputs: Sequence[str], transform: Transform | None = None, checkpoint: str | None = None) -> int:
@@ -84,15 +85,14 @@ def select_modes(df: DataFrame, key: str, order: str, features: Sequence[str], h
 def select_modes_on_stream(stream: DataFrame, features: Sequence[str], history: int, decide) -> DataFrame:
     """select_modes on a stream of rows (key, t, the features, mode): state is the last history
     samples and selected modes of each key, whatever the length of a trace. Rows of a key are
-    expected in order of t. mode gives the first modes of a trace; a row is ready after them."""
+    expected in order of t from one micro-batch to the next, and are sorted within each. mode gives the first modes of a trace; a row is ready after them."""
     names = list(features)
     schema = "key long, t double, " + "".join(f"`{c}` double, " for c in names) + "selected_mode long, ready boolean"
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         samples, modes = (deque(map(list, state.get[0])), deque(state.get[1])) if state.exists else (deque(), deque())
-        for frame in frames:
+        for frame in in_order(frames, "t", ["key", "t", *names, "mode"]):
             chosen, ready = [], []
-            frame = frame.sort_values("t")
             for given, sample in zip(frame["mode"], frame[names].to_numpy(float).tolist(), strict=True):
                 ready.append(len(modes) >= history)
                 mode = int(decide([*samples, sample], list(modes))) if ready[-1] else int(given)
