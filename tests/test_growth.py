@@ -8,6 +8,7 @@ import pytest
 from tidalspan.ml import learners as L
 from tidalspan.sim import modes
 from tidalspan.streaming import learning, retention
+from tidalspan.testing import surrogate
 
 
 @pytest.fixture
@@ -64,3 +65,18 @@ def test_stream_selector_orders_rows_over_frames(spark, tmp_path, small_frames):
     want = [(float(t), sum(k % 3 for k in range(1, t + 1)) % 5, t > 0) for t in range(40)]
     got = sorted((r["key"], r["t"], r["selected_mode"], r["ready"]) for r in out.collect())
     assert got == [(key, *w) for key in range(3) for w in want]
+
+
+def test_tree_grows_where_the_rows_are(spark, monkeypatch):
+    """The tree of blocks ahead is that of the rows one after another; none comes to the driver."""
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.integers(1, 51, 20000).astype(float), rng.integers(0, 9, 20000) / 100])
+    y = ((x[:, 0] > 25) ^ (rng.random(20000) < 0.05)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(20000), "a": x[:, 0], "b": x[:, 1], "y": y}))
+    monkeypatch.setattr(surrogate, "BLOCK", 700)
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda *a, **b: pytest.fail("rows come to the driver"))
+    tree = surrogate.surrogate_tree(df, ["a", "b"], "y", "k", cuts=20)
+    want = surrogate.HoeffdingTree(2, cuts=20).learn(zip(x, y, strict=True))
+    assert len(want.classes()) > 3 and tree.classes() == want.classes()
+    assert [leaf.seen for leaf, _ in tree.leaves()] == [leaf.seen for leaf, _ in want.leaves()]
+    assert tree.predictions(x[:500]).tolist() == [tree.predict(a) for a in x[:500]]

@@ -423,7 +423,7 @@ def surrogate(spark, d):
 
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", (F.col("l_quantity") > 25).cast("double").alias("high"))
     tree = surrogate_tree(rows, ["l_quantity", "l_tax"], "high", ["l_orderkey", "l_linenumber"], cuts=50)
-    right = F.udf(lambda a, b, y: tree.predict([a, b]) == y, "boolean")("l_quantity", "l_tax", "high")
+    right = F.pandas_udf(lambda a, b, y: pd.Series(tree.predictions(pd.concat([a, b], axis=1).to_numpy(float)) == y), "boolean")("l_quantity", "l_tax", "high")
     return rows.agg(F.count(F.lit(1)).alias("n"), (F.avg(right.cast("double")) >= 0.95).alias("fits"))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterable, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalspan.sources.frames import with_row_number
 
+#: Rows that a tree takes at a time, rows of a block, and leaves of the trees that blocks ahead start from.
+PIECE, BLOCK, LEAVES = 8192, 200_000, 20_000
+
 
 def silverman(n: int, d: int) -> float:
     """Bandwidth of a Gaussian kernel density over n rows of d columns."""
@@ -47,19 +53,40 @@ class _Leaf:
         self.moments: dict[float, np.ndarray] = {}
         self.low, self.high = np.full(features, np.inf), np.full(features, -np.inf)
 
-    def add(self, x: np.ndarray, y: float) -> None:
-        n = self.seen[y] = self.seen.get(y, 0) + 1
-        m = self.moments.setdefault(y, np.zeros((2, len(x))))
-        gap = x - m[0]
-        m[0] += gap / n
-        m[1] += gap * (x - m[0])
-        self.low, self.high = np.minimum(self.low, x), np.maximum(self.high, x)
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows of x, of the classes y."""
+        kinds, first = np.unique(y, return_index=True)
+        for kind in kinds[np.argsort(first)].tolist():
+            own = x[y == kind]
+            self.merge(kind, len(own), own.mean(axis=0), ((own - own.mean(axis=0)) ** 2).sum(axis=0))
+        self.low, self.high = np.minimum(self.low, x.min(axis=0)), np.maximum(self.high, x.max(axis=0))
+
+    def merge(self, y: float, n: int, mean: np.ndarray, squares: np.ndarray) -> None:
+        """n rows of class y with a mean and squared deviations."""
+        before = self.seen.get(y, 0)
+        m = self.moments.setdefault(y, np.zeros((2, len(mean))))
+        gap = mean - m[0]
+        m[0] += gap * (n / (before + n))
+        m[1] += squares + gap * gap * (before * n / (before + n))
+        self.seen[y] = before + n
+
+    def next_check(self, grace: int, others: Callable[[float | None], int]) -> int:
+        """How many rows come before the leaf is checked again. others(y): the number of the first row that
+        is not of class y (without y: of the first row's), from 1."""
+        second = 1 if len(self.seen) > 1 else others(next(iter(self.seen), None))
+        return max(1, grace - (sum(self.seen.values()) - self.at_check), second)
 
     @property
     def prediction(self) -> float:
         return max(sorted(self.seen), key=self.seen.get, default=0.0)
 
 
+def _other(y: np.ndarray, known: float | None) -> int:
+    """The number of the first row that is not of a class, from 1; one more than there are, without one."""
+    differs = y != (y[0] if known is None else known)
+    return int(differs.argmax()) + 1 if differs.any() else len(y) + 1
+
+
 class HoeffdingTree:
     """A classifier that sees each row once: a leaf splits when the gain of its best cut exceeds that of
     the second best feature by more than chance allows (Hoeffding's bound at confidence delta), or
@@ -70,29 +97,76 @@ class HoeffdingTree:
         self.root: object = _Leaf(features)
 
     def learn(self, rows: Iterable[tuple[Sequence[float], float]]) -> HoeffdingTree:
-        for x, y in rows:
-            x = np.asarray(x, float)
-            parent, side, node, depth = None, 0, self.root, 0
-            while isinstance(node, list):
-                parent, side, depth = node, 2 if x[node[0]] <= node[1] else 3, depth + 1
-                node = node[side]
-            node.add(x, float(y))
-            n = sum(node.seen.values())
-            if n - node.at_check >= self.grace and len(node.seen) > 1 and depth < self.max_depth:
-                node.at_check = n
-                split = self._split(node, n)
-                if split:
-                    made = [*split, _Leaf(self.features), _Leaf(self.features)]
-                    for y_, m in node.moments.items():  # the halves begin with the classes they will see
-                        for at, share in zip((2, 3), self._shares(m, node.seen[y_], *split), strict=True):
-                            if round(share):
-                                made[at].seen[y_] = round(share)
-                                made[at].moments[y_] = m.copy()
+        rows = iter(rows)
+        while some := list(itertools.islice(rows, PIECE)):
+            self.learn_block(np.array([x for x, _ in some], float).reshape(len(some), -1), np.array([y for _, y in some], float))
+        return self
+
+    def learn_block(self, x: np.ndarray, y: np.ndarray) -> bool:
+        """Rows in order. Leaves do not know of each other, so each takes its rows at once, from one
+        check to the next. Returns whether one has split."""
+        todo, grown = [(None, 0, self.root, 0, np.arange(len(y)))], False
+        while todo:
+            parent, side, node, depth, rows = todo.pop()
+            if not len(rows):
+                continue
+            if isinstance(node, list):
+                below = x[rows, node[0]] <= node[1]
+                todo += [(node, 2, node[2], depth + 1, rows[below]), (node, 3, node[3], depth + 1, rows[~below])]
+                continue
+            own_x, own_y, at = x[rows], y[rows], 0
+            while at < len(rows):
+                left = own_y[at:]
+                n = node.next_check(self.grace, lambda known, left=left: _other(left, known)) if depth < self.max_depth else len(left) + 1
+                node.add(own_x[at : at + n], left[:n])
+                at += n
+                if n > len(left):
+                    break
+                node.at_check = sum(node.seen.values())
+                if made := self._halves(node):
                     if parent is None:
                         self.root = made
                     else:
                         parent[side] = made
-        return self
+                    todo.append((parent, side, made, depth, rows[at:]))
+                    grown = True
+                    break
+        return grown
+
+    def _halves(self, node: _Leaf) -> list | None:
+        split = self._split(node, node.at_check)
+        if not split:
+            return None
+        made = [*split, _Leaf(self.features), _Leaf(self.features)]
+        for y, m in node.moments.items():  # the halves begin with the classes they will see
+            for at, share in zip((2, 3), self._shares(m, node.seen[y], *split), strict=True):
+                if round(share):
+                    made[at].seen[y] = round(share)
+                    made[at].moments[y] = m.copy()
+        return made
+
+    def leaves(self) -> list[tuple[_Leaf, int]]:
+        """All leaves from the left, with their depths."""
+        out, todo = [], [(self.root, 0)]
+        while todo:
+            node, depth = todo.pop()
+            if isinstance(node, list):
+                todo += [(node[3], depth + 1), (node[2], depth + 1)]
+            else:
+                out.append((node, depth))
+        return out
+
+    def found(self, x: np.ndarray) -> list[np.ndarray]:
+        """The rows of x in each leaf, in the order of leaves."""
+        out, todo = [], [(self.root, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if isinstance(node, list):
+                below = x[rows, node[0]] <= node[1]
+                todo += [(node[3], rows[~below]), (node[2], rows[below])]
+            else:
+                out.append(rows)
+        return out
 
     @staticmethod
     def _shares(m: np.ndarray, n: int, feature: int, cut: float) -> tuple[float, float]:
@@ -102,16 +176,19 @@ class HoeffdingTree:
         return n * below, n * (1 - below)
 
     def _split(self, leaf: _Leaf, n: int) -> tuple[int, float] | None:
-        def entropy(counts: list[float]) -> float:
-            total = sum(counts)
-            return -sum(c / total * math.log2(c / total) for c in counts if c > 0) if total > 0 else 0.0
+        def entropy(counts: np.ndarray) -> np.ndarray:
+            """Of each column."""
+            share = counts / np.maximum(counts.sum(axis=0), 1e-300)
+            return -(share * np.log2(np.where(share > 0, share, 1.0))).sum(axis=0)
 
-        before, best = entropy(list(leaf.seen.values())), []
+        before, best = float(entropy(np.array([list(leaf.seen.values())], float).T)[0]), []
         for f in range(self.features):
-            found = (0.0, leaf.low[f])
-            for cut in np.linspace(leaf.low[f], leaf.high[f], self.cuts + 2)[1:-1] if leaf.high[f] > leaf.low[f] else ():
-                sides = list(zip(*(self._shares(m, leaf.seen[y], f, cut) for y, m in leaf.moments.items()), strict=True))
-                found = max(found, (before - sum(sum(s) / n * entropy(list(s)) for s in sides), float(cut)))
+            found = (0.0, float(leaf.low[f]))
+            if leaf.high[f] > leaf.low[f]:
+                cuts = np.linspace(leaf.low[f], leaf.high[f], self.cuts + 2)[1:-1].tolist()
+                shares = np.array([[self._shares(m, leaf.seen[y], f, cut) for cut in cuts] for y, m in leaf.moments.items()])
+                gains = before - sum(shares[:, :, k].sum(axis=0) / n * entropy(shares[:, :, k]) for k in (0, 1))
+                found = max(found, *zip(gains.tolist(), cuts, strict=True))
             best.append((*found, f))
         best.sort(reverse=True)
         second = best[1][0] if len(best) > 1 else 0.0
@@ -124,6 +201,12 @@ class HoeffdingTree:
             node = node[2] if x[node[0]] <= node[1] else node[3]
         return node.prediction
 
+    def predictions(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x))
+        for (leaf, _), rows in zip(self.leaves(), self.found(x), strict=True):
+            out[rows] = leaf.prediction
+        return out
+
     def classes(self) -> list[list[tuple[float, float]]]:
         """The leaves as (above, up to) of each feature."""
         out = []
@@ -142,6 +225,84 @@ class HoeffdingTree:
 
 
 def surrogate_tree(df: DataFrame, features: Sequence[str], target: str, order_by: str | list[str], **settings) -> HoeffdingTree:
-    """The tree over all rows in an order; they pass through the driver a partition at a time."""
-    rows = with_row_number(df.dropna(subset=[*features, target]), order_by, "_n").orderBy("_n").select(*(F.col(f"`{c}`").cast("double") for c in [*features, target]))
-    return HoeffdingTree(len(features), **settings).learn((r[:-1], r[-1]) for r in rows.toLocalIterator())
+    """The tree over all rows in an order, grown where the rows are, in blocks of BLOCK of them.
+
+    While leaves do not split, a block's part in each is a sum, so many blocks are looked at together:
+    their sums give the leaves at the start of each, from which each block is gone through to see
+    whether a leaf splits in it. The first such block is taken alone, and the next ones follow from the
+    tree after it. The blocks ahead are doubled as long as there is no split. Only the tree, the sums
+    and one flag a block pass through the driver.
+    """
+    names, width = [*features, target], len(features)
+    rows = with_row_number(df.dropna(subset=names), order_by, "_n").select("_n", *(F.col(f"`{c}`").cast("double").alias(f"_c{k}") for k, c in enumerate(names)))
+
+    def pack(block: pd.DataFrame) -> pd.DataFrame:
+        values = block.sort_values("_n")[[f"_c{k}" for k in range(width + 1)]].to_numpy(np.float64)
+        return pd.DataFrame({"block": block["_block"].iloc[:1], "rows": [values.tobytes()]})
+
+    tree = HoeffdingTree(width, **settings)
+    packed = rows.withColumn("_block", F.floor((F.col("_n") - 1) / BLOCK).cast("long")).groupBy("_block").applyInPandas(pack, "block long, rows binary").persist()
+    blocks = packed.count()
+
+    def each(first: int, last: int, work: Callable[[int, np.ndarray, np.ndarray], object]) -> list:
+        """work of the blocks from first on, before last, in order."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for k, data in zip(frame["block"].tolist(), frame["rows"], strict=True):
+                    values = np.frombuffer(data, np.float64).reshape(-1, width + 1)
+                    yield pd.DataFrame({"block": [k], "made": [pickle.dumps(work(k, values[:, :-1], values[:, -1]))]})
+
+        made = packed.where(F.col("block").between(first, last - 1)).mapInPandas(run, "block long, made binary").collect()
+        return [pickle.loads(r["made"]) for r in sorted(made)]
+
+    try:
+        at, ahead = 0, 1
+        while at < blocks:
+            end = min(blocks, at + max(1, min(ahead, LEAVES // len(tree.leaves()))))
+            if end - at == 1:
+                [(tree, grown)] = each(at, end, lambda k, x, y, tree=tree: _grown(tree, x, y))
+                at, ahead = end, 1 if grown else 2 * ahead
+                continue
+            starts = [pickle.dumps(tree)]
+            for sums in each(at, end, lambda k, x, y, tree=tree: _sums(tree, x, y)):
+                tree = pickle.loads(starts[-1])
+                _advance(tree, sums)
+                starts.append(pickle.dumps(tree))
+            split = each(at, end, lambda k, x, y, starts=starts, at=at: pickle.loads(starts[k - at]).learn_block(x, y))
+            here = split.index(True) if True in split else end - at
+            tree, at, ahead = pickle.loads(starts[here]), at + here, 1 if True in split else 2 * ahead
+    finally:
+        packed.unpersist()
+    return tree
+
+
+def _grown(tree: HoeffdingTree, x: np.ndarray, y: np.ndarray) -> tuple[HoeffdingTree, bool]:
+    split = tree.learn_block(x, y)
+    return tree, split
+
+
+def _sums(tree: HoeffdingTree, x: np.ndarray, y: np.ndarray) -> dict[int, tuple]:
+    """What rows add to each leaf that they come to, and where in it its classes come first."""
+    out = {}
+    for k, rows in enumerate(tree.found(x)):
+        if len(rows):
+            part = _Leaf(tree.features)
+            part.add(x[rows], y[rows])
+            first = {kind: int((y[rows] == kind).argmax()) + 1 for kind in part.seen}
+            out[k] = part, first
+    return out
+
+
+def _advance(tree: HoeffdingTree, sums: dict[int, tuple]) -> None:
+    """The leaves after rows that split none of them."""
+    leaves = tree.leaves()
+    for k, (part, first) in sums.items():
+        (leaf, depth), n = leaves[k], sum(part.seen.values())
+        others = lambda known, first=first, n=n: min((at for y, at in first.items() if (at > 1 if known is None else y != known)), default=n + 1)
+        check, before = leaf.next_check(tree.grace, others), sum(leaf.seen.values())
+        if depth < tree.max_depth and check <= n:
+            leaf.at_check = before + check + (n - check) // tree.grace * tree.grace
+        for y, count in part.seen.items():
+            leaf.merge(y, count, *part.moments[y])
+        leaf.low, leaf.high = np.minimum(leaf.low, part.low), np.maximum(leaf.high, part.high)
