@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from tidalspan.ml import learners as L
+from tidalspan.plans import more
 from tidalspan.sim import modes
 from tidalspan.streaming import learning, retention
 from tidalspan.testing import surrogate
@@ -80,3 +81,14 @@ def test_tree_grows_where_the_rows_are(spark, monkeypatch):
     assert len(want.classes()) > 3 and tree.classes() == want.classes()
     assert [leaf.seen for leaf, _ in tree.leaves()] == [leaf.seen for leaf, _ in want.leaves()]
     assert tree.predictions(x[:500]).tolist() == [tree.predict(a) for a in x[:500]]
+
+
+def test_batches_are_summed_up_together(spark, tmp_path):
+    """X01 runs no job for each of its 40 batches."""
+    spark.range(100_000).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 9 AS user_id", "'click' AS event_type", "double(id % 10) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sparkContext.setJobGroup("bounded", "X01")
+    found = more.QUERIES["X01_bounded_batches"](spark, str(tmp_path)).orderBy("batch").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bounded")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in found] == [(k, 2500, 2500 * k, 9.0) for k in range(40)]
+    assert 0 < len(jobs) < 20

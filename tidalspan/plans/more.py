@@ -166,8 +166,8 @@ def stream_recorder(spark, d):
 
 @query("X01_bounded_batches", f"WITH {EVENTS}, r AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 2500 AS batch FROM e) SELECT batch::BIGINT AS batch, count(*) AS n, min(event_id) AS first, round(max(value), 6) AS high FROM r GROUP BY 1")
 def bounded(spark, d):
-    parts = [b.agg(F.lit(k).cast("long").alias("batch"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), rounded(F.max("value")).alias("high")).collect() for k, b in enumerate(S.Batches(events(spark, d).select("event_id", "value"), "event_id", 2500))]
-    return spark.createDataFrame([r for p in parts for r in p], "batch long, n long, first long, high double")
+    batches = S.Batches(events(spark, d).select("event_id", "value"), "event_id", 2500)
+    return batches.aggregated(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), rounded(F.max("value")).alias("high"))
 
 
 @query("D09_domains")

@@ -212,6 +212,10 @@ class Batches(Incremental):
     def observe(self) -> DataFrame:
         return self.rows.where(F.col("batch") == self.at).drop("batch")
 
+    def aggregated(self, *aggregates: Column) -> DataFrame:
+        """batch and the aggregates of every batch, by one job and not one for each."""
+        return self.rows.where(F.col("batch") < self.num_steps).groupBy("batch").agg(*aggregates)
+
     def step(self) -> None:
         if self.at + 1 >= self.num_steps:
             self.rows.unpersist()
