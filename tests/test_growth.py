@@ -7,7 +7,7 @@ import pytest
 
 from tidalspan.ml import learners as L
 from tidalspan.plans import more
-from tidalspan.sim import modes
+from tidalspan.sim import modes, ode
 from tidalspan.streaming import learning, retention
 from tidalspan.testing import surrogate
 
@@ -92,3 +92,26 @@ def test_batches_are_summed_up_together(spark, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [tuple(r) for r in found] == [(k, 2500, 2500 * k, 9.0) for k in range(40)]
     assert 0 < len(jobs) < 20
+
+
+def test_traces_of_many_starts_are_those_of_each(spark):
+    """A vectorised flow is called for many starts at once, and each keeps its own steps."""
+    x0 = np.array([[1.0, 0.0], [3.0, -2.0], [0.0, 0.0], [250.0, 40.0]]).T
+    flow = lambda t, x: np.array([x[1], -4 * x[0] - 0.1 * x[1] + np.sin(t)])
+    at, calls = np.linspace(0, 3, 7), []
+    many = ode.sampled(lambda t, x: calls.append(1) or flow(t, x), at, x0, 3.0)
+    for k in range(4):
+        want, n = [x0[:, k]], 1
+        for s in ode.steps(flow, 0.0, x0[:, k], 3.0):
+            while n < len(at) and at[n] <= s.t1:
+                want.append(s.at(at[n]))
+                n += 1
+        assert np.allclose(many[:, :, k], want, rtol=1e-12, atol=1e-12)
+    starts = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(300)], "trace_id long, x0 array<double>")
+    alone, together = (ode.simulate_frame(starts, f, (0.0, 1.0), 0.3, 2).orderBy("trace_id", "step").toPandas() for f in (flow, ode.vectorised(lambda t, x: flow(t, x))))
+    assert len(alone) == 1500 and np.allclose(alone, together, rtol=1e-12, atol=1e-12)
+
+
+def test_flow_that_explodes_is_refused():
+    with pytest.raises(ArithmeticError):
+        ode.sampled(lambda t, x: x * x, np.array([0.0, 2.0]), np.array([[0.1, 1.0]]), 2.0)

@@ -142,10 +142,10 @@ def batch_simulation(spark, d):
 
 @query("S15_ode_source", "SELECT p_partkey::BIGINT AS trace_id, k::INT AS step, k * 0.25 AS t, round(p_size * exp(-0.125 * k), 3) AS x0 FROM part, range(0, 5) r(k)")
 def ode_source(spark, d):
-    from tidalspan.sim.ode import simulate_frame
+    from tidalspan.sim.ode import simulate_frame, vectorised
 
     starts = table(spark, d, "part").select(F.col("p_partkey").alias("trace_id"), F.array(F.col("p_size").cast("double")).alias("x0"))
-    return simulate_frame(starts, lambda t, x: -0.5 * x, (0.0, 1.0), 0.25, 1, rtol=1e-11, atol=1e-12).select("trace_id", "step", rounded("t").alias("t"), F.round("x0", 3).alias("x0"))
+    return simulate_frame(starts, vectorised(lambda t, x: -0.5 * x), (0.0, 1.0), 0.25, 1, rtol=1e-11, atol=1e-12).select("trace_id", "step", rounded("t").alias("t"), F.round("x0", 3).alias("x0"))
 
 
 @query("L17_mode_identification", "SELECT p_partkey, (NOT (p_partkey % 1000 < 500 OR p_size * 2 = p_size * -3 + 10))::INT AS mode FROM part")
