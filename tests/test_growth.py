@@ -115,3 +115,17 @@ def test_traces_of_many_starts_are_those_of_each(spark):
 def test_flow_that_explodes_is_refused():
     with pytest.raises(ArithmeticError):
         ode.sampled(lambda t, x: x * x, np.array([0.0, 2.0]), np.array([[0.1, 1.0]]), 2.0)
+
+
+def test_models_are_integrated_from_many_starts_at_once(spark):
+    """A table of starts in one file is dealt out, and the flow is called for many of them."""
+    flow = L.NumpyModel(["v", "x", "t"], ["dx", "dv"], lambda rows: np.column_stack([rows[:, 0], -rows[:, 1] + rows[:, 2]]))
+    model = modes.ModeModel(["v", "x", "t"], ["dx", "dv"], None, [flow], ["x", "v"])
+    starts = spark.createDataFrame([(k, [k / 10, 1.0 - k]) for k in range(40)], "trace_id long, x0 array<double>").coalesce(1)
+    frame = model.simulate_frame(starts, (0.0, 1.0), 0.25)
+    assert frame.rdd.getNumPartitions() > 1
+    found = frame.orderBy("trace_id", "step").toPandas()
+    for k in (0, 7, 39):
+        trace = model.simulate((0.0, 1.0), [k / 10, 1.0 - k], sample_dt=0.25)
+        own = found[found["trace_id"] == k]
+        assert np.allclose(own[["x", "v"]], trace.x, rtol=1e-12, atol=1e-12) and own["t"].tolist() == trace.t.tolist() and own["location"].tolist() == trace.location

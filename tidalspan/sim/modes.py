@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from tidalspan.ml.learners import SUFFIX, ClusterModel, Learner, LinearModel, LinearRegression, Model, NumpyModel, classification_tree
 from tidalspan.sim.hybrid import Inputs, Trace
-from tidalspan.sim.ode import grid, solve
+from tidalspan.sim.ode import grid, pieces, sampled, solve, spread
 from tidalspan.sim.selector import details, tree_function
 from tidalspan.sources.frames import with_row_number
 
@@ -111,6 +111,16 @@ def numeric(model: Model) -> Callable[[np.ndarray], np.ndarray]:
     raise TypeError(f"{type(model).__name__} cannot be evaluated row by row")
 
 
+def numeric_many(model: Model) -> Callable[[np.ndarray], np.ndarray]:
+    """numeric for many rows: the inputs and the results are columns."""
+    if isinstance(model, LinearModel):
+        w = np.array([model.weights[o] for o in model.outputs])
+        return lambda x: w[:, :-1] @ x + w[:, -1:]
+    if isinstance(model, NumpyModel):
+        return lambda x: np.asarray(model.function(x.T), float).reshape(x.shape[1], -1).T
+    raise TypeError(f"{type(model).__name__} cannot be evaluated row by row")
+
+
 class ModeModel(Model):
     """A selector chooses a mode for each row, whose model predicts. With one mode there is nothing to
     select. Where the outputs are the derivatives of the states, in the states' order, the model
@@ -156,10 +166,13 @@ class ModeModel(Model):
 
         return choose
 
-    def stepper(self, inputs: Inputs | None = None, input_names: Sequence[str] = (), **settings) -> Callable[[float, np.ndarray, float], tuple[int, np.ndarray]]:
-        """(t, state, dt) -> the mode at t and the state after dt in it; plain functions, fit for tasks."""
+    def _integrable(self) -> None:
         if not self.states or len(self.states) != len(self.outputs):
             raise ValueError("name the states whose derivatives the outputs are")
+
+    def stepper(self, inputs: Inputs | None = None, input_names: Sequence[str] = (), **settings) -> Callable[[float, np.ndarray, float], tuple[int, np.ndarray]]:
+        """(t, state, dt) -> the mode at t and the state after dt in it; plain functions, fit for tasks."""
+        self._integrable()
         choose, flows, states, names = self._choose(), [numeric(m) for m in self.modes], self.states, self.inputs
 
         def row(t: float, x: np.ndarray) -> dict[str, float]:
@@ -200,22 +213,47 @@ class ModeModel(Model):
 
     def simulate_frame(self, starts: DataFrame, span: tuple[float, float], dt: float) -> DataFrame:
         """A trace for each row (trace_id, x0), in parallel: trace_id, step, t, location, the states."""
-        step, at, names = self.stepper(), grid(*span, dt), self.states
+        self._integrable()
+        choose, flows, at, names = self._choose(), [numeric_many(m) for m in self.modes], grid(*span, dt), self.states
+        known = ["t", *names]
+        single = self.selector is None
         schema = "trace_id long, step int, t double, location string, " + ", ".join(f"`{s}` double" for s in names)
+        if missing := [n for n in self.inputs if n not in known]:
+            raise KeyError(f"the model needs {missing}")
+        taken = [len(known) - 1 - known[::-1].index(n) for n in self.inputs]
+
+        def flow(mode: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+            return lambda t, x: flows[mode](np.vstack([np.broadcast_to(t, x.shape[1:])[None, :], x])[taken])
+
+        def traces(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """States, and the modes that led to them, by time; x has a column a start."""
+            states, led = [x], []
+            for now, then in zip(at, at[1:], strict=False):
+                if not np.isfinite(x).all():
+                    raise ValueError("time, step and state must be finite, and the step above 0")
+                modes = np.zeros(x.shape[1], int) if single else np.array([choose({"t": float(now), **dict(zip(names, c, strict=True))}) for c in x.T.tolist()])
+                after = np.empty_like(x)
+                for mode in np.unique(modes).tolist():
+                    own = modes == mode
+                    after[:, own] = sampled(flow(mode), np.array([now, then]), x[:, own], then)[-1]
+                x = after
+                states.append(x)
+                led += [modes] * (1 if led else 2)
+            return np.array(states), np.array(led)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for start in frame.itertuples(index=False):
-                    x, rows, place = np.asarray(start.x0, float), [], None
-                    for k, t in enumerate(at):
-                        rows.append([start.trace_id, k, float(t), place, *x])
-                        if k + 1 < len(at):
-                            mode, x = step(float(t), x, float(at[k + 1] - t))
-                            place = f"mode_{mode}"
-                            rows[0][3] = rows[0][3] or place
-                    yield pd.DataFrame(rows, columns=["trace_id", "step", "t", "location", *names])
-
-        return starts.select("trace_id", "x0").mapInPandas(run, schema)
+                for piece in pieces(frame, len(at)):
+                    n, m = len(piece), len(at)
+                    x0 = np.array([np.asarray(x, float) for x in piece["x0"]])
+                    if x0.shape != (n, len(names)):
+                        raise ValueError("a start has a number for each state")
+                    states, led = traces(x0.T)
+                    places = np.array([f"mode_{k}" for k in range(len(flows))], object)[led].T.ravel() if m > 1 else np.full(n, None, object)
+                    made = {s: states[:, j].T.ravel() for j, s in enumerate(names)}
+                    yield pd.DataFrame({"trace_id": np.repeat(piece["trace_id"].to_numpy(), m), "step": np.tile(np.arange(m, dtype=np.int32), n), "t": np.tile(at, n), "location": places, **made})
+
+        return spread(starts).mapInPandas(run, schema)
 
 
 def learn_hybrid(df: DataFrame, order: str, inputs: Sequence[str], output: str, selector_inputs: Sequence[str], states: Sequence[str] = (), **settings) -> ModeModel:
