@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from tidalspan.ml import learners as L
-from tidalspan.plans import more
+from tidalspan.plans import more, series
 from tidalspan.sim import modes, ode
 from tidalspan.streaming import learning, retention
 from tidalspan.testing import surrogate
@@ -117,6 +117,25 @@ def test_flow_that_explodes_is_refused():
         ode.sampled(lambda t, x: x * x, np.array([0.0, 2.0]), np.array([[0.1, 1.0]]), 2.0)
 
 
+#: Orders of one to five lines.
+LINES = [(k, n, float((7 * k + 3 * n) % 11)) for k in range(50) for n in range(k % 5 + 1)]
+
+
+@pytest.fixture
+def lines(spark, tmp_path):
+    spark.createDataFrame(LINES, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def _passes(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_orders_of_any_length_are_flattened_in_one_pass(spark, lines):
+    out = series.QUERIES["R02_flatten"](spark, lines)
+    assert sorted(map(tuple, out.collect())) == sorted(LINES) and _passes(out) == 1
+
+
 def test_models_are_integrated_from_many_starts_at_once(spark):
     """A table of starts in one file is dealt out, and the flow is called for many of them."""
     flow = L.NumpyModel(["v", "x", "t"], ["dx", "dv"], lambda rows: np.column_stack([rows[:, 0], -rows[:, 1] + rows[:, 2]]))

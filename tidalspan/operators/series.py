@@ -35,19 +35,20 @@ class ToTimeSeries(Transform):
 
 
 class Flatten(Transform):
-    """Series of one length n to columns f_0 ... f_(n-1); fit (or the first apply) finds n."""
+    """Series of one length n to columns f_0 ... f_(n-1); fit (or the first apply) finds n. With padded,
+    lengths may vary: n is the longest, and what a series does not have is null."""
 
-    def __init__(self, features: str | Iterable[str] | None = None) -> None:
-        self.features = features
+    def __init__(self, features: str | Iterable[str] | None = None, padded: bool = False) -> None:
+        self.features, self.padded = features, padded
         self.lengths: dict[str, int] | None = None
 
     def fit(self, df: DataFrame) -> Flatten:
         names = types.chosen_series(df, self.features)
         row = df.agg(*(f(F.size(F.col(c))).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("a", F.min), ("b", F.max)))).first()
         for i, c in enumerate(names):
-            if row[f"a{i}"] != row[f"b{i}"]:
+            if row[f"a{i}"] != row[f"b{i}"] and not self.padded:
                 raise FeatureLengthVaryError(f"{c} has {row[f'a{i}']} to {row[f'b{i}']} samples")
-        self.lengths = {c: max(row[f"a{i}"] or 0, 0) for i, c in enumerate(names)}
+        self.lengths = {c: max(row[f"b{i}"] or 0, 0) for i, c in enumerate(names)}
         return self
 
     def apply(self, df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,20 +48,21 @@ def whole_frame(spark, d):
     return s.select(F.posexplode("n_regionkey").alias("i", "x")).select(F.col("i").cast("long").alias("i"), F.col("x.time").cast("long").alias("t"), F.col("x.value").cast("long").alias("v"))
 
 
-def _lines_of_orders(spark, d):
-    """All lines as series of an order, by how many lines an order has: series of one length each."""
-    lines = T.ToTimeSeries({"l_quantity": "l_linenumber"}, keys="l_orderkey").apply(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
-    lengths = sorted(r[0] for r in lines.select(F.size("l_quantity")).distinct().collect())  # few
-    return [(n, lines.where(F.size("l_quantity") == n)) for n in lengths]
+def _flat_lines(spark, d, change=None):
+    """l_orderkey, k, v: all lines of each order by one pass, as columns as many as the longest has, that
+    change alters, and as rows again. The longest is found without making the series."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    orders = T.ToTimeSeries({"l_quantity": "l_linenumber"}, keys="l_orderkey").apply(lines).withColumn("n", F.size("l_quantity"))
+    flat = T.Flatten("l_quantity", padded=True)
+    flat.lengths = {"l_quantity": lines.groupBy("l_orderkey").count().agg(F.max("count")).first()[0] or 0}
+    wide, prefix = flat.apply(orders), "l_quantity_derivative" if change else "l_quantity"
+    values = F.array(*(F.col(f"{prefix}_{k}") for k in range(flat.lengths["l_quantity"]))).cast("array<double>")
+    return (change.apply(wide) if change else wide).select("l_orderkey", F.posexplode(F.slice(values, F.lit(1), F.col("n"))).alias("k", "v"))
 
 
 @query("R02_flatten", "SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1)::INT AS k, l_quantity AS v FROM lineitem")
 def flatten(spark, d):
-    parts = []
-    for n, rows in _lines_of_orders(spark, d):
-        wide = T.Flatten("l_quantity").apply(rows)
-        parts.append(wide.select("l_orderkey", F.posexplode(F.array(*(F.col(f"l_quantity_{k}") for k in range(n)))).alias("k", "v")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return _flat_lines(spark, d)
 
 
 @query("R03_sliding_window", f"WITH {EVENTS}, s AS (SELECT user_id, t, lag(value, 2) OVER w AS value_0, lag(value, 1) OVER w AS value_1, value AS value_2, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, t, value_0, value_1, value_2 FROM s WHERE k >= 3")
@@ -167,11 +166,7 @@ def localization_status(spark, d):
 
 @query("R15_flat_derivative", "SELECT l_orderkey, (row_number() OVER w - 1)::INT AS k, round(l_quantity - lag(l_quantity, 1, l_quantity) OVER w, 6) AS v FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity)")
 def flat_derivative(spark, d):
-    parts = []
-    for n, rows in _lines_of_orders(spark, d):
-        made = T.FlatDerivative("l_quantity").apply(T.Flatten("l_quantity").apply(rows))
-        parts.append(made.select("l_orderkey", F.posexplode(F.array(*(rounded(f"l_quantity_derivative_{k}") for k in range(n)))).alias("k", "v")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return _flat_lines(spark, d, T.FlatDerivative("l_quantity")).select("l_orderkey", "k", rounded("v").alias("v"))
 
 
 @query("P13_explode_series", f"WITH {EVENTS} SELECT user_id, t AS time, value FROM e")
