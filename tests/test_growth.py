@@ -136,6 +136,11 @@ def test_orders_of_any_length_are_flattened_in_one_pass(spark, lines):
     assert sorted(map(tuple, out.collect())) == sorted(LINES) and _passes(out) == 1
 
 
+def test_orders_of_any_length_are_derived_in_one_pass(spark, lines):
+    out, at = series.QUERIES["R15_flat_derivative"](spark, lines), {r[:2]: r[2] for r in LINES}
+    assert sorted(map(tuple, out.collect())) == sorted((k, n, v - at.get((k, n - 1), v)) for k, n, v in LINES) and _passes(out) == 1
+
+
 def test_models_are_integrated_from_many_starts_at_once(spark):
     """A table of starts in one file is dealt out, and the flow is called for many of them."""
     flow = L.NumpyModel(["v", "x", "t"], ["dx", "dv"], lambda rows: np.column_stack([rows[:, 0], -rows[:, 1] + rows[:, 2]]))
