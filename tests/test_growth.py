@@ -153,3 +153,18 @@ def test_models_are_integrated_from_many_starts_at_once(spark):
         trace = model.simulate((0.0, 1.0), [k / 10, 1.0 - k], sample_dt=0.25)
         own = found[found["trace_id"] == k]
         assert np.allclose(own[["x", "v"]], trace.x, rtol=1e-12, atol=1e-12) and own["t"].tolist() == trace.t.tolist() and own["location"].tolist() == trace.location
+
+
+def test_perceptron_of_many_rows_takes_its_steps_in_tasks(spark, monkeypatch):
+    """Every row once an epoch, in tasks; no row comes to the driver."""
+    monkeypatch.setattr(L, "SENT", 1000)
+    monkeypatch.setattr(L, "TASK", 2)
+    frame = spark.range(1000).selectExpr("double(id) / 1000 AS x", "3 * double(id) / 1000 - 1 AS y")
+    monkeypatch.setattr(type(frame), "toLocalIterator", lambda *a, **b: pytest.fail("rows come to the driver"))
+    learner = L.MlpLearner((8,), epochs=20, rate=0.02, batch=8, held=100)
+    model, again = (learner.learn(frame, ["x"], ["y"]) for _ in range(2))
+    x = np.linspace(0, 1, 50)[:, None]
+    assert np.abs(model.function(x) - (3 * x - 1)).max() < 0.1 and (model.function(x) == again.function(x)).all()
+    parts = learner._parts(frame, 1, 1000)
+    rows = [np.frombuffer(r["block"], np.float64).reshape(-1, 2) for r in parts.collect()]
+    assert parts.getNumPartitions() == 5 and np.sort(np.concatenate(rows)[:, 0]).tolist() == [k / 1000 for k in range(1000)]

@@ -4,12 +4,13 @@ rows keep their keys. Outputs are predicted as <output>_predicted unless named o
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -314,10 +315,55 @@ class Perceptron:
         return gw, gb, loss
 
 
+#: Bytes of rows that the driver takes over all epochs, and how many times held rows a task takes.
+SENT, TASK = 64_000_000, 10
+
+
+def _held(blocks: Iterable[np.ndarray], held: int) -> Iterator[np.ndarray]:
+    """Blocks of rows as matrices of held rows; the last one has what is left."""
+    kept, n = [], 0
+    for block in blocks:
+        while n + len(block) > held:
+            yield np.concatenate([*kept, block[: held - n]])
+            kept, n, block = [], 0, block[held - n :]
+        kept.append(block)
+        n += len(block)
+    if n:
+        yield np.concatenate(kept)
+
+
+class _Fit:
+    """A perceptron with Adam's moments, at some step of its training."""
+
+    def __init__(self, net: Perceptron, seed: int, batch: int, inputs: int) -> None:
+        self.net, self.rng, self.batch, self.inputs = net, np.random.default_rng(seed), batch, inputs
+        self.m, self.v = ([np.zeros_like(p) for p in (*net.w, *net.b)] for _ in range(2))
+        self.t = 0
+
+    def start(self, rate: float) -> None:
+        """An epoch."""
+        self.rate, self.total, self.steps = rate, 0.0, 0
+
+    def take(self, chunk: np.ndarray) -> None:
+        """Steps over the rows of a chunk, in random order."""
+        x, y, m, v, params = chunk[:, : self.inputs], chunk[:, self.inputs :], self.m, self.v, [*self.net.w, *self.net.b]
+        order = self.rng.permutation(len(x))
+        for at in range(0, len(x), self.batch):
+            part = order[at : at + self.batch]
+            gw, gb, loss = self.net.gradient(x[part], y[part])
+            self.total, self.steps, self.t = self.total + loss, self.steps + 1, self.t + 1
+            for k, g in enumerate([*gw, *gb]):
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                params[k] -= self.rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(v[k] / (1 - 0.999**self.t)) + 1e-8)
+
+
 class MlpLearner(Learner):
     """Perceptron fitted by Adam with a cosine rate and early stopping, on all rows. The driver takes
     the steps and holds about held rows at a time, and a partition; more rows are streamed to it in
-    each epoch, ordered by a hash that differs between epochs, and are shuffled among those held."""
+    each epoch, ordered by a hash that differs between epochs, and are shuffled among those held.
+    Where that would be more than SENT bytes, tasks take the steps, one after another: each gets the
+    weights and Adam's moments from the one before and takes the rows of its part of the hashes."""
 
     def __init__(self, hidden: Sequence[int] = (10, 10), epochs: int = 100, rate: float = 1e-2, batch: int = 32, patience: int = 10, held: int = 100_000, seed: int = 1, callbacks: Sequence[Callbacks] = ()) -> None:
         self.hidden, self.epochs, self.rate, self.batch, self.patience, self.held, self.seed, self.callbacks = hidden, epochs, rate, batch, patience, held, seed, callbacks
@@ -335,48 +381,56 @@ class MlpLearner(Learner):
                 yield pa.record_batch([pa.array([block.tobytes()])], names=["block"])
 
         ordered = rows.orderBy(F.xxhash64(*names, *([F.lit(epoch)] if epoch else [])), *names)
-        blocks, n = [], 0
-        for r in ordered.mapInArrow(pack, "block binary").toLocalIterator():
-            block = np.frombuffer(r["block"], np.float64).reshape(-1, len(names))
-            while n + len(block) > self.held:
-                yield np.concatenate([*blocks, block[: self.held - n]])
-                blocks, n, block = [], 0, block[self.held - n :]
-            blocks.append(block)
-            n += len(block)
-        if n:
-            yield np.concatenate(blocks)
+        yield from _held((np.frombuffer(r["block"], np.float64).reshape(-1, len(names)) for r in ordered.mapInArrow(pack, "block binary").toLocalIterator()), self.held)
+
+    def _parts(self, rows: DataFrame, epoch: int, n: int) -> RDD:
+        """An RDD of blocks of rows, cut and ordered by the hash of an epoch: TASK * held rows a partition."""
+        names = rows.columns
+        count = -(-n // (TASK * self.held))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))])
+                yield pa.record_batch([pa.array([block.tobytes()])], names=["block"])
+
+        hashed = rows.withColumn("_hash", F.xxhash64(*names, F.lit(epoch)))
+        part = F.least(F.floor((F.col("_hash") / 2.0**64 + 0.5) * count), F.lit(count - 1)).cast("int")
+        dealt = hashed.repartitionById(count, part).sortWithinPartitions("_hash", *names).select(*names)
+        return dealt.mapInArrow(pack, "block binary").rdd
 
     def _learn(self, df, inputs, outputs):
         names = [f"_c{k}" for k in range(len(inputs) + len(outputs))]
         rows = df.select(*(F.col(f"`{c}`").cast("double").alias(n) for c, n in zip([*inputs, *outputs], names, strict=True))).dropna()
-        net, rng = Perceptron([len(inputs), *self.hidden, len(outputs)], self.seed), np.random.default_rng(self.seed)
-        params = [*net.w, *net.b]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        best, waited, t, whole = np.inf, 0, 0, None
+        fit = _Fit(Perceptron([len(inputs), *self.hidden, len(outputs)], self.seed), self.seed, self.batch, len(inputs))
+        best, waited, whole = np.inf, 0, None
+        n = rows.count()
+        far = n > self.held and n * len(names) * 8 * self.epochs > SENT
         for epoch in range(self.epochs):
-            rate = self.rate * 0.5 * (1 + np.cos(np.pi * epoch / self.epochs))
-            total, steps, chunks = 0.0, 0, 0
-            for chunk in self._chunks(rows, epoch) if whole is None else [whole]:
-                chunks += 1
-                x, y = chunk[:, : len(inputs)], chunk[:, len(inputs) :]
-                order = rng.permutation(len(x))
-                for at in range(0, len(x), self.batch):
-                    part = order[at : at + self.batch]
-                    gw, gb, loss = net.gradient(x[part], y[part])
-                    total, steps, t = total + loss, steps + 1, t + 1
-                    for k, g in enumerate([*gw, *gb]):
-                        m[k] = 0.9 * m[k] + 0.1 * g
-                        v[k] = 0.999 * v[k] + 0.001 * g * g
-                        params[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-            if chunks == 1:
-                whole = chunk  # all rows: they stay
-            loss = total / steps if steps else 0.0
+            fit.start(self.rate * 0.5 * (1 + np.cos(np.pi * epoch / self.epochs)))
+            if far:
+                parts, held = self._parts(rows, epoch, n), self.held
+                for k in range(parts.getNumPartitions()):
+
+                    def run(found, fit=fit, width=len(names)):
+                        for chunk in _held((np.frombuffer(r["block"], np.float64).reshape(-1, width) for r in found), held):
+                            fit.take(chunk)
+                        return [fit]
+
+                    [fit] = rows.sparkSession.sparkContext.runJob(parts, run, [k])
+            else:
+                chunks = 0
+                for chunk in self._chunks(rows, epoch) if whole is None else [whole]:
+                    chunks += 1
+                    fit.take(chunk)
+                if chunks == 1:
+                    whole = chunk  # all rows: they stay
+            loss = fit.total / fit.steps if fit.steps else 0.0
             for c in self.callbacks:
                 c.on_progress(self, (epoch + 1) / self.epochs, {"train_loss": loss})
             best, waited = (loss, 0) if loss < best - 1e-9 else (best, waited + 1)
             if waited >= self.patience:
                 break
-        return NumpyModel(inputs, outputs, net)
+        return NumpyModel(inputs, outputs, fit.net)
 
 
 class IncrementalLinear(Learner):
