@@ -6,6 +6,8 @@ import pandas as pd
 import pytest
 
 from tidalspan.ml import learners as L
+from tidalspan.operators import kernels
+from tidalspan.operators.series import Resample
 from tidalspan.plans import more, series
 from tidalspan.sim import modes, ode
 from tidalspan.streaming import learning, retention
@@ -168,3 +170,19 @@ def test_perceptron_of_many_rows_takes_its_steps_in_tasks(spark, monkeypatch):
     parts = learner._parts(frame, 1, 1000)
     rows = [np.frombuffer(r["block"], np.float64).reshape(-1, 2) for r in parts.collect()]
     assert parts.getNumPartitions() == 5 and np.sort(np.concatenate(rows)[:, 0]).tolist() == [k / 1000 for k in range(1000)]
+
+
+def test_series_are_read_and_made_in_pieces(spark, monkeypatch):
+    """However many series a batch holds, about SAMPLES samples are made before they go; rows stay whole."""
+    rows = [(k, None if k % 10 == 3 else [(0.0, float(k)), (5.0, 2.0), (1000.0 * (k % 4), 1.0)][: 3 if k % 4 else 0]) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, value array<struct<time: double, value: double>>").coalesce(1)
+    want = {r["k"]: r["value"] for r in Resample(1.0).apply(df).collect()}
+    kept, given = [], df.toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+    monkeypatch.setattr(kernels, "SAMPLES", 10_000)
+    Resample(1.0).apply(df)
+    made = list(kept[0](iter(given)))
+    assert len(given) == 1 and len(made) > 10 and max(len(b.column("value").values) for b in made) <= 10_000 + 3001
+    got = {r["k"]: r["value"] for b in made for r in b.to_pylist()}
+    assert got.keys() == want.keys() and all((v is None) == (want[k] is None) and (v is None or [(x["time"], x["value"]) for x in v] == [tuple(x) for x in want[k]]) for k, v in got.items())
+    assert [p.num_rows for p in kernels.pieces(given[0], ["value"])] == [200]

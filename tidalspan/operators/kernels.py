@@ -20,6 +20,9 @@ from tidalspan import types
 Cell = tuple[np.ndarray, dict[str, np.ndarray]]
 Kernel = Callable[[dict[str, "Cell | None"]], dict[str, "Cell | None"]]
 
+#: Samples that are read, or made, at a time.
+SAMPLES = 100_000
+
 
 def _numbers(column: pa.Array) -> np.ndarray:
     if pa.types.is_timestamp(column.type):
@@ -30,7 +33,9 @@ def _numbers(column: pa.Array) -> np.ndarray:
 def _cells(column: pa.ListArray) -> list[Cell | None]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    offsets, elements = column.offsets.to_numpy(), column.values
+    offsets = column.offsets.to_numpy()
+    low = int(offsets[0]) if len(offsets) else 0
+    elements, offsets = column.values.slice(low, int(offsets[-1]) - low if len(offsets) else 0), offsets - low
     times = _numbers(elements.field("time"))
     value = elements.field("value")
     fields = {f.name: _numbers(value.field(f.name)) for f in value.type} if pa.types.is_struct(value.type) else {"": _numbers(value)}
@@ -70,6 +75,17 @@ def _column(cells: list[Cell | None], kind: T.ArrayType) -> pa.Array:
     return made
 
 
+def pieces(batch: pa.RecordBatch, features: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that have about SAMPLES samples together, or one row that has more."""
+    samples = sum(np.diff(batch.column(f).offsets.to_numpy()) for f in features)
+    ends, first = np.cumsum(samples), 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        after = max(first + 1, int(np.searchsorted(ends, before + SAMPLES, side="right")))
+        yield batch.slice(first, after - first)
+        first = after
+
+
 def map_series(df: DataFrame, features: list[str], kernel: Kernel, results: Mapping[str, T.ArrayType]) -> DataFrame:
     """df with the columns results, which kernel makes of each row's features. Values become doubles."""
     for f in features:
@@ -78,16 +94,25 @@ def map_series(df: DataFrame, features: list[str], kernel: Kernel, results: Mapp
     new = [c for c in results if c not in names]
     schema = T.StructType([T.StructField(f.name, results.get(f.name, f.dataType)) for f in df.schema.fields] + [T.StructField(c, results[c]) for c in new])
 
+    def packed(batch: pa.RecordBatch, made: dict[str, list[Cell | None]]) -> pa.RecordBatch:
+        columns = [_column(made[c], results[c]) if c in results else batch.column(k) for k, c in enumerate(names)]
+        return pa.record_batch([*columns, *(_column(made[c], results[c]) for c in new)], names=[*names, *new])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = {f: _cells(batch.column(names.index(f))) for f in features}
-            made: dict[str, list[Cell | None]] = {c: [] for c in results}
-            for k in range(batch.num_rows):
-                row = kernel({f: cells[k] for f, cells in given.items()})
-                for c in results:
-                    made[c].append(row[c])
-            columns = [_column(made[c], results[c]) if c in results else batch.column(k) for k, c in enumerate(names)]
-            yield pa.record_batch([*columns, *(_column(made[c], results[c]) for c in new)], names=[*names, *new])
+            # both what is read and what is made come in pieces of about SAMPLES, whatever a batch holds
+            for piece in pieces(batch, features):
+                given = {f: _cells(piece.column(names.index(f))) for f in features}
+                made: dict[str, list[Cell | None]] = {c: [] for c in results}
+                first, size = 0, 0
+                for k in range(piece.num_rows):
+                    row = kernel({f: cells[k] for f, cells in given.items()})
+                    for c in results:
+                        made[c].append(row[c])
+                        size += 0 if row[c] is None else len(row[c][0]) * len(row[c][1])
+                    if size >= SAMPLES or k + 1 == piece.num_rows:
+                        yield packed(piece.slice(first, k + 1 - first), made)
+                        made, first, size = {c: [] for c in results}, k + 1, 0
 
     return df.mapInArrow(run, schema)
 
